@@ -6,11 +6,11 @@ order of their own; the derivation adds invalid values, gaps, delays, redeliveri
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wellstream.operators.slices import SLICE, slice_start, slice_window, with_carried
-from wellstream.schemas import ARRIVAL_COLUMNS, CORRUPT, READING_COLUMNS, READING_FIELDS, STREAM_KEY
+from wellstream.schemas import ARRIVAL_COLUMNS, READING_COLUMNS, READING_FIELDS, STREAM_KEY
 
 SESSION_A = "11111111-1111-4111-8111-111111111111"
 SESSION_B = "22222222-2222-4222-8222-222222222222"
@@ -24,16 +24,18 @@ def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def numbered_events(spark: SparkSession, sf_dir: str, slice_micros: int = 6 * MICROS_PER_HOUR) -> DataFrame:
-    """Events with their stream and ``rn``, the position inside the stream by (ts, event_id)."""
+def numbered_events(
+    spark: SparkSession, sf_dir: str, keys: list[str] = STREAM_KEY, slice_micros: int = 6 * MICROS_PER_HOUR
+) -> DataFrame:
+    """Events with their stream and ``rn``, the position inside ``keys`` by (ts, event_id)."""
     events = read_events(spark, sf_dir).select(
         "*",
         F.concat(F.lit("DRILL-"), F.lpad(F.col("user_id").cast("string"), 3, "0")).alias("device_id"),
         F.when(F.col("event_id") % 5 < 3, SESSION_A).otherwise(SESSION_B).alias("acquisition_session_id"),
         slice_start(F.unix_micros("ts"), slice_micros).alias(SLICE),
     )
-    counted = with_carried(events, STREAM_KEY, {"_before": (F.count(F.lit(1)), "sum")})
-    local = F.row_number().over(slice_window(STREAM_KEY, "ts", "event_id"))
+    counted = with_carried(events, keys, {"_before": (F.count(F.lit(1)), "sum")})
+    local = F.row_number().over(slice_window(keys, "ts", "event_id"))
     return counted.withColumn("rn", (F.coalesce("_before", F.lit(0)) + local).cast("bigint")).drop("_before", SLICE)
 
 
@@ -98,3 +100,101 @@ def raw_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         "received_at_utc",
         F.when(n % 37 == 0, F.substring(text, 1, 40)).otherwise(text).alias("value"),
     )
+
+
+def pinned_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Session shown last per device: that of its first event, or one that has no readings."""
+    e = numbered_events(spark, sf_dir)
+    first = e.groupBy("device_id").agg(F.min(F.struct("ts", "event_id", "acquisition_session_id")).alias("_f"))
+    number = F.substring("device_id", 7, 10).cast("bigint")
+    return first.select(
+        "device_id",
+        F.when(number % 10 == 3, "33333333-3333-4333-8333-333333333333")
+        .otherwise(F.col("_f.acquisition_session_id"))
+        .alias("pinned_session_id"),
+    )
+
+
+def _path() -> Column:
+    return F.concat(F.lit("logs/"), F.col("device_id"), F.lit(".xml"))
+
+
+def _log_number() -> Column:
+    return F.substring("device_id", 7, 10).cast("bigint")
+
+
+def well_log_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers of one well log per device; some are unsupported or incomplete."""
+    devices = read_events(spark, sf_dir).select(
+        F.concat(F.lit("DRILL-"), F.lpad(F.col("user_id").cast("string"), 3, "0")).alias("device_id")
+    ).distinct()
+    d = F.col("_d")
+    depth_unit = F.when(d % 37 == 5, "km").when(d % 5 == 1, "ft").otherwise("m")
+
+    def curve(mnemonic: str, unit: Column, null_value: str) -> Column:
+        return F.struct(
+            F.lit(mnemonic).alias("mnemonic"), unit.alias("unit"), F.lit(null_value).alias("null_value")
+        )
+
+    return devices.withColumn("_d", _log_number()).select(
+        _path().alias("path"),
+        "device_id",
+        F.lit(False).alias("malformed"),
+        F.lit("http://www.witsml.org/schemas/1series").alias("xmlns"),
+        F.when(d % 59 == 4, "1.3.1.1").otherwise("1.4.1.1").alias("version"),
+        F.when(d % 67 == 8, 2).otherwise(1).alias("log_count"),
+        F.concat(F.lit("W-"), d.cast("string")).alias("uid_well"),
+        F.concat(F.lit("Well "), d.cast("string")).alias("name_well"),
+        F.when(d % 71 == 9, " ").otherwise("WB-1").alias("uid_wellbore"),
+        F.lit("Main bore").alias("name_wellbore"),
+        F.concat(F.lit("LOG-"), d.cast("string")).alias("uid"),
+        F.lit("").alias("name"),
+        F.when(d % 53 == 1, "date time").otherwise("measured depth").alias("index_type"),
+        F.lit("DEPT").alias("index_curve"),
+        F.array_compact(F.array(
+            curve("DEPT", depth_unit, "-999.25"), curve("DTIM", F.lit(""), ""), curve("GR", F.lit("gAPI"), "-999.25"),
+            F.when(d % 41 != 7, curve("SPP", F.lit("psi"), "")), curve("TEMP", F.lit("degC"), ""),
+        )).alias("curves"),
+        F.lit(True).alias("has_log_data"),
+        F.when(d % 43 == 3, "DEPT, DTIM, GR, SPP")
+        .when(d % 61 == 6, "DEPT,DTIM,GR,SPP,TEMP,GR")
+        .when(d % 3 == 1, "GR,SPP,TEMP,DEPT,DTIM")
+        .otherwise("DEPT,DTIM,GR,SPP,TEMP")
+        .alias("mnemonic_list"),
+        F.when(d % 43 == 3, F.concat(depth_unit, F.lit(",,gAPI,psi")))
+        .when(d % 61 == 6, F.concat(depth_unit, F.lit(",,gAPI,psi,degC,gAPI")))
+        .when(d % 47 == 2, "m,,gAPI")
+        .when(d % 3 == 1, F.concat(F.lit("gAPI, psi, degC,"), depth_unit, F.lit(",")))
+        .otherwise(F.concat(depth_unit, F.lit(",,gAPI,psi,degC")))
+        .alias("unit_list"),
+    )
+
+
+def well_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of the same logs: (path, line_no, line); some values are empty, null or no numbers."""
+    e = numbered_events(spark, sf_dir, ["device_id"]).withColumn("_d", _log_number())
+    event_id, d = F.col("event_id"), F.col("_d")
+    depth = F.when(event_id % 499 == 0, "-999.25").otherwise(
+        (1000.0 + F.col("rn") * 0.5 - (event_id % 7) * 0.25).cast("string")
+    )
+    time = F.when(event_id % 401 == 0, "").otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
+    value = F.col("value").cast("decimal(12,2)")
+    gamma = (
+        F.when(event_id % 601 == 0, "12e3").when(event_id % 701 == 0, "-0.5").otherwise(value.cast("string"))
+    )
+    pressure = F.concat((8000 + event_id % 500).cast("string"), F.when(event_id % 13 == 0, " ").otherwise(""))
+    temperature = (100.0 + (event_id % 40) * 0.5).cast("string")
+    extra = F.when(event_id % 797 == 0, ",1").otherwise("")
+
+    def line(*fields: Column) -> Column:
+        return F.concat(F.concat_ws(",", *fields), extra)
+
+    return e.select(
+        _path().alias("path"),
+        F.col("rn").alias("line_no"),
+        F.when(d % 43 == 3, line(depth, time, gamma, pressure))
+        .when(d % 61 == 6, line(depth, time, gamma, pressure, temperature, (value + 1).cast("string")))
+        .when(d % 3 == 1, line(gamma, pressure, temperature, depth, time))
+        .otherwise(line(depth, time, gamma, pressure, temperature))
+        .alias("line"),
+    )
