@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from wellstream.operators.slices import SLICE, slice_start
 
-SECOND, HOUR = 1_000_000, 3_600_000_000
+SECOND = 1_000_000
+# With one-second intervals a span is an hour.
+INTERVALS_PER_SPAN = 3600
 
 
 def latency_micros() -> Column:
@@ -78,58 +80,55 @@ def totals(published: DataFrame) -> DataFrame:
     )
 
 
-def per_second(published: DataFrame) -> DataFrame:
-    """Published readings per second of receipt, with the latest recorded latency of that second."""
+def per_interval(published: DataFrame, interval_micros: int) -> DataFrame:
+    """Published readings per interval of receipt, with the latest recorded latency of that interval."""
     latency = latency_micros()
     return (
-        published.withColumn("_second", slice_start(F.unix_micros("received_at_utc"), SECOND))
-        .groupBy("_second")
+        published.withColumn("_from", slice_start(F.unix_micros("received_at_utc"), interval_micros))
+        .groupBy("_from")
         .agg(
             F.count(F.lit(1)).alias("_n"),
             F.max(F.when(latency.isNotNull(), F.struct("received_at_utc", "arrival_no", latency.alias("us"))))
             .alias("_latest"),
         )
-        .select("_second", "_n", F.col("_latest.us").alias("_latency"))
+        .select("_from", "_n", F.col("_latest.us").alias("_latency"))
     )
 
 
-def metrics_series(published: DataFrame) -> DataFrame:
-    """M4: one sample per second from the first to the last receipt, empty seconds included.
+def metrics_series(published: DataFrame, interval_seconds: int = 1) -> DataFrame:
+    """M4: one sample at the end of every interval between the first and the last receipt, empty ones too.
 
-    Running values are built in two levels: hours are accumulated first (a few thousand rows per year),
-    then seconds inside each hour. No task sees more than the seconds of one hour or the hours in total.
+    Running values are built in two levels: whole spans of intervals are accumulated first, then the
+    intervals inside each span. A task sees the intervals of one span, or one row per span.
     """
-    seconds = per_second(published).withColumn(SLICE, slice_start(F.col("_second"), HOUR))
-    hours = seconds.groupBy(SLICE).agg(
+    step = interval_seconds * SECOND
+    span = step * INTERVALS_PER_SPAN
+    counted = per_interval(published, step).withColumn(SLICE, slice_start(F.col("_from"), span))
+    spans = counted.groupBy(SLICE).agg(
         F.sum("_n").alias("_n"),
-        F.max_by("_latency", F.when(F.col("_latency").isNotNull(), F.col("_second"))).alias("_latency"),
-        F.min("_second").alias("_first"),
-        F.max("_second").alias("_last"),
-    )
-    span = hours.agg(F.min("_first").alias("_start"), F.max("_last").alias("_end"))
-    every_hour = span.select(
-        "_start", "_end",
-        F.explode(F.sequence(slice_start(F.col("_start"), HOUR), slice_start(F.col("_end"), HOUR), F.lit(HOUR)))
-        .alias(SLICE),
+        F.max_by("_latency", F.when(F.col("_latency").isNotNull(), F.col("_from"))).alias("_latency"),
+        F.min("_from").alias("_first"),
+        F.max("_from").alias("_last"),
     )
+    ends = spans.agg(F.min("_first").alias("_start"), F.max("_last").alias("_end"))
+    every_span = ends.select("_start", "_end", F.explode(F.sequence(
+        slice_start(F.col("_start"), span), slice_start(F.col("_end"), span), F.lit(span)
+    )).alias(SLICE))
     before = Window.orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    carried = every_hour.join(hours.drop("_first", "_last"), SLICE, "left").select(
+    carried = every_span.join(spans.drop("_first", "_last"), SLICE, "left").select(
         SLICE, "_start", "_end",
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_total"),
         F.last("_latency", ignorenulls=True).over(before).alias("_carried_latency"),
     )
-    spine = carried.repartition(SLICE).select(
-        "*",
-        F.explode(F.sequence(
-            F.greatest(SLICE, "_start"), F.least(F.col(SLICE) + (HOUR - SECOND), F.col("_end")), F.lit(SECOND)
-        )).alias("_second"),
-    )
-    inside = Window.partitionBy(SLICE).orderBy("_second").rowsBetween(Window.unboundedPreceding, 0)
+    spine = carried.repartition(SLICE).select("*", F.explode(F.sequence(
+        F.greatest(SLICE, "_start"), F.least(F.col(SLICE) + (span - step), F.col("_end")), F.lit(step)
+    )).alias("_from"))
+    inside = Window.partitionBy(SLICE).orderBy("_from").rowsBetween(Window.unboundedPreceding, 0)
     n = F.coalesce("_n", F.lit(0))
     latency = F.coalesce(F.last("_latency", ignorenulls=True).over(inside), F.col("_carried_latency"))
-    return spine.join(seconds, [SLICE, "_second"], "left").select(
-        F.timestamp_micros(F.col("_second") + SECOND).alias("sampled_at_utc"),
+    return spine.join(counted, [SLICE, "_from"], "left").select(
+        F.timestamp_micros(F.col("_from") + step).alias("sampled_at_utc"),
         (F.col("_total") + F.sum(n).over(inside)).alias("readings_processed_total"),
-        n.cast("double").alias("readings_per_second"),
+        (n / F.lit(float(interval_seconds))).alias("readings_per_second"),
         (latency / 1000).alias("latest_end_to_end_latency_ms"),
     )

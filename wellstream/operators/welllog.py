@@ -252,7 +252,7 @@ def map_lines(lines: DataFrame, lines_per_slice: int = LINES_PER_SLICE) -> DataF
     rate = F.coalesce(F.try_divide(F.col("depth_metres") - F.col("_previous.depth_metres"), hours), F.lit(0.0))
     return checked.withColumn("rate", rate).select(
         "path", "device_id", "line_no", "uid_well", "name_well", "uid_wellbore", "name_wellbore",
-        "depth_metres", "dtim", "gr", "spp", "temp", "rate", "stage", "reason",
+        "depth_metres", "dtim", "gr", "spp", "temp", "rate", "stage", "reason", F.size("fields").alias("fields"), "columns",
     )
 
 

@@ -177,7 +177,11 @@ def well_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     depth = F.when(event_id % 499 == 0, "-999.25").otherwise(
         (1000.0 + F.col("rn") * 0.5 - (event_id % 7) * 0.25).cast("string")
     )
-    time = F.when(event_id % 401 == 0, "").otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
+    time = (
+        F.when(event_id % 401 == 0, "")
+        .when(event_id % 907 == 0, "2023-12-01T00:00:00Z")
+        .otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
+    )
     value = F.col("value").cast("decimal(12,2)")
     gamma = (
         F.when(event_id % 601 == 0, "12e3").when(event_id % 701 == 0, "-0.5").otherwise(value.cast("string"))
