@@ -13,9 +13,12 @@ NUMBER = r"^([+-]?(\d+\.?\d*|\.\d+)|(\d+\.?\d*|\.\d+)[+-])$"
 TIME_WITH_OFFSET = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?(Z|[+-]\d{2}:\d{2})$"
 
 
+WHITE_SPACE = " \t\r\n"
+
+
 def strip(text: Column) -> Column:
-    """Trim every kind of white space, line breaks included."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    """Trim blanks, tabs and line breaks."""
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def split_list(text: Column) -> Column:
@@ -31,8 +34,9 @@ def last_position(names: Column, name: Column) -> Column:
 
 def parse_number(text: Column) -> Column:
     """Invariant decimal number or null."""
-    trailing = text.rlike(r"[+-]$")
-    plain = F.when(trailing, F.concat(F.right(text, F.lit(1)), F.regexp_replace(text, r"[+-]$", ""))).otherwise(text)
+    trailing_sign = F.endswith(text, F.lit("-")) | F.endswith(text, F.lit("+"))
+    sign_first = F.concat(F.right(text, F.lit(1)), F.left(text, F.length(text) - 1))
+    plain = F.when(trailing_sign, sign_first).otherwise(text)
     return F.when(text.rlike(NUMBER), plain.try_cast("double"))
 
 

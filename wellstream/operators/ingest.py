@@ -40,63 +40,89 @@ def _named(value: Column, names: list[str]) -> Column:
     return F.coalesce(match, value)
 
 
-def _kind_mismatch(document: Column, member: str, kind: T.DataType) -> Column:
-    """True where the member exists with another JSON type than its column, null included."""
-    found = F.schema_of_variant(F.try_variant_get(document, f"$.{member}", "variant"))
-    if isinstance(kind, (T.StringType, T.TimestampType)):
-        wrong = found != "STRING"
-    elif isinstance(kind, T.LongType):
-        wrong = found != "BIGINT"
-    else:
-        wrong = ~(found.isin("BIGINT", "DOUBLE", "FLOAT") | found.startswith("DECIMAL"))
-    return F.coalesce(wrong, F.lit(False))
+# JSON types, as the schema of a variant names them, that a column accepts.
+JSON_TYPES = {
+    "string": ["STRING"],
+    "timestamp": ["STRING"],
+    "bigint": ["BIGINT"],
+    "double": ["BIGINT", "DOUBLE", "FLOAT", "DECIMAL"],
+}
+# How the value of a member of that type cannot start; a quick look before the exact check.
+UNUSUAL_START = {
+    "string": r'[^"\s]',
+    "timestamp": r'[^"\s]',
+    "bigint": r"(?:[^\d\s-]|-?\d+[.eE])",
+    "double": r"[^\d\s-]",
+}
+
+
+def _wrong_type() -> Column:
+    """True where a member of the message has another JSON type than its column, null included.
+
+    Messages are well-typed almost always, so a pattern over the text sorts out the rare suspects (an
+    escaped member name makes one too) and only they are parsed a second time and looked at by member.
+    """
+    by_start: dict[str, list[str]] = {}
+    for member, _, kind in READING_FIELDS:
+        by_start.setdefault(UNUSUAL_START[kind.simpleString()], []).append(member)
+    pattern = '"(?:' + "|".join(rf'(?:{"|".join(ms)})"\s*:\s*{start}' for start, ms in by_start.items()) + ")"
+    suspect = F.col("value").rlike(pattern) | F.contains("value", F.lit("\\u"))
+    accepted = F.create_map(*[
+        F.lit(x) if isinstance(x, str) else F.array(*map(F.lit, x))
+        for member, _, kind in READING_FIELDS for x in (member, JSON_TYPES[kind.simpleString()])
+    ])
+    members = F.map_entries(F.try_parse_json("value").cast("map<string,variant>"))
+    wrong = F.exists(members, lambda e: F.coalesce(
+        ~F.array_contains(
+            F.try_element_at(accepted, e["key"]), F.regexp_extract(F.schema_of_variant(e["value"]), "^[A-Z]+", 0)
+        ),
+        F.lit(False),
+    ))
+    return F.when(suspect, F.coalesce(wrong, F.lit(True))).otherwise(F.lit(False))
+
+
+def _evaluated_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns behind a generator, so that filters above never repeat the parsing below them."""
+    packed = F.struct(*[c.alias(name) for name, c in columns.items()])
+    return df.select("*", F.inline(F.array(packed)))
 
 
 def parse_messages(messages: DataFrame, strict: bool = True) -> DataFrame:
-    """Messages (value, arrival_no, received_at_utc) to reading columns; ``parsed`` tells success.
+    """Messages (value, arrival_no, received_at_utc) to reading columns; ``parsed`` tells success.
 
-    ``strict`` also rejects what the JSON reader of Spark lets pass: a number where a string belongs and
-    an explicit null. Works the same on batch and streaming input.
+    Absent members take their defaults. ``strict`` also rejects what the JSON reader of Spark lets pass: a
+    number where a string belongs and an explicit null. Works the same on batch and streaming input.
     """
     options = {
         "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "allowNonNumericNumbers": "false",
-        "timestampFormat": "yyyy-MM-dd'T'HH:mm[:ss][.SSSSSS][.SSSSS][.SSSS][.SSS][.SS][.S][XXX]",
     }
     # Timestamps are read as text first: only ISO text counts, and 100 ns digits are cut to micros.
     text_schema = T.StructType([
         T.StructField(f.name, T.StringType() if isinstance(f.dataType, T.TimestampType) else f.dataType)
         for f in MESSAGE_SCHEMA
     ])
-    read = messages.withColumn("_m", F.from_json("value", text_schema, options))
+    read = _evaluated_once(messages.select(*ARRIVAL_COLUMNS, "value"), _m=F.from_json("value", text_schema, options))
     ok = F.col("_m").isNotNull() & F.col(f"_m.{CORRUPT}").isNull()
     if strict:
-        document = F.try_parse_json("value")
-        mismatches = [_kind_mismatch(F.col("_v"), member, kind) for member, _, kind in READING_FIELDS]
-        read = read.withColumn("_v", document)
-        bad = mismatches[0]
-        for mismatch in mismatches[1:]:
-            bad = bad | mismatch
-        ok = ok & F.col("_v").isNotNull() & ~bad
+        ok = ok & ~_wrong_type()
     session, time = F.col("_m.AcquisitionSessionId"), F.col("_m.TimestampUtc")
-    ok = ok & (session.isNull() | session.rlike(GUID)) & (
-        time.isNull() | (time.rlike(ISO_TIME) & F.try_to_timestamp(time).isNotNull())
-    )
+    instant = F.try_to_timestamp(F.when(time.rlike(ISO_TIME), time))
+    ok = ok & (session.isNull() | session.rlike(GUID)) & (time.isNull() | instant.isNotNull())
 
     def typed(member: str, column: str, kind: T.DataType) -> Column:
         value = F.col(f"_m.{member}")
         if isinstance(kind, T.TimestampType):
-            value = F.try_to_timestamp(value)
+            value = instant
         elif column == "acquisition_session_id":
             value = F.lower(value)
         elif column == "drilling_operation":
             value = _named(value, OPERATIONS)
         elif column == "acquisition_mode":
             value = _named(value, MODES)
-        return F.coalesce(value, _default(column, kind)).alias(column)
+        return F.coalesce(value, _default(column, kind))
 
-    return read.select(
-        *[typed(*field) for field in READING_FIELDS], *ARRIVAL_COLUMNS, "value", ok.alias("parsed")
-    )
+    columns = {column: typed(member, column, kind) for member, column, kind in READING_FIELDS}
+    return _evaluated_once(read, **columns, parsed=ok).select(*READING_COLUMNS, *ARRIVAL_COLUMNS, "value", "parsed")
 
 
 def validate(readings: DataFrame) -> DataFrame:

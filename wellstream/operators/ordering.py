@@ -73,6 +73,13 @@ def stored_only(readings: DataFrame) -> DataFrame:
     )
 
 
+def first_arrivals(readings: DataFrame) -> DataFrame:
+    """Key, receipt and arrival number of the same rows. Fixed-width buffers keep this a hash aggregate."""
+    return readings.groupBy(*NATURAL_KEY).agg(
+        F.min_by("received_at_utc", "arrival_no").alias("received_at_utc"), F.min("arrival_no").alias("arrival_no")
+    )
+
+
 def sequence_status(sequence: Column, last: Column) -> Column:
     return (
         F.when(last.isNull(), BASELINE)

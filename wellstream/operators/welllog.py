@@ -144,22 +144,21 @@ def curve_reason() -> Column:
 
 def resolve(documents: DataFrame) -> DataFrame:
     """Adds field positions, depth unit, null values and the header's first errors."""
-    listed = documents.withColumns({
-        "mnemonics": W.split_list("mnemonic_list"),
-        "units": W.split_list("unit_list"),
-    })
-    null_value = F.map_from_entries(F.transform(
+    listed = documents.select(
+        "*", W.split_list("mnemonic_list").alias("mnemonics"), W.split_list("unit_list").alias("units")
+    )
+    null_values = F.map_from_entries(F.transform(
         F.filter("curves", lambda c: c["mnemonic"].isNotNull()), lambda c: F.struct(c["mnemonic"], c["null_value"])
     ))
     curves = {"depth": F.col("index_curve"), **{c.lower(): F.lit(c) for c in REQUIRED_CURVES}}
-    placed = listed.withColumns({f"{n}_at": W.last_position(F.col("mnemonics"), c) for n, c in curves.items()})
-    placed = placed.withColumn("_null_values", null_value).withColumns(
-        {f"{n}_null": F.nullif(F.try_element_at("_null_values", c), F.lit("")) for n, c in curves.items()}
-    ).drop("_null_values")
-    placed = placed.withColumn("depth_unit", F.get("units", F.col("depth_at") - 1))
-    return placed.withColumn("structure_reason", structure_reason()).withColumn(
-        "curve_reason", F.when(F.col("structure_reason").isNull(), curve_reason())
+    placed = listed.select(
+        "*",
+        *[W.last_position(F.col("mnemonics"), c).alias(f"{n}_at") for n, c in curves.items()],
+        *[F.nullif(F.try_element_at(null_values, c), F.lit("")).alias(f"{n}_null") for n, c in curves.items()],
     )
+    with_unit = placed.select("*", F.get("units", F.col("depth_at") - 1).alias("depth_unit"))
+    checked = with_unit.select("*", structure_reason().alias("structure_reason"))
+    return checked.select("*", F.when(F.col("structure_reason").isNull(), curve_reason()).alias("curve_reason"))
 
 
 LINE_NEEDS = [
@@ -212,12 +211,16 @@ def map_lines(lines: DataFrame, lines_per_slice: int = LINES_PER_SLICE) -> DataF
     The previous line comes from a window over a slice of the document. The last line of each slice is
     shown to the next slice too, so a very long document is not one task.
     """
-    fields = lines.withColumn("fields", W.split_list("line"))
-    texts = fields.withColumns({f"{n}_text": _field(n) for n in ("depth", "dtim", "gr", "spp", "temp")})
-    values = texts.withColumns({
-        **{n: W.parse_number(F.col(f"{n}_text")) for n in ("depth", "gr", "spp", "temp")},
-        "dtim": W.parse_time(F.col("dtim_text")),
-    }).withColumn("depth_metres", W.to_metres(F.col("depth"), F.col("depth_unit")))
+    names = ("depth", "dtim", "gr", "spp", "temp")
+    fields = lines.select("*", F.split("line", ",", -1).alias("fields"))
+    texts = fields.select("*", *[_field(n).alias(f"{n}_text") for n in names])
+    depth = W.parse_number(F.col("depth_text"))
+    values = texts.select(
+        "*",
+        *[W.parse_number(F.col(f"{n}_text")).alias(n) for n in ("depth", "gr", "spp", "temp")],
+        W.parse_time(F.col("dtim_text")).alias("dtim"),
+        W.to_metres(depth, F.col("depth_unit")).alias("depth_metres"),
+    )
 
     start = slice_start(F.col("line_no"), lines_per_slice)
     is_last = F.pmod("line_no", F.lit(lines_per_slice)) == lines_per_slice - 1
@@ -225,10 +228,10 @@ def map_lines(lines: DataFrame, lines_per_slice: int = LINES_PER_SLICE) -> DataF
         F.struct(start.alias("at"), F.lit(False).alias("again")),
         F.when(is_last, F.struct((start + lines_per_slice).alias("at"), F.lit(True).alias("again"))),
     ))
-    placed = values.withColumn("_place", F.explode(shown)).withColumn(SLICE, F.col("_place.at"))
+    placed = values.select("*", F.inline(shown)).withColumnRenamed("at", SLICE)
     by_line = Window.partitionBy("path", SLICE).orderBy("line_no")
     previous = F.lag(F.struct("depth_metres", "dtim")).over(by_line)
-    chained = placed.withColumn("_previous", previous).where(~F.col("_place.again"))
+    chained = placed.select("*", previous.alias("_previous")).where(~F.col("again"))
 
     labels = {
         "depth": F.col("index_curve"), "dtim": F.lit(TIME_CURVE), "gr": F.lit(GAMMA_CURVE),
@@ -241,18 +244,17 @@ def map_lines(lines: DataFrame, lines_per_slice: int = LINES_PER_SLICE) -> DataF
     count_reason = F.concat(
         F.size("fields").cast("string"), F.lit(" fields but "), F.col("columns").cast("string"), F.lit(" columns")
     )
-    checked = chained.withColumns({
-        "stage": F.when(columns_found, FIELD_COUNT)
-        .when(F.col("curve_reason").isNotNull(), CURVES)
-        .when(value_reason.isNotNull(), VALUES),
-        "reason": F.when(columns_found, count_reason).otherwise(
-            F.coalesce(F.col("curve_reason"), value_reason)),
-    })
     hours = (F.unix_micros("dtim") - F.unix_micros("_previous.dtim")) / 3.6e9
     rate = F.coalesce(F.try_divide(F.col("depth_metres") - F.col("_previous.depth_metres"), hours), F.lit(0.0))
-    return checked.withColumn("rate", rate).select(
+    return chained.select(
         "path", "device_id", "line_no", "uid_well", "name_well", "uid_wellbore", "name_wellbore",
-        "depth_metres", "dtim", "gr", "spp", "temp", "rate", "stage", "reason", F.size("fields").alias("fields"), "columns",
+        "depth_metres", "dtim", "gr", "spp", "temp", rate.alias("rate"),
+        F.when(columns_found, FIELD_COUNT)
+        .when(F.col("curve_reason").isNotNull(), CURVES)
+        .when(value_reason.isNotNull(), VALUES)
+        .alias("stage"),
+        F.when(columns_found, count_reason).otherwise(F.coalesce(F.col("curve_reason"), value_reason)).alias("reason"),
+        F.size("fields").alias("fields"), "columns",
     )
 
 

@@ -49,7 +49,7 @@ class Feed:
 
     @cached_property
     def conflicts(self) -> DataFrame:
-        return sessions.session_conflicts(self.stored, self.window_seconds)
+        return sessions.session_conflicts(ordering.first_arrivals(self.readings), self.window_seconds)
 
     @cached_property
     def event_stream(self) -> DataFrame:
