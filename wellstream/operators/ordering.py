@@ -49,12 +49,14 @@ def first_contents(readings: DataFrame) -> DataFrame:
     )
 
 
-def classify_copies(readings: DataFrame) -> DataFrame:
+def classify_copies(readings: DataFrame, arrivals: DataFrame | None = None) -> DataFrame:
     """O2: adds ``store_status``: Stored for the first arrival of a natural key, then Duplicate or Conflict.
 
     A join, not a window over the natural key: AQE splits the side with many copies of one key.
+    ``arrivals`` are the same rows where ``readings`` already went through another operator; first contents
+    are then taken from the plainer plan.
     """
-    matched = readings.join(first_contents(readings), NATURAL_KEY, "left")
+    matched = readings.join(first_contents(readings if arrivals is None else arrivals), NATURAL_KEY, "left")
     status = (
         F.when(F.col("_first_arrival").isNull() | (F.col("arrival_no") == F.col("_first_arrival")), STORED)
         .when(same_content(F.col("_first_content")), DUPLICATE)
@@ -90,23 +92,36 @@ def sequence_status(sequence: Column, last: Column) -> Column:
     )
 
 
-def classify_sequence(readings: DataFrame, arrivals_per_slice: int = ARRIVALS_PER_SLICE) -> DataFrame:
+def classify_sequence(
+    readings: DataFrame, arrivals_per_slice: int = ARRIVALS_PER_SLICE, last_sequences: DataFrame | None = None
+) -> DataFrame:
     """Adds ``previous_sequence``, ``sequence_status`` and ``gap_size``.
 
     The previous sequence is the running maximum of the stream. Copies never move it, because their first
     arrival came before them; so this needs no knowledge of O2 and works on every arrival.
+    ``last_sequences`` (stream key, last_sequence) continues from earlier input.
     """
-    sliced = readings.withColumn(SLICE, slice_start(F.col("arrival_no"), arrivals_per_slice))
+    sliced = readings.select("*", slice_start(F.col("arrival_no"), arrivals_per_slice).alias(SLICE))
     joined = with_carried(sliced, STREAM_KEY, {"_carried": (F.max("sequence_number"), "max")})
     window = slice_window(STREAM_KEY, "arrival_no").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.greatest("_carried", F.max("sequence_number").over(window))
-    out = joined.withColumn("previous_sequence", last)
+    if last_sequences is not None:
+        joined = joined.join(last_sequences, STREAM_KEY, "left")
+        known = F.greatest("_carried", "last_sequence")
+    else:
+        known = F.col("_carried")
+    last = F.greatest(known, F.max("sequence_number").over(window))
+    out = joined.select(*readings.columns, last.alias("previous_sequence"))
     sequence, previous = F.col("sequence_number"), F.col("previous_sequence")
-    return (
-        out.withColumn("sequence_status", sequence_status(sequence, previous))
-        .withColumn("gap_size", F.when(F.col("sequence_status") == GAP, sequence - previous - 1))
-        .drop(SLICE, "_carried")
-    )
+    status = sequence_status(sequence, previous)
+    return out.select("*", status.alias("sequence_status"), F.when(status == GAP, sequence - previous - 1).alias("gap_size"))
+
+
+def last_sequences(readings: DataFrame, earlier: DataFrame | None = None) -> DataFrame:
+    """Highest sequence per stream, continued from ``earlier``."""
+    seen = readings.select(*STREAM_KEY, F.col("sequence_number").alias("last_sequence"))
+    if earlier is not None:
+        seen = seen.unionByName(earlier)
+    return seen.groupBy(*STREAM_KEY).agg(F.max("last_sequence").alias("last_sequence"))
 
 
 def outcome(store_status: Column, status: Column) -> Column:
@@ -119,11 +134,10 @@ def outcome(store_status: Column, status: Column) -> Column:
     )
 
 
-def process(readings: DataFrame, arrivals_per_slice: int = ARRIVALS_PER_SLICE) -> DataFrame:
-    """Every valid arrival with its store status, sequence status and processing outcome."""
-    ordered = classify_copies(classify_sequence(readings, arrivals_per_slice))
+def judged(readings: DataFrame, classified: DataFrame) -> DataFrame:
+    """O5 from rows that carry store and sequence status; copies lose the latter."""
     stored = F.col("store_status") == STORED
-    return ordered.select(
+    return classified.select(
         *readings.columns,
         "store_status",
         F.when(stored, F.col("previous_sequence")).alias("previous_sequence"),
@@ -133,6 +147,11 @@ def process(readings: DataFrame, arrivals_per_slice: int = ARRIVALS_PER_SLICE) -
     )
 
 
+def process(readings: DataFrame, arrivals_per_slice: int = ARRIVALS_PER_SLICE) -> DataFrame:
+    """Every valid arrival with its store status, sequence status and processing outcome."""
+    return judged(readings, classify_copies(classify_sequence(readings, arrivals_per_slice), readings))
+
+
 def live_stream(readings: DataFrame, arrivals_per_slice: int = ARRIVALS_PER_SLICE) -> DataFrame:
     """Readings that advance their stream, in strictly rising sequence per stream.
 

@@ -26,21 +26,26 @@ _BUCKET = "_bucket"
 _T = "_t"
 
 
-def _observations(readings: DataFrame, width: int) -> DataFrame:
+def _observations(readings: DataFrame, width: int, activity: DataFrame | None = None) -> DataFrame:
+    """Readings as observations; the last known observation per session of earlier input comes first."""
     t = F.unix_micros("received_at_utc")
-    return readings.select(
-        "device_id",
-        F.col("acquisition_session_id").alias("session"),
-        "received_at_utc",
-        "arrival_no",
-        t.alias(_T),
-        slice_start(t, width).alias(_BUCKET),
+    columns = [
+        F.col("received_at_utc"), F.col("arrival_no"), t.alias(_T), slice_start(t, width).alias(_BUCKET),
+    ]
+    new = readings.select(
+        "device_id", F.col("acquisition_session_id").alias("session"), *columns,
+        F.lit(None).cast("bigint").alias("_known_episode"),
     )
+    if activity is None:
+        return new
+    return new.unionByName(activity.select("device_id", "session", *columns, F.col("episode").alias("_known_episode")))
 
 
 def _per_bucket(obs: DataFrame) -> DataFrame:
     return obs.groupBy("device_id", _BUCKET, "session").agg(
-        F.min(_T).alias("_first_t"), F.max(F.struct(_T, "arrival_no")).alias("_last")
+        F.min(_T).alias("_first_t"),
+        F.max(F.struct(_T, "arrival_no")).alias("_last"),
+        F.max("_known_episode").alias("_known_episode"),
     )
 
 
@@ -48,19 +53,19 @@ def _episodes(per_bucket: DataFrame, width: int) -> DataFrame:
     """(device, session, bucket) with the bucket that opened the current activity episode."""
     by_time = Window.partitionBy("device_id", "session").orderBy(_BUCKET)
     idle = F.col("_first_t") - F.lag(f"_last.{_T}").over(by_time)
-    opened = per_bucket.withColumn("_opens", F.when(idle.isNull() | (idle > width), F.col(_BUCKET)))
+    opens = F.coalesce("_known_episode", F.when(idle.isNull() | (idle > width), F.col(_BUCKET)))
+    opened = per_bucket.select("*", opens.alias("_opens"))
     return opened.select(
         "device_id",
         "session",
         F.col(_BUCKET),
+        "_last",
         F.max("_opens").over(by_time.rowsBetween(Window.unboundedPreceding, 0)).alias("episode"),
     )
 
 
-def session_changes(readings: DataFrame, window_seconds: int = DEFAULT_WINDOW_SECONDS) -> DataFrame:
+def _changes(obs: DataFrame, width: int) -> DataFrame:
     """First reading after each change of session on a device that follows within the activity window."""
-    width = window_seconds * 1_000_000
-    obs = _observations(readings, width)
     last_of_bucket = (
         _per_bucket(obs)
         .groupBy("device_id", _BUCKET)
@@ -74,13 +79,17 @@ def session_changes(readings: DataFrame, window_seconds: int = DEFAULT_WINDOW_SE
         F.col(f"_l._last.{_T}").alias(_T),
         (F.col(_BUCKET) + width).alias(_BUCKET),
         F.lit(True).alias("_shown"),
+        F.lit(True).alias("_known"),
     )
-    rows = obs.withColumn("_shown", F.lit(False)).unionByName(shown_next)
+    rows = obs.select(
+        "device_id", "session", "received_at_utc", "arrival_no", _T, _BUCKET, F.lit(False).alias("_shown"),
+        F.col("_known_episode").isNotNull().alias("_known"),
+    ).unionByName(shown_next)
     order = Window.partitionBy("device_id", _BUCKET).orderBy(_T, "arrival_no")
-    previous = F.lag(F.struct(F.col("session"), F.col(_T), F.col(_BUCKET), F.col("_shown"))).over(order)
+    previous = F.lag(F.struct("session", _T, _BUCKET, "_shown")).over(order)
     return (
-        rows.withColumn("_previous", previous)
-        .where(~F.col("_shown"))
+        rows.select("*", previous.alias("_previous"))
+        .where(~F.col("_known"))
         .where(F.col("_previous.session") != F.col("session"))
         .where(F.col(_T) - F.col(f"_previous.{_T}") <= width)
         .select(
@@ -98,36 +107,75 @@ def session_changes(readings: DataFrame, window_seconds: int = DEFAULT_WINDOW_SE
     )
 
 
-def session_conflicts(readings: DataFrame, window_seconds: int = DEFAULT_WINDOW_SECONDS) -> DataFrame:
-    """One row per reported conflict, at the arrival that revealed it.
+REPORT_KEY = ["device_id", "first_session", "second_session", "first_episode", "second_episode"]
 
-    ``readings`` are Stored readings; time is ``received_at_utc`` with ``arrival_no`` as tie-break.
+
+def keyed_conflicts(
+    readings: DataFrame,
+    window_seconds: int = DEFAULT_WINDOW_SECONDS,
+    activity: DataFrame | None = None,
+    reported: DataFrame | None = None,
+) -> DataFrame:
+    """Conflicts with the key under which each was reported.
+
+    ``activity`` (:func:`latest_activity`) and ``reported`` (keys) continue from earlier input, which must
+    have been received before ``readings``.
     """
     width = window_seconds * 1_000_000
-    episodes = _episodes(_per_bucket(_observations(readings, width)), width)
-    changes = session_changes(readings, window_seconds)
-    own = episodes.withColumnRenamed("episode", "_own_episode")
+    obs = _observations(readings, width, activity)
+    episodes = _episodes(_per_bucket(obs), width).drop("_last")
     other = episodes.select(
         "device_id",
         F.col("session").alias("other_session"),
         F.col(_BUCKET).alias("_other_bucket"),
         F.col("episode").alias("_other_episode"),
     )
-    placed = changes.join(own, ["device_id", "session", _BUCKET]).join(
+    placed = _changes(obs, width).join(episodes, ["device_id", "session", _BUCKET]).join(
         other, ["device_id", "other_session", "_other_bucket"]
     )
+    pair = session_pair(F.col("session"), F.col("other_session"))
     own_first = F.col("session") < F.col("other_session")
-    reported = (
-        placed.withColumn("_pair", session_pair(F.col("session"), F.col("other_session")))
-        .withColumn("_first_episode", F.when(own_first, F.col("_own_episode")).otherwise(F.col("_other_episode")))
-        .withColumn("_second_episode", F.when(own_first, F.col("_other_episode")).otherwise(F.col("_own_episode")))
-        .groupBy("device_id", "_pair", "_first_episode", "_second_episode")
-        .agg(F.min(F.struct(_T, "arrival_no", "received_at_utc", "session", "other_session")).alias("_c"))
-    )
-    return reported.select(
+    keyed = placed.select(
         "device_id",
+        pair["first"].alias("first_session"),
+        pair["second"].alias("second_session"),
+        F.when(own_first, F.col("episode")).otherwise(F.col("_other_episode")).alias("first_episode"),
+        F.when(own_first, F.col("_other_episode")).otherwise(F.col("episode")).alias("second_episode"),
+        F.struct(_T, "arrival_no", "received_at_utc", "session", "other_session").alias("_c"),
+    )
+    if reported is not None:
+        keyed = keyed.join(reported.select(*REPORT_KEY), REPORT_KEY, "left_anti")
+    first = keyed.groupBy(*REPORT_KEY).agg(F.min("_c").alias("_c"))
+    return first.select(
+        *REPORT_KEY,
         F.col("_c.other_session").alias("existing_session_id"),
         F.col("_c.session").alias("observed_session_id"),
         F.col("_c.arrival_no").alias("arrival_no"),
         F.col("_c.received_at_utc").alias("received_at_utc"),
     )
+
+
+def latest_activity(
+    readings: DataFrame, window_seconds: int = DEFAULT_WINDOW_SECONDS, activity: DataFrame | None = None
+) -> DataFrame:
+    """Last observation and activity episode per device and session; one row per session, ever seen."""
+    width = window_seconds * 1_000_000
+    episodes = _episodes(_per_bucket(_observations(readings, width, activity)), width)
+    last = episodes.groupBy("device_id", "session").agg(F.max(F.struct(_BUCKET, "_last", "episode")).alias("_l"))
+    return last.select(
+        "device_id",
+        "session",
+        F.timestamp_micros(f"_l._last.{_T}").alias("received_at_utc"),
+        F.col("_l._last.arrival_no").alias("arrival_no"),
+        F.col("_l.episode").alias("episode"),
+    )
+
+
+def session_conflicts(readings: DataFrame, window_seconds: int = DEFAULT_WINDOW_SECONDS) -> DataFrame:
+    """One row per reported conflict, at the arrival that revealed it.
+
+    ``readings`` are Stored readings; time is ``received_at_utc`` with ``arrival_no`` as tie-break.
+    """
+    return keyed_conflicts(readings, window_seconds).select(
+        "device_id", "existing_session_id", "observed_session_id", "arrival_no", "received_at_utc"
+    )

@@ -9,29 +9,27 @@ from wellstream.operators.ordering import classify_copies, same_content
 from wellstream.schemas import CONFLICT, CONTENT_COLUMNS, DUPLICATE, NATURAL_KEY, STORED
 
 
-def classify_against(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+def classify_against(
+    stored: DataFrame, incoming: DataFrame, arrivals: DataFrame | None = None, maybe_stored: DataFrame | None = None
+) -> DataFrame:
     """``store_status`` of incoming readings: compared with the stored content where the key exists there,
     otherwise with the first incoming arrival of the key.
 
     The table is reduced to the incoming keys first, so that only their rows are ever shuffled when the
-    keys fit a broadcast.
+    keys fit a broadcast. ``maybe_stored`` narrows the keys that can exist in the table at all.
     """
-    keys = incoming.select(*NATURAL_KEY).distinct()
+    keys = (incoming if maybe_stored is None else maybe_stored).select(*NATURAL_KEY).distinct()
     known = stored.join(keys, NATURAL_KEY, "left_semi").select(
         *NATURAL_KEY, F.struct(*CONTENT_COLUMNS).alias("_known")
     )
     among_incoming = F.col("store_status")
-    return (
-        classify_copies(incoming)
-        .join(known, NATURAL_KEY, "left")
-        .withColumn(
-            "store_status",
-            F.when(F.col("_known").isNull(), among_incoming)
-            .when(same_content(F.col("_known")), DUPLICATE)
-            .otherwise(CONFLICT),
-        )
-        .drop("_known")
+    status = (
+        F.when(F.col("_known").isNull(), among_incoming)
+        .when(same_content(F.col("_known")), DUPLICATE)
+        .otherwise(CONFLICT)
     )
+    matched = classify_copies(incoming, arrivals).join(known, NATURAL_KEY, "left")
+    return matched.select(*incoming.columns, status.alias("store_status"))
 
 
 def insert_if_absent(stored: DataFrame, incoming: DataFrame) -> DataFrame:
