@@ -8,9 +8,9 @@ the price that a copy arriving after that time counts as new.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -33,7 +33,6 @@ CONFLICT_SCHEMA = T.StructType([
     T.StructField("arrival_no", T.LongType()),
     T.StructField("received_at_utc", T.TimestampType()),
 ])
-EPOCH, MICROSECOND = datetime(1970, 1, 1), timedelta(microseconds=1)
 CONTENT_SCHEMA = T.StructType([f for f in READING_SCHEMA.fields if f.name in CONTENT_COLUMNS])
 
 
@@ -116,8 +115,8 @@ class Conflicts(StatefulProcessor):
                 activity[session] = tuple(self._sessions.getValue((session,)))
             return activity.get(session)
 
-        timed = [((r.received_at_utc - EPOCH) // MICROSECOND, r) for r in rows]
-        for t, row in sorted(timed, key=lambda x: (x[0], x[1].arrival_no)):
+        for row in sorted(rows, key=lambda r: (r.t, r.arrival_no)):
+            t = row.t
             own = row.acquisition_session_id
             last = known(own)
             episode = last[1] if last is not None and t - last[0] <= self._width else t
@@ -161,4 +160,5 @@ def classify_sequence_stream(readings: DataFrame) -> DataFrame:
 
 def session_conflicts_stream(readings: DataFrame, window_seconds: int) -> DataFrame:
     """Conflicts of a stream of Stored readings that comes in the order of receipt."""
-    return _keyed(readings, ["device_id"], Conflicts(window_seconds), CONFLICT_SCHEMA)
+    timed = readings.select("*", F.unix_micros("received_at_utc").alias("t"))
+    return _keyed(timed, ["device_id"], Conflicts(window_seconds), CONFLICT_SCHEMA)
