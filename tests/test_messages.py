@@ -61,7 +61,9 @@ def parsed(spark):
     rows = [(i, text) for i, (text, _) in enumerate(CASES.values())]
     df = spark.createDataFrame(rows, "arrival_no long, value string").withColumn(
         "received_at_utc", F.lit("2024-01-01").cast("timestamp"))
-    found = ingest.validate(ingest.parse_messages(df)).collect()
+    # As text, because Python cannot hold the default time in every time zone.
+    found = ingest.validate(ingest.parse_messages(df)).withColumn(
+        "timestamp_utc", F.date_format("timestamp_utc", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")).collect()
     return {name: next(r for r in found if r.arrival_no == i) for i, name in enumerate(CASES)}
 
 
@@ -73,7 +75,7 @@ def test_reject_reason(parsed, name):
 def test_typed_values(parsed):
     good = parsed["good"]
     assert good.acquisition_session_id == GOOD["AcquisitionSessionId"].lower()
-    assert good.timestamp_utc.isoformat() == "2023-12-31T22:00:00.123456"
+    assert good.timestamp_utc == "2023-12-31T22:00:00.123456"
     assert parsed["operation in lower case"].drilling_operation == "DrillingAhead"
     assert (good.acquisition_mode, parsed["no mode"].acquisition_mode) == ("HistoricalImport", "RealTime")
 

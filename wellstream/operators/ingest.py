@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wellstream.functions import predicates as P
+from wellstream.functions.once import evaluated_once
 from wellstream.schemas import (
     ARRIVAL_COLUMNS, CORRUPT, DEFAULT_MODE, EMPTY_SESSION, MESSAGE_SCHEMA, MODES, OPERATIONS, READING_COLUMNS,
     READING_FIELDS,
@@ -81,12 +82,6 @@ def _wrong_type() -> Column:
     return F.when(suspect, F.coalesce(wrong, F.lit(True))).otherwise(F.lit(False))
 
 
-def _evaluated_once(df: DataFrame, **columns: Column) -> DataFrame:
-    """Adds columns behind a generator, so that filters above never repeat the parsing below them."""
-    packed = F.struct(*[c.alias(name) for name, c in columns.items()])
-    return df.select("*", F.inline(F.array(packed)))
-
-
 def parse_messages(messages: DataFrame, strict: bool = True) -> DataFrame:
     """Messages (value, arrival_no, received_at_utc) to reading columns; ``parsed`` tells success.
 
@@ -101,7 +96,7 @@ def parse_messages(messages: DataFrame, strict: bool = True) -> DataFrame:
         T.StructField(f.name, T.StringType() if isinstance(f.dataType, T.TimestampType) else f.dataType)
         for f in MESSAGE_SCHEMA
     ])
-    read = _evaluated_once(messages.select(*ARRIVAL_COLUMNS, "value"), _m=F.from_json("value", text_schema, options))
+    read = evaluated_once(messages.select(*ARRIVAL_COLUMNS, "value"), _m=F.from_json("value", text_schema, options))
     ok = F.col("_m").isNotNull() & F.col(f"_m.{CORRUPT}").isNull()
     if strict:
         ok = ok & ~_wrong_type()
@@ -122,7 +117,7 @@ def parse_messages(messages: DataFrame, strict: bool = True) -> DataFrame:
         return F.coalesce(value, _default(column, kind))
 
     columns = {column: typed(member, column, kind) for member, column, kind in READING_FIELDS}
-    return _evaluated_once(read, **columns, parsed=ok).select(*READING_COLUMNS, *ARRIVAL_COLUMNS, "value", "parsed")
+    return evaluated_once(read, **columns, parsed=ok).select(*READING_COLUMNS, *ARRIVAL_COLUMNS, "value", "parsed")
 
 
 def validate(readings: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wellstream.functions import welltext as W
+from wellstream.functions.once import evaluated_once
 from wellstream.functions.predicates import is_blank, is_finite
 from wellstream.operators.slices import SLICE, slice_start
 from wellstream.schemas import CORRUPT
@@ -144,21 +145,19 @@ def curve_reason() -> Column:
 
 def resolve(documents: DataFrame) -> DataFrame:
     """Adds field positions, depth unit, null values and the header's first errors."""
-    listed = documents.select(
-        "*", W.split_list("mnemonic_list").alias("mnemonics"), W.split_list("unit_list").alias("units")
-    )
+    listed = evaluated_once(documents, mnemonics=W.split_list("mnemonic_list"), units=W.split_list("unit_list"))
     null_values = F.map_from_entries(F.transform(
         F.filter("curves", lambda c: c["mnemonic"].isNotNull()), lambda c: F.struct(c["mnemonic"], c["null_value"])
     ))
     curves = {"depth": F.col("index_curve"), **{c.lower(): F.lit(c) for c in REQUIRED_CURVES}}
-    placed = listed.select(
-        "*",
-        *[W.last_position(F.col("mnemonics"), c).alias(f"{n}_at") for n, c in curves.items()],
-        *[F.nullif(F.try_element_at(null_values, c), F.lit("")).alias(f"{n}_null") for n, c in curves.items()],
+    placed = evaluated_once(
+        listed,
+        **{f"{n}_at": W.last_position(F.col("mnemonics"), c) for n, c in curves.items()},
+        **{f"{n}_null": F.nullif(F.try_element_at(null_values, c), F.lit("")) for n, c in curves.items()},
     )
     with_unit = placed.select("*", F.get("units", F.col("depth_at") - 1).alias("depth_unit"))
-    checked = with_unit.select("*", structure_reason().alias("structure_reason"))
-    return checked.select("*", F.when(F.col("structure_reason").isNull(), curve_reason()).alias("curve_reason"))
+    checked = evaluated_once(with_unit, structure_reason=structure_reason())
+    return evaluated_once(checked, curve_reason=F.when(F.col("structure_reason").isNull(), curve_reason()))
 
 
 LINE_NEEDS = [
