@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tests.helpers import T0, frame, model, random_trace, reading
 from wellstream.operators import history, metrics, ordering, sessions, views
 from wellstream.schemas import READING_SCHEMA
+from wellstream.session import cut_lineage
 
 
 @pytest.fixture
@@ -89,3 +90,10 @@ def test_query_parameters_are_checked(table):
             history.recent_readings(table, "D0", limit)
     with pytest.raises(ValueError, match="limit"):
         history.recent_events(table, 101)
+
+
+def test_lineage_is_cut_by_a_reliable_checkpoint(spark, table):
+    df = cut_lineage(ordering.process(table))
+    assert "Window" not in plan(df)
+    assert spark.sparkContext.getCheckpointDir() is not None
+    assert df.count() == 300

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 SLICE = "_slice"
 
 # Arrival numbers are unique, so a slice of this many numbers holds at most this many rows of any key.
+# Sparse numbering (one row per thousand numbers, say) wants a slice wider by that factor.
 ARRIVALS_PER_SLICE = 1 << 20
 
 

@@ -20,6 +20,7 @@ from wellstream.operators import events, ingest, ordering, sessions, store
 from wellstream.schemas import EVENT_SCHEMA, LATE_ARRIVAL, NATURAL_KEY, PUBLISHED, RAW_MESSAGE_SCHEMA, READING_SCHEMA, STREAM_KEY
 from wellstream.session import configure
 
+KAFKA_OFFSET_BITS = 44
 STORED_OUTCOMES = [PUBLISHED, LATE_ARRIVAL]
 
 BATCH = T.StructField("batch_id", T.LongType())
@@ -117,7 +118,15 @@ class ReadingTables:
 def process_batch(tables: ReadingTables, messages: DataFrame, batch_id: int, window_seconds: int) -> None:
     """One micro-batch of messages. Later steps read what earlier ones wrote, so nothing is computed twice."""
     configure(messages.sparkSession)
-    validated = ingest.validate(ingest.parse_messages(messages))
+    # Several steps read the parsed batch; what a lost executor held of it is parsed again from the source.
+    validated = ingest.validate(ingest.parse_messages(messages)).persist()
+    try:
+        _process(tables, validated, batch_id, window_seconds)
+    finally:
+        validated.unpersist()
+
+
+def _process(tables: ReadingTables, validated: DataFrame, batch_id: int, window_seconds: int) -> None:
     rejected = tables.write("rejects", batch_id, ingest.rejects(validated))
     readings = ingest.valid_readings(validated)
 
@@ -165,7 +174,9 @@ def read_messages(spark: SparkSession, source: str, path: str, max_files_per_tri
 def read_kafka_messages(spark: SparkSession, servers: str, topic: str, max_offsets_per_trigger: int) -> DataFrame:
     """S1 from Kafka: one partition per topic partition; needs the Kafka connector on the class path.
 
-    Offsets are unique per topic partition, so the partition number is put into the low digits.
+    Messages must be keyed by device, so that a stream stays in one topic partition. Offsets are unique
+    within a partition; the partition number goes into the high bits, which keeps the numbers of a stream
+    dense.
     """
     raw = (
         spark.readStream.format("kafka")
@@ -175,7 +186,7 @@ def read_kafka_messages(spark: SparkSession, servers: str, topic: str, max_offse
         .load()
     )
     return raw.select(
-        (F.col("offset") * 100_000 + F.col("partition")).alias("arrival_no"),
+        (F.shiftleft(F.col("partition").cast("bigint"), KAFKA_OFFSET_BITS) + F.col("offset")).alias("arrival_no"),
         F.col("timestamp").alias("received_at_utc"),
         F.col("value").cast("string").alias("value"),
     )
