@@ -289,3 +289,16 @@ def near_duplicates(documents: DataFrame, percent: int = 80, doc_id: str = "doc_
     empty = rows.where("n_shingles = 0").withColumns({"component": F.col("doc_id"), "n_links": F.lit(0).cast("long")})
     out = filled.select("doc_id", "n_shingles", "component", "n_links").unionByName(empty.select("doc_id", "n_shingles", "component", "n_links"))
     return out.select("doc_id", "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.lit(False)).alias("kept"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+
+
+def representatives(documents: DataFrame, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents with one of each group of near duplicates: the one with the smallest doc_id; all their columns as they were.
+
+    A row without doc_id stays unless a document with doc_id has the same shingles. Rows that share a doc_id stay or go together.
+    """
+    found = near_duplicates(documents, percent, doc_id, text)
+    dropped = written(found.where("doc_id is not null and not kept").select("doc_id").distinct())
+    if dropped.count() <= BROADCAST_NODES:
+        dropped = F.broadcast(dropped)
+    rows = documents.join(dropped.withColumnRenamed("doc_id", "dropped doc_id"), documents[doc_id].cast("long") == F.col("dropped doc_id"), "left_anti")
+    return rows
