@@ -28,7 +28,7 @@ QUOTE = re.compile(r"[ \t]*>(?:[ \t]*>)*[ \t]?")
 ANNOUNCES = re.compile(r"(wrote|writes|said|a écrit|schrieb|escribió)\s*:\s*$", re.IGNORECASE)
 WORDS = re.compile(r"\w+")
 #: Words that a line must have to be looked for by itself.
-LEAST_WORDS = 3
+LEAST_WORDS = 2
 PAGE = 256
 
 
