@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 #: Text that one call of a NumPy kernel works on; a longer document is a batch of its own.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 #: Bytes hashed at a time.
 CHUNK_BYTES = 1 << 20
 
@@ -150,12 +150,12 @@ def ship(spark: SparkSession) -> None:
         context._wellstream_shipped = True
 
 
-def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | T.StructType, text: str = "text") -> DataFrame:
+def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | T.StructType, text: str = "text", limit: int = BATCH_BYTES) -> DataFrame:
     """f over slices of bounded text; rows stay where they are."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
-            for part in batches(batch, text):
+            for part in batches(batch, text, limit):
                 out = f(part)
                 if out.num_rows:
                     yield out

@@ -155,14 +155,18 @@ class NearDuplicates:
         self.nodes = written(sets.select("set_a", "set_b", F.col("least.doc_id").alias("node"), F.col("least.n_shingles").alias("n"), "least.bands", "least.sketch"))
         self.most_bits = most_differing_bits(percent / 100 - MARGIN)
 
-    def confirmed(self, pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (a, b) whose full sets are similar enough."""
+    def promising(self, pairs: DataFrame) -> DataFrame:
+        """Those of the pairs (a, b) whose sketches allow a link, with the sizes of their sets."""
         shape = self.nodes.select("node", "n", "sketch")
         pairs = pairs.join(shape.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b")), "b")
         pairs = pairs.join(shape.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a")), "a")
         small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
         pairs = pairs.where((100 * small >= self.percent * large) & (_differing("sketch_a", "sketch_b") <= self.most_bits))
-        pairs = written(pairs.select("a", "b", "n_a", "n_b"))
+        return pairs.select("a", "b", "n_a", "n_b")
+
+    def confirmed(self, pairs: DataFrame) -> DataFrame:
+        """Those of the pairs (a, b, n_a, n_b) whose full sets are similar enough."""
+        pairs = written(pairs)
         sets = written(_sets(self.documents, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), self.doc_id, self.text, self.k))
         both = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("shingles_b")), "b")
         both = both.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("shingles_a")), "a")
@@ -174,22 +178,22 @@ class NearDuplicates:
         banded = self.nodes.select(F.explode("bands").alias("bucket"), "node")
         buckets = banded.groupBy("bucket").agg(F.min("node").alias("least"), F.count("*").alias("size")).where("size > 1")
         members = written(banded.join(buckets, "bucket"))
-        links = written(self.confirmed(members.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()))
+        stars = members.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
+        links = written(self.confirmed(self.promising(stars)))
         for turn in range(ROUNDS + 1):
             labels = components(links)
             pairs = written(self.across(members, labels, best=turn < ROUNDS))
             if not pairs.limit(1).count():
                 break
-            found = written(self.confirmed(pairs.select("a", "b").distinct()))
+            found = written(self.confirmed(pairs))
             if turn < ROUNDS and not found.limit(1).count():
                 # the best offers were no links: what is left is settled at once
-                pairs = written(self.across(members, labels, best=False))
-                return links.unionByName(self.confirmed(pairs.select("a", "b").distinct()))
+                return links.unionByName(self.confirmed(self.across(members, labels, best=False)))
             links = links.unionByName(found)
         return links
 
     def across(self, members: DataFrame, labels: DataFrame, best: bool) -> DataFrame:
-        """Pairs (a, b) of a bucket in different components whose sketches allow a link; best: for each node and block the best one."""
+        """Pairs (a, b, n_a, n_b) of a bucket in different components whose sketches allow a link; best: for each node and block the best one."""
         named = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
         mixed = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
         rows = named.join(mixed, "bucket").join(self.nodes.select("node", "n", "sketch"), "node")
@@ -207,7 +211,7 @@ class NearDuplicates:
                 yield block_pairs(table, percent, most_bits, best)
 
         ship(rows.sparkSession)
-        return rows.mapInArrow(run, "a long, b long").distinct()
+        return rows.mapInArrow(run, "a long, b long, n_a long, n_b long").distinct()
 
 
 def whole_groups(source: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -269,7 +273,8 @@ def block_pairs(table: pa.Table, percent: int, most_bits: int, best: bool) -> pa
         b = partner[a]
     else:
         a, b = (np.concatenate(x) if x else np.empty(0, dtype=np.int64) for x in (left, right))
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(node[a], node[b])), pa.array(np.maximum(node[a], node[b]))], ["a", "b"])
+    a, b = np.where(node[a] < node[b], a, b), np.where(node[a] < node[b], b, a)
+    return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b]), pa.array(n[a]), pa.array(n[b])], ["a", "b", "n_a", "n_b"])
 
 
 def near_duplicates(documents: DataFrame, percent: int = 80, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE_WORDS) -> DataFrame:
