@@ -219,8 +219,8 @@ def summary(documents: DataFrame, labels: DataFrame) -> DataFrame:
     return found.select("doc_id", F.coalesce(out, F.lit(False)).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.3).cast("int").alias("predicted"))
 
 
-def without_toxic(documents: DataFrame, labels: DataFrame, learn: Column | None = None, threshold: float = 0.3) -> DataFrame:
-    """The documents whose score is below the threshold; all their columns as they were."""
+def without_toxic(documents: DataFrame, labels: DataFrame, learn: Column | None = None, threshold: float = 0.5) -> DataFrame:
+    """The documents that are likelier ordinary than toxic (score below the threshold); all their columns as they were."""
     names = documents.columns
     clash = {"toxicity": "toxicity of the input"} if "toxicity" in names else {}
     found = scored(documents.withColumnsRenamed(clash), labels, learn)
