@@ -34,7 +34,17 @@ CASES = {
     "bad session": (message(AcquisitionSessionId="x"), P.BAD_JSON),
     "bad time": (message(TimestampUtc="yesterday"), P.BAD_JSON),
     "escaped name, bad type": (message().replace('"DeviceId": "D1"', '"Device\\u0049d": 7'), P.BAD_JSON),
-    "number for enum": (message(DrillingOperation=1), P.BAD_JSON),
+    "number for enum": (message(DrillingOperation=1), None),
+    "number of no member": (message(DrillingOperation=9), P.BAD_OPERATION),
+    "number of a mode": (message(AcquisitionMode=1), None),
+    "single quotes": (message().replace('"', "'"), P.BAD_JSON),
+    "text after the object": (message() + " xyz", P.BAD_JSON),
+    "two objects": (message() + message(), P.BAD_JSON),
+    "two listed objects": (message() + "," + message(), P.BAD_JSON),
+    "closing bracket": (message() + "]", P.BAD_JSON),
+    "blanks after the object": (message() + " \n", None),
+    "brace in text": (message(WellName="a}b"), None),
+    "no-break space": (message(DeviceId="\u00a0"), P.BLANK_DEVICE),
     "empty": ("{}", P.BLANK_DEVICE),
     "blank device": (message(DeviceId=" \t"), P.BLANK_DEVICE),
     "empty session": (message(AcquisitionSessionId="00000000-0000-0000-0000-000000000000"), P.EMPTY_SESSION_ID),
@@ -76,6 +86,8 @@ def test_typed_values(parsed):
     good = parsed["good"]
     assert good.acquisition_session_id == GOOD["AcquisitionSessionId"].lower()
     assert good.timestamp_utc == "2023-12-31T22:00:00.123456"
+    assert parsed["number for enum"].drilling_operation == "DrillingAhead"
+    assert parsed["number of a mode"].acquisition_mode == "HistoricalImport"
     assert parsed["operation in lower case"].drilling_operation == "DrillingAhead"
     assert (good.acquisition_mode, parsed["no mode"].acquisition_mode) == ("HistoricalImport", "RealTime")
 

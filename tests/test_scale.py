@@ -10,6 +10,7 @@ from tests.helpers import T0, frame, model, random_trace, reading
 from wellstream.operators import history, metrics, ordering, sessions, views
 from wellstream.schemas import READING_SCHEMA
 from wellstream.session import cut_lineage
+from wellstream.sources import derived
 
 
 @pytest.fixture
@@ -97,3 +98,12 @@ def test_lineage_is_cut_by_a_reliable_checkpoint(spark, table):
     assert "Window" not in plan(df)
     assert spark.sparkContext.getCheckpointDir() is not None
     assert df.count() == 300
+
+
+def test_every_user_keeps_a_device_of_its_own(spark):
+    users = spark.range(1500).select(derived.device_of(F.col("id")).alias("device_id"))
+    assert users.distinct().count() == 1500
+    assert {r.device_id for r in users.where("device_id like '%7'").take(1)} == {"DRILL-007"}
+    events = derived.read_events(spark, "/root/testdata/sf0.1")
+    devices = events.select(derived.device_of(F.col("user_id")).alias("device_id")).distinct().count()
+    assert devices == events.select("user_id").distinct().count()

@@ -26,7 +26,8 @@ INFINITY = float("inf")
 
 
 def is_blank(c: Column) -> Column:
-    return ~F.coalesce(c, F.lit("")).rlike(r"\S")
+    """Null, empty or only white space, that of Unicode included."""
+    return ~F.coalesce(c, F.lit("")).rlike(r"(?U)\S")
 
 
 def is_finite(c: Column) -> Column:

@@ -36,8 +36,9 @@ def _default(column: str, kind: T.DataType) -> Column:
 
 
 def _named(value: Column, names: list[str]) -> Column:
-    """Enum member by name in any case; anything else stays as it is and fails its rule later."""
-    match = F.coalesce(*[F.when(F.lower(F.trim(value)) == name.lower(), name) for name in names])
+    """Enum member by name in any case or by number; anything else stays as it is and fails its rule later."""
+    text = F.lower(F.trim(value))
+    match = F.coalesce(*[F.when((text == name.lower()) | (text == str(i)), name) for i, name in enumerate(names)])
     return F.coalesce(match, value)
 
 
@@ -48,6 +49,8 @@ JSON_TYPES = {
     "bigint": ["BIGINT"],
     "double": ["BIGINT", "DOUBLE", "FLOAT", "DECIMAL"],
 }
+# Members of an enumeration, which may come as a number too.
+ENUM_MEMBERS = ["DrillingOperation", "AcquisitionMode"]
 # How the value of a member of that type cannot start; a quick look before the exact check.
 UNUSUAL_START = {
     "string": r'[^"\s]',
@@ -70,7 +73,8 @@ def _wrong_type() -> Column:
     suspect = F.col("value").rlike(pattern) | F.contains("value", F.lit("\\u"))
     accepted = F.create_map(*[
         F.lit(x) if isinstance(x, str) else F.array(*map(F.lit, x))
-        for member, _, kind in READING_FIELDS for x in (member, JSON_TYPES[kind.simpleString()])
+        for member, _, kind in READING_FIELDS
+        for x in (member, JSON_TYPES[kind.simpleString()] + (["BIGINT"] if member in ENUM_MEMBERS else []))
     ])
     members = F.map_entries(F.try_parse_json("value").cast("map<string,variant>"))
     wrong = F.exists(members, lambda e: F.coalesce(
@@ -82,14 +86,28 @@ def _wrong_type() -> Column:
     return F.when(suspect, F.coalesce(wrong, F.lit(True))).otherwise(F.lit(False))
 
 
+def _one_value() -> Column:
+    """True unless something follows the object: the JSON reader stops at its end and drops the rest.
+
+    If the only closing brace ends the text, nothing follows. Other texts are read as the first of two list
+    elements, the second being a hash of the text: more or fewer elements betray what follows.
+    """
+    text = F.rtrim(F.col("value"))
+    mark = F.xxhash64("value").cast("string")
+    listed = F.from_json(F.concat(F.lit("["), "value", F.lit(","), mark, F.lit("]")), "array<string>", {"allowSingleQuotes": "false"})
+    exact = F.coalesce((F.size(listed) == 2) & (F.try_element_at(listed, F.lit(-1)) == mark), F.lit(False))
+    return (F.locate("}", F.col("value")) == F.char_length(text)) | exact
+
+
 def parse_messages(messages: DataFrame, strict: bool = True) -> DataFrame:
     """Messages (value, arrival_no, received_at_utc) to reading columns; ``parsed`` tells success.
 
     Absent members take their defaults. ``strict`` also rejects what the JSON reader of Spark lets pass: a
-    number where a string belongs and an explicit null. Works the same on batch and streaming input.
+    number where a string belongs, an explicit null, text after the object. Works the same on batch and streaming input.
     """
     options = {
         "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "allowNonNumericNumbers": "false",
+        "allowSingleQuotes": "false",
     }
     # Timestamps are read as text first: only ISO text counts, and 100 ns digits are cut to micros.
     text_schema = T.StructType([
@@ -99,7 +117,7 @@ def parse_messages(messages: DataFrame, strict: bool = True) -> DataFrame:
     read = evaluated_once(messages.select(*ARRIVAL_COLUMNS, "value"), _m=F.from_json("value", text_schema, options))
     ok = F.col("_m").isNotNull() & F.col(f"_m.{CORRUPT}").isNull()
     if strict:
-        ok = ok & ~_wrong_type()
+        ok = ok & ~_wrong_type() & _one_value()
     session, time = F.col("_m.AcquisitionSessionId"), F.col("_m.TimestampUtc")
     instant = F.try_to_timestamp(F.when(time.rlike(ISO_TIME), time))
     ok = ok & (session.isNull() | session.rlike(GUID)) & (time.isNull() | instant.isNotNull())

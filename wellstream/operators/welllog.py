@@ -146,14 +146,16 @@ def curve_reason() -> Column:
 def resolve(documents: DataFrame) -> DataFrame:
     """Adds field positions, depth unit, null values and the header's first errors."""
     listed = evaluated_once(documents, mnemonics=W.split_list("mnemonic_list"), units=W.split_list("unit_list"))
-    null_values = F.map_from_entries(F.transform(
-        F.filter("curves", lambda c: c["mnemonic"].isNotNull()), lambda c: F.struct(c["mnemonic"], c["null_value"])
-    ))
+
+    def null_value(name: Column) -> Column:
+        """That of the last curve of the name."""
+        return F.try_element_at(F.filter("curves", lambda c: c["mnemonic"] == name), F.lit(-1))["null_value"]
+
     curves = {"depth": F.col("index_curve"), **{c.lower(): F.lit(c) for c in REQUIRED_CURVES}}
     placed = evaluated_once(
         listed,
         **{f"{n}_at": W.last_position(F.col("mnemonics"), c) for n, c in curves.items()},
-        **{f"{n}_null": F.nullif(F.try_element_at(null_values, c), F.lit("")) for n, c in curves.items()},
+        **{f"{n}_null": F.nullif(null_value(c), F.lit("")) for n, c in curves.items()},
     )
     with_unit = placed.select("*", F.get("units", F.col("depth_at") - 1).alias("depth_unit"))
     checked = evaluated_once(with_unit, structure_reason=structure_reason())

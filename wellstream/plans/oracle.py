@@ -30,7 +30,7 @@ def _uuid(text: str) -> str:
 
 CTES: dict[str, tuple[list[str], str]] = {
     "keyed": ([], """
-SELECT event_id, ts, user_id, value, 'DRILL-' || lpad(CAST(user_id AS VARCHAR), 3, '0') AS device_id,
+SELECT event_id, ts, user_id, value, 'DRILL-' || CASE WHEN user_id < 100 THEN lpad(CAST(user_id AS VARCHAR), 3, '0') ELSE CAST(user_id AS VARCHAR) END AS device_id,
  CASE WHEN event_id % 5 < 3 THEN '11111111-1111-4111-8111-111111111111'
       ELSE '22222222-2222-4222-8222-222222222222' END AS acquisition_session_id
 FROM events"""),
@@ -430,13 +430,13 @@ GROUP BY outcome, sequence_status""", "processed"),
  round(avg(latency_us / 1000), 6) AS average_ms, min(latency_us / 1000) AS minimum_ms, max(latency_us / 1000) AS maximum_ms,
  quantile_disc(latency_us / 1000, 0.5) AS median_ms, quantile_disc(latency_us / 1000, 0.95) AS p95_ms
 FROM published GROUP BY acquisition_mode""", "published"),
-    "m4_metrics_series": sql("""SELECT make_timestamp(i + 60000000) AS sampled_at_utc,
- CAST(sum(coalesce(n, 0)) OVER w AS BIGINT) AS readings_processed_total, coalesce(n, 0) / 60.0e0 AS readings_per_second,
+    "m4_metrics_series": sql("""SELECT make_timestamp(i + 1000000) AS sampled_at_utc,
+ CAST(sum(coalesce(n, 0)) OVER w AS BIGINT) AS readings_processed_total, coalesce(n, 0) / 1.0e0 AS readings_per_second,
  last_value(latest IGNORE NULLS) OVER w / 1000 AS latest_end_to_end_latency_ms
-FROM (SELECT unnest(generate_series(lo, hi, 60000000)) AS i FROM
- (SELECT min(t // 60000000 * 60000000) AS lo, max(t // 60000000 * 60000000) AS hi
+FROM (SELECT unnest(generate_series(lo, hi, 1000000)) AS i FROM
+ (SELECT min(t // 1000000 * 1000000) AS lo, max(t // 1000000 * 1000000) AS hi
   FROM (SELECT epoch_us(received_at_utc) AS t FROM published)))
-LEFT JOIN (SELECT epoch_us(received_at_utc) // 60000000 * 60000000 AS i, count(*) AS n,
+LEFT JOIN (SELECT epoch_us(received_at_utc) // 1000000 * 1000000 AS i, count(*) AS n,
  arg_max(latency_us, row(received_at_utc, arrival_no)) FILTER (WHERE latency_us IS NOT NULL) AS latest
  FROM published GROUP BY 1) USING (i)
 WINDOW w AS (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""", "published"),

@@ -18,8 +18,6 @@ from wellstream.schemas import ARRIVAL_COLUMNS, NATURAL_KEY, READING_COLUMNS, ST
 SINCE = "2024-01-10 00:00:00"
 ARRIVAL = [*READING_COLUMNS, *ARRIVAL_COLUMNS]
 IMPORT_ID = "import-1"
-# The derived events lie half a minute apart or more, so the series is sampled per minute.
-SAMPLE_SECONDS = 60
 
 
 def plain(df: DataFrame) -> DataFrame:
@@ -160,7 +158,7 @@ QUERIES: dict[str, Callable[[DerivedFeed], DataFrame]] = {
     "m1_outcome_counts": lambda f: metrics.outcome_counts(f.processed),
     "m2_gap_sizes": lambda f: metrics.gap_size_distribution(f.published),
     "m3_latency": lambda f: metrics.latency_summary(f.published),
-    "m4_metrics_series": lambda f: metrics.metrics_series(f.published, SAMPLE_SECONDS),
+    "m4_metrics_series": lambda f: metrics.metrics_series(f.published),
     "m5_totals": lambda f: metrics.totals(f.published),
     "h1_device_ids": lambda f: history.device_ids(f.stored),
     "h2_latest_sessions": lambda f: history.latest_sessions(f.stored),

@@ -24,13 +24,19 @@ def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def device_of(user_id: Column) -> Column:
+    """At least three digits; a longer number keeps all of its own (lpad alone would cut it)."""
+    digits = user_id.cast("string")
+    return F.concat(F.lit("DRILL-"), F.when(F.length(digits) < 3, F.lpad(digits, 3, "0")).otherwise(digits))
+
+
 def numbered_events(
     spark: SparkSession, sf_dir: str, keys: list[str] = STREAM_KEY, slice_micros: int = 6 * MICROS_PER_HOUR
 ) -> DataFrame:
     """Events with their stream and ``rn``, the position inside ``keys`` by (ts, event_id)."""
     events = read_events(spark, sf_dir).select(
         "*",
-        F.concat(F.lit("DRILL-"), F.lpad(F.col("user_id").cast("string"), 3, "0")).alias("device_id"),
+        device_of(F.col("user_id")).alias("device_id"),
         F.when(F.col("event_id") % 5 < 3, SESSION_A).otherwise(SESSION_B).alias("acquisition_session_id"),
         slice_start(F.unix_micros("ts"), slice_micros).alias(SLICE),
     )
@@ -106,7 +112,7 @@ def pinned_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Session shown last per device: that of its first event, or one that has no readings."""
     e = numbered_events(spark, sf_dir)
     first = e.groupBy("device_id").agg(F.min(F.struct("ts", "event_id", "acquisition_session_id")).alias("_f"))
-    number = F.substring("device_id", 7, 10).cast("bigint")
+    number = _log_number()
     return first.select(
         "device_id",
         F.when(number % 10 == 3, "33333333-3333-4333-8333-333333333333")
@@ -120,13 +126,13 @@ def _path() -> Column:
 
 
 def _log_number() -> Column:
-    return F.substring("device_id", 7, 10).cast("bigint")
+    return F.expr("substring(device_id, 7)").cast("bigint")
 
 
 def well_log_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headers of one well log per device; some are unsupported or incomplete."""
     devices = read_events(spark, sf_dir).select(
-        F.concat(F.lit("DRILL-"), F.lpad(F.col("user_id").cast("string"), 3, "0")).alias("device_id")
+        device_of(F.col("user_id")).alias("device_id")
     ).distinct()
     d = F.col("_d")
     depth_unit = F.when(d % 37 == 5, "km").when(d % 5 == 1, "ft").otherwise("m")

@@ -23,7 +23,7 @@ def read_well_logs(spark: SparkSession, directory: str) -> DataFrame:
         .load(directory)
         .select(F.col("_metadata.file_path").alias("path"), "*")
     )
-    listed = spark.read.format("binaryFile").load(directory).select(F.col("path"))
+    listed = spark.read.format("binaryFile").load(directory).select(F.col("_metadata.file_path").alias("path"))
     return listed.join(parsed, "path", "left").withColumn(
         CORRUPT,
         F.when(F.col(CORRUPT).isNotNull() | (F.col("_xmlns").isNull() & F.col("_version").isNull() & F.col("log").isNull()),
