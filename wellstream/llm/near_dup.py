@@ -167,7 +167,8 @@ class NearDuplicates:
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b, n_a, n_b) whose full sets are similar enough."""
         pairs = written(pairs)
-        sets = written(_sets(self.documents, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), self.doc_id, self.text, self.k))
+        ends = pairs.select(F.col("a").alias("node")).distinct().unionByName(pairs.select(F.col("b").alias("node")).distinct()).distinct()
+        sets = written(_sets(self.documents, written(ends), self.doc_id, self.text, self.k))
         both = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("shingles_b")), "b")
         both = both.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("shingles_a")), "a")
         shared = F.size(F.array_intersect("shingles_a", "shingles_b"))
