@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.helpers import T0, frame, model, random_trace, reading
-from wellstream.operators import history, metrics, ordering, sessions, views
+from wellstream.functions import predicates
+from wellstream.operators import history, ingest, metrics, ordering, sessions, views
 from wellstream.schemas import READING_SCHEMA
 from wellstream.session import cut_lineage
 from wellstream.sources import derived
@@ -42,6 +43,17 @@ def test_outcomes_never_put_a_stream_into_one_task(no_broadcast, table):
     assert len(df.collect()) == 300
 
 
+def test_repeated_keys_are_found_by_hash_aggregates(no_broadcast, table):
+    assert "SortAggregate" not in plan(ordering.process(table))
+
+
+def test_every_rule_is_broken_by_some_reading(spark):
+    broken = ingest.validate(derived.broken_readings(spark, "/root/testdata/sf0.001"))
+    found = {r.reject_reason for r in broken.select("reject_reason").distinct().collect()}
+    rules = {v for k, v in vars(predicates).items() if k.startswith(("BLANK_", "BAD_", "EMPTY_SESSION_ID"))}
+    assert found == rules - {predicates.BAD_JSON} | {None}
+
+
 def test_conflicts_window_by_bucket(no_broadcast, table):
     df = sessions.session_conflicts(table, 30)
     for spec in re.findall(r"windowspecdefinition\(([^)]*)\)", plan(df)):

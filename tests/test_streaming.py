@@ -1,4 +1,5 @@
 import json
+import os
 import tempfile
 
 import pytest
@@ -108,6 +109,17 @@ def test_restart_continues_after_the_last_batch(spark, tables, message_files, tr
     assert rows_of(again.published(), "arrival_no") == rows_of(tables.published(), "arrival_no")
 
 
+def test_old_state_goes_and_the_results_stay(spark, tables, message_files):
+    root = folder("tables")
+    messages = microbatch.read_messages(spark, "parquet", message_files, max_files_per_trigger=1)
+    microbatch.start(messages, root, folder("checkpoint"), WINDOW, retained=1).awaitTermination()
+    short = microbatch.ReadingTables(spark, root)
+    for table in microbatch.STATE_TABLES:
+        kept = {name for name in os.listdir(f"{root}/{table}") if name.startswith("batch_id=")}
+        assert kept == {f"batch_id={n}" for n in (PARTS - 2, PARTS - 1)}
+    assert rows_of(short.read("processed"), *PROCESSED) == rows_of(tables.read("processed"), *PROCESSED)
+
+
 def streamed(spark, rows, transform):
     """Results of a stateful operator over the rows in several micro-batches."""
     source = folder("readings")

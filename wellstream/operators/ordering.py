@@ -34,19 +34,19 @@ def same_content(first: Column) -> Column:
 def first_contents(readings: DataFrame) -> DataFrame:
     """First arrival and its content per natural key that arrived more than once.
 
-    The aggregate combines on the map side, so a key that fills a third of the input leaves one row per
-    map task.
+    Repeated keys come from a hash aggregate of two numbers, which combines on the map side: a key that
+    fills a third of the input leaves one row per map task. Contents are then fetched for these keys only.
     """
-    return (
+    repeated = (
         readings.groupBy(*NATURAL_KEY)
-        .agg(
-            F.min("arrival_no").alias("_first_arrival"),
-            F.min_by(F.struct(*CONTENT_COLUMNS), "arrival_no").alias("_first_content"),
-            F.count(F.lit(1)).alias("_arrivals"),
-        )
+        .agg(F.min("arrival_no").alias("_first_arrival"), F.count(F.lit(1)).alias("_arrivals"))
         .where("_arrivals > 1")
         .drop("_arrivals")
     )
+    contents = readings.select(
+        *NATURAL_KEY, F.col("arrival_no").alias("_first_arrival"), F.struct(*CONTENT_COLUMNS).alias("_first_content")
+    )
+    return contents.join(repeated, [*NATURAL_KEY, "_first_arrival"])
 
 
 def classify_copies(readings: DataFrame, arrivals: DataFrame | None = None) -> DataFrame:

@@ -32,6 +32,14 @@ def classify_against(
     return matched.select(*incoming.columns, status.alias("store_status"))
 
 
+def insert_events(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Events to append: each event_id once, unless the table holds it.
+
+    An event_id follows from what happened, so copies of one id are equal rows and any of them may stay.
+    """
+    return incoming.join(stored.select("event_id"), "event_id", "left_anti").dropDuplicates(["event_id"])
+
+
 def insert_if_absent(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     """Rows to append: first arrivals of keys that the table does not hold."""
     fresh = classify_against(stored, incoming).where(F.col("store_status") == STORED)

@@ -72,6 +72,11 @@ class DerivedFeed(Feed):
     def message_results(self) -> DataFrame:
         return ingest.validate(ingest.parse_messages(derived.raw_messages(self.spark, self.sf_dir)))
 
+    @cached_property
+    def broken(self) -> DataFrame:
+        """Readings of which many break a rule."""
+        return ingest.validate(derived.broken_readings(self.spark, self.sf_dir))
+
     # Originals and redeliveries: every arrival number ends in 0 or 3 for originals.
     @cached_property
     def baseline(self) -> DataFrame:

@@ -13,6 +13,7 @@ ARRIVAL = f"{READING}, received_at_utc, arrival_no"
 EVENT = """event_id, event_type, severity, device_id, acquisition_session_id, sequence_number,
  previous_sequence_number, gap_size, message, occurred_at_utc"""
 RANGE_OK = "isfinite({0}) AND {0} >= 0"
+BLANK = "trim(coalesce({0}, ''), ' ' || chr(9) || chr(160)) = ''"
 RATE_OK = """(isfinite(depth_change_rate_metres_per_hour) AND CASE drilling_operation
    WHEN 'Stationary' THEN depth_change_rate_metres_per_hour = 0
    WHEN 'DrillingAhead' THEN depth_change_rate_metres_per_hour > 0
@@ -70,6 +71,32 @@ SELECT *, CASE
  WHEN NOT ({RANGE_OK.format('gamma_ray_api')}) THEN 'gamma ray must be finite and not negative'
  WHEN acquisition_mode NOT IN ('RealTime', 'HistoricalImport') THEN 'acquisition mode is invalid' END AS reject_reason
 FROM arrivals"""),
+    "broken": (["arrivals"], """
+SELECT * REPLACE (CASE k WHEN 1 THEN ' ' WHEN 2 THEN NULL ELSE device_id END AS device_id,
+ CASE k WHEN 3 THEN '00000000-0000-0000-0000-000000000000' WHEN 4 THEN '' ELSE acquisition_session_id END AS acquisition_session_id,
+ CASE k WHEN 5 THEN 0 WHEN 6 THEN -5 ELSE sequence_number END AS sequence_number,
+ CASE k WHEN 7 THEN '' ELSE well_id END AS well_id, CASE k WHEN 8 THEN chr(160) ELSE well_name END AS well_name,
+ CASE k WHEN 9 THEN chr(9) ELSE wellbore_id END AS wellbore_id, CASE k WHEN 10 THEN NULL ELSE wellbore_name END AS wellbore_name,
+ CASE k WHEN 11 THEN 'NaN'::DOUBLE WHEN 12 THEN 'Infinity'::DOUBLE ELSE measured_depth_metres END AS measured_depth_metres,
+ CASE k WHEN 13 THEN 'Sideways' ELSE drilling_operation END AS drilling_operation,
+ CASE k WHEN 14 THEN 'NaN'::DOUBLE ELSE depth_change_rate_metres_per_hour END AS depth_change_rate_metres_per_hour,
+ CASE k WHEN 15 THEN -1.0e0 WHEN 16 THEN 'NaN'::DOUBLE ELSE gamma_ray_api END AS gamma_ray_api,
+ CASE k WHEN 17 THEN 'Sometimes' ELSE acquisition_mode END AS acquisition_mode)
+FROM (SELECT *, arrival_no // 10 % 41 AS k FROM arrivals)"""),
+    "broken_validated": (["broken"], f"""
+SELECT *, CASE WHEN {BLANK.format('device_id')} THEN 'device identifier is empty'
+ WHEN {BLANK.format('acquisition_session_id')} OR acquisition_session_id = '00000000-0000-0000-0000-000000000000'
+  THEN 'acquisition session is empty'
+ WHEN sequence_number <= 0 THEN 'sequence number must be greater than zero'
+ WHEN {BLANK.format('well_id')} THEN 'well identifier is empty' WHEN {BLANK.format('well_name')} THEN 'well name is empty'
+ WHEN {BLANK.format('wellbore_id')} THEN 'wellbore identifier is empty'
+ WHEN {BLANK.format('wellbore_name')} THEN 'wellbore name is empty'
+ WHEN NOT ({RANGE_OK.format('measured_depth_metres')}) THEN 'measured depth must be finite and not negative'
+ WHEN drilling_operation NOT IN ('Stationary', 'DrillingAhead', 'TrippingOut') THEN 'drilling operation is invalid'
+ WHEN NOT {RATE_OK} THEN 'drilling operation and depth-change rate are inconsistent'
+ WHEN NOT ({RANGE_OK.format('gamma_ray_api')}) THEN 'gamma ray must be finite and not negative'
+ WHEN acquisition_mode NOT IN ('RealTime', 'HistoricalImport') THEN 'acquisition mode is invalid' END AS reject_reason
+FROM broken"""),
     "readings": (["validated"], f"SELECT {ARRIVAL} FROM validated WHERE reject_reason IS NULL"),
     "rejected": (["validated"], """
 SELECT received_at_utc, arrival_no, reject_reason FROM validated WHERE reject_reason IS NOT NULL"""),
@@ -382,6 +409,9 @@ LEFT JOIN table_before t ON i.device_id = t.device_id AND i.acquisition_session_
     "s8_reading_response": sql(f"SELECT {_PUBLIC} FROM stored", "stored"),
     "s8_event_response": sql(f"SELECT {EVENT} FROM event_stream", "event_stream"),
     "v1_validate": sql("SELECT arrival_no, reject_reason FROM validated", "validated"),
+    "s4_insert_events": sql(f"""SELECT {EVENT} FROM event_stream WHERE arrival_no % 3 <> 0
+ AND event_type IN ('DuplicateReading', 'ConflictingReading', 'SequenceGap', 'OutOfOrderReading')""", "event_stream"),
+    "v1_broken_readings": sql("SELECT arrival_no, reject_reason FROM broken_validated", "broken_validated"),
     "v1_reason_counts": sql("SELECT reject_reason, count(*) AS readings FROM validated GROUP BY reject_reason", "validated"),
     "v2_rate_consistency": sql(f"SELECT arrival_no, drilling_operation, {RATE_OK} AS consistent FROM arrivals", "arrivals"),
     "v3_constraint_report": sql(_audit("readings", "arrivals", READING_RULES) + " UNION ALL " +

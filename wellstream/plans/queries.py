@@ -39,6 +39,15 @@ def _o1(f: DerivedFeed) -> DataFrame:
     )
 
 
+def _s4(f: DerivedFeed) -> DataFrame:
+    """A table that holds a third of the reading events; all of them arrive, every fifth twice."""
+    found = events.reading_events(f.processed)
+    times = F.when(F.col("arrival_no") % 5 == 0, 2).otherwise(1)
+    incoming = found.withColumn("_time", F.explode(F.sequence(F.lit(1), times)))
+    return store.insert_events(
+        events.events_table(found.where("arrival_no % 3 = 0")), events.events_table(incoming))
+
+
 def _event_type(f: DerivedFeed, name: str) -> DataFrame:
     return events.events_table(events.reading_events(f.processed).where(F.col("event_type") == name))
 
@@ -121,12 +130,14 @@ QUERIES: dict[str, Callable[[DerivedFeed], DataFrame]] = {
     "s3_store_status": lambda f: store.classify_against(f.table_before, f.incoming).select(
         *NATURAL_KEY, "arrival_no", "store_status"),
     "s3_insert_if_absent": lambda f: store.insert_if_absent(f.table_before, f.incoming),
+    "s4_insert_events": _s4,
     "s5_published_readings": lambda f: f.processed.where(F.col("outcome") == "Published").select(*ARRIVAL),
     "s6_readings_scan": lambda f: f.arrivals,
     "s8_reading_response": lambda f: history.reading_response(f.stored),
     "s8_event_response": lambda f: history.event_response(f.event_stream),
     "v1_validate": lambda f: f.validated.select("arrival_no", "reject_reason"),
     "v1_reason_counts": lambda f: f.validated.groupBy("reject_reason").agg(F.count(F.lit(1)).alias("readings")),
+    "v1_broken_readings": lambda f: f.broken.select("arrival_no", "reject_reason"),
     "v2_rate_consistency": lambda f: f.arrivals.select(
         "arrival_no", "drilling_operation",
         predicates.rate_matches_operation(F.col("drilling_operation"), F.col("depth_change_rate_metres_per_hour"))

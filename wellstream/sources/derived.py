@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wellstream.operators.slices import SLICE, slice_start, slice_window, with_carried
-from wellstream.schemas import ARRIVAL_COLUMNS, READING_COLUMNS, READING_FIELDS, STREAM_KEY
+from wellstream.schemas import ARRIVAL_COLUMNS, EMPTY_SESSION, READING_COLUMNS, READING_FIELDS, STREAM_KEY
 
 SESSION_A = "11111111-1111-4111-8111-111111111111"
 SESSION_B = "22222222-2222-4222-8222-222222222222"
@@ -91,6 +91,33 @@ def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select(*READING_COLUMNS, *ARRIVAL_COLUMNS)
 
 
+# One broken member per kind of row: every validation rule has rows that break it.
+BROKEN = [
+    ("device_id", " "), ("device_id", None), ("acquisition_session_id", EMPTY_SESSION), ("acquisition_session_id", ""),
+    ("sequence_number", 0), ("sequence_number", -5), ("well_id", ""), ("well_name", " "), ("wellbore_id", "\t"),
+    ("wellbore_name", None), ("measured_depth_metres", float("nan")), ("measured_depth_metres", float("inf")),
+    ("drilling_operation", "Sideways"), ("depth_change_rate_metres_per_hour", float("nan")), ("gamma_ray_api", -1.0),
+    ("gamma_ray_api", float("nan")), ("acquisition_mode", "Sometimes"),
+]
+KINDS = 41
+
+
+def broken_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``arrivals`` of which 17 in 41 have a member from BROKEN; the others stay as they are."""
+    rows = arrivals(spark, sf_dir)
+    kind = F.expr(f"arrival_no div 10 % {KINDS}")
+    kinds = {f.name: f.dataType for f in rows.schema}
+
+    def replaced(column: str) -> Column:
+        value = F.col(column)
+        for number, (name, bad) in enumerate(BROKEN, 1):
+            if name == column:
+                value = F.when(kind == number, F.lit(bad).cast(kinds[column])).otherwise(value)
+        return value
+
+    return rows.select(*[replaced(c).alias(c) for c in rows.columns])
+
+
 def raw_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``arrivals`` as JSON messages; some are cut off, some come from a writer without acquisition mode."""
     a = arrivals(spark, sf_dir)

@@ -79,6 +79,7 @@ TABLES = {
     "state_activity": ACTIVITY_SCHEMA,
     "state_reported": REPORTED_SCHEMA,
 }
+STATE_TABLES = ["state_streams", "state_activity", "state_reported"]
 
 
 @dataclass(frozen=True)
@@ -103,8 +104,20 @@ class ReadingTables:
         return self.batch(table, batch_id)
 
     def batch(self, table: str, batch_id: int) -> DataFrame:
-        """Rows of one batch; the filter on the partition column prunes all other folders."""
-        return self.read(table).where(F.col("batch_id") == batch_id).drop("batch_id")
+        """Rows of one batch, read from its own folder, so that no other folder is listed."""
+        schema = T.StructType([f for f in TABLES[table].fields if f.name != "batch_id"])
+        path = f"{self.root}/{table}/batch_id={batch_id}"
+        return self.spark.read.schema(schema).option("basePath", path).parquet(path)
+
+    def expire_state(self, batch_id: int, retained: int) -> None:
+        """Delete the state that no replay can ask for any more once this batch is written."""
+        old = batch_id - 1 - retained
+        if old < 0:
+            return
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for table in STATE_TABLES:
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}/batch_id={old}")
+            path.getFileSystem(conf).delete(path, True)
 
     def stored(self) -> DataFrame:
         """The readings table: whatever was the first of its natural key."""
@@ -193,17 +206,29 @@ def read_kafka_messages(spark: SparkSession, servers: str, topic: str, max_offse
 
 
 def start(
-    messages: DataFrame, root: str, checkpoint: str, window_seconds: int = sessions.DEFAULT_WINDOW_SECONDS
+    messages: DataFrame,
+    root: str,
+    checkpoint: str,
+    window_seconds: int = sessions.DEFAULT_WINDOW_SECONDS,
+    trigger: dict[str, object] | None = None,
+    retained: int | None = None,
 ) -> StreamingQuery:
-    """Process everything that is available, then stop; a restart continues after the last batch."""
-    tables = ReadingTables(messages.sparkSession, root)
+    """Process what is available, then stop, or go on for ever with a ``trigger`` like {"processingTime": "10 seconds"}.
+
+    A restart continues after the last batch. State is kept for ``retained`` batches, by default as many as
+    the checkpoint of the query retains.
+    """
+    if retained is None:
+        retained = int(messages.sparkSession.conf.get("spark.sql.streaming.minBatchesToRetain", "100"))
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        process_batch(ReadingTables(batch.sparkSession, tables.root), batch, batch_id, window_seconds)
+        tables = ReadingTables(batch.sparkSession, root)
+        process_batch(tables, batch, batch_id, window_seconds)
+        tables.expire_state(batch_id, retained)
 
     return (
         messages.writeStream.foreachBatch(run)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
