@@ -99,6 +99,19 @@ def test_odd_sketches_estimate_high_similarities():
         assert abs(near_dup.estimated_similarity(np.bitwise_count(a ^ b).sum()) - similarity) < 0.09
 
 
+def test_parities_bound_the_symmetric_difference():
+    rng = np.random.default_rng(4)
+    for n, only in ((100, 10), (100, 0), (1000, 90), (20, 20), (9000, 4000)):
+        union = np.unique(rng.integers(0, 2**63, n + only, dtype=np.int64).astype(np.uint64))
+        sets = [union[:n], union[only:], union[:0]]
+        parities = near_dup.set_parities(np.concatenate(sets), np.cumsum([0, *map(len, sets)]))
+        differing = int(np.bitwise_count(parities[0] ^ parities[1]).sum())
+        assert differing <= 2 * only and differing % 2 == 0
+        assert not parities[2].any()
+        if n == 100:
+            assert differing >= 2 * only - 6
+
+
 def test_fingerprints(documents):
     found = table(order_minhash.with_next(documents))
     docs = sorted((r.doc_id, r.text) for r in documents.collect())

@@ -9,7 +9,9 @@ Nodes that agree in a whole band of the signature meet in a bucket. Buckets are
    node offers its best partner in another component, the links found join components, and so on while that helps;
 3. all pairs left between different components whose sketches allow a link are confirmed.
 
-A candidate is dropped only if its sketches put it `margin` below the threshold; the rest are confirmed on full sets.
+A candidate is dropped if its sketches put it MARGIN below the threshold, or if it can't be a link: a second bitmap holds
+the parity of the set itself, and two of these never differ in more bits than the sets differ in shingles. The rest are
+confirmed on full sets.
 
 Null or empty text has no shingles and is linked with nothing. Rows that share a doc_id are one document. A row without
 doc_id gets the component of documents with the same set (null if there is none). Extra columns are left alone.
@@ -71,12 +73,25 @@ def signatures(shingles: np.ndarray, before: np.ndarray) -> np.ndarray:
 def odd_sketches(values: np.ndarray) -> np.ndarray:
     """Parity bitmaps of signatures as SKETCH_BITS / 64 words each."""
     n, k = values.shape
-    bits = mix((values.astype(np.uint64) << np.uint64(16)) + np.arange(k, dtype=np.uint64)) % np.uint64(SKETCH_BITS)
+    elements = mix((values.astype(np.uint64) << np.uint64(16)) + np.arange(k, dtype=np.uint64))
+    return _parities(elements.reshape(-1), np.arange(n + 1) * k)
+
+
+def set_parities(shingles: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Parity bitmaps of the sets themselves, empty ones included."""
+    return _parities(mix(shingles ^ np.uint64(0x2545F4914F6CDD1D)), before)
+
+
+def _parities(elements: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Bitmaps in which each element of a row flips one bit; before: the elements before each row."""
+    n = len(before) - 1
+    bits = (elements % np.uint64(SKETCH_BITS)).astype(np.int64)
     out = np.empty((n, SKETCH_BITS // 64), dtype=np.uint64)
     for a in range(0, n, 2048):
-        some = bits[a : a + 2048].astype(np.int64) + np.arange(len(bits[a : a + 2048]))[:, None] * SKETCH_BITS
-        parity = (np.bincount(some.reshape(-1), minlength=len(some) * SKETCH_BITS) & 1).astype(np.uint8)
-        out[a : a + 2048] = np.packbits(parity.reshape(-1, SKETCH_BITS), axis=1).view(np.uint64)
+        b = min(n, a + 2048)
+        row = np.repeat(np.arange(b - a), np.diff(before[a : b + 1]))
+        parity = (np.bincount(bits[before[a] : before[b]] + row * SKETCH_BITS, minlength=(b - a) * SKETCH_BITS) & 1).astype(np.uint8)
+        out[a:b] = np.packbits(parity.reshape(-1, SKETCH_BITS), axis=1).view(np.uint64)
     return out
 
 
@@ -99,7 +114,7 @@ def _lists(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
 
 
 def sketched(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id, n_shingles, set_a and set_b (a 128-bit key of the set), bands, sketch."""
+    """doc_id, n_shingles, set_a and set_b (a 128-bit key of the set), bands, sketch, parity."""
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         shingles, before = distinct_shingles(part.column(1), k)
@@ -117,13 +132,14 @@ def sketched(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", k
             set_a[filled] = np.add.reduceat(mix(shingles), begin)
             set_b[filled] = np.add.reduceat(mix(shingles ^ np.uint64(0x5851F42D4C957F2D)), begin)
         offsets = lambda width: np.concatenate(([0], np.cumsum((n > 0) * width)))
+        bitmaps = [_lists(x, offsets(SKETCH_BITS // 64)) for x in (odd_sketches(values), set_parities(shingles, before)[filled])]
         return pa.RecordBatch.from_arrays(
-            [part.column(0), pa.array(n), _long(set_a), _long(set_b), _lists(keys, offsets(BANDS)), _lists(odd_sketches(values), offsets(SKETCH_BITS // 64))],
-            ["doc_id", "n_shingles", "set_a", "set_b", "bands", "sketch"],
+            [part.column(0), pa.array(n), _long(set_a), _long(set_b), _lists(keys, offsets(BANDS)), *bitmaps],
+            ["doc_id", "n_shingles", "set_a", "set_b", "bands", "sketch", "parity"],
         )
 
     rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return map_batches(rows, run, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, sketch array<long>")
+    return map_batches(rows, run, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, sketch array<long>, parity array<long>")
 
 
 def _differing(a: str, b: str) -> Column:
@@ -151,17 +167,19 @@ class NearDuplicates:
         self.documents, self.percent, self.doc_id, self.text, self.k = documents, percent, doc_id, text, k
         self.rows = written(sketched(documents, doc_id, text, k))
         filled = self.rows.where("n_shingles > 0 and doc_id is not null")
-        sets = filled.groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "n_shingles", "bands", "sketch")).alias("least"))
-        self.nodes = written(sets.select("set_a", "set_b", F.col("least.doc_id").alias("node"), F.col("least.n_shingles").alias("n"), "least.bands", "least.sketch"))
+        sets = filled.groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "n_shingles", "bands", "sketch", "parity")).alias("least"))
+        self.nodes = written(sets.select("set_a", "set_b", F.col("least.doc_id").alias("node"), F.col("least.n_shingles").alias("n"), "least.bands", "least.sketch", "least.parity"))
         self.most_bits = most_differing_bits(percent / 100 - MARGIN)
 
     def promising(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) whose sketches allow a link, with the sizes of their sets."""
-        shape = self.nodes.select("node", "n", "sketch")
-        pairs = pairs.join(shape.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b")), "b")
-        pairs = pairs.join(shape.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a")), "a")
+        for end in ("b", "a"):
+            names = {"node": end, "n": f"n_{end}", "sketch": f"sketch_{end}", "parity": f"parity_{end}"}
+            pairs = pairs.join(self.nodes.select(*names).withColumnsRenamed(names), end)
         small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
         pairs = pairs.where((100 * small >= self.percent * large) & (_differing("sketch_a", "sketch_b") <= self.most_bits))
+        # (100 - percent) * both sizes >= (100 + percent) * symmetric difference is the threshold itself
+        pairs = pairs.where((100 - self.percent) * (small + large) >= (100 + self.percent) * _differing("parity_a", "parity_b"))
         return pairs.select("a", "b", "n_a", "n_b")
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
@@ -197,13 +215,13 @@ class NearDuplicates:
         """Pairs (a, b, n_a, n_b) of a bucket in different components whose sketches allow a link; best: for each node and block the best one."""
         named = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
         mixed = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
-        rows = named.join(mixed, "bucket").join(self.nodes.select("node", "n", "sketch"), "node")
+        rows = named.join(mixed, "bucket").join(self.nodes.select("node", "n", "sketch", "parity"), "node")
         blocks = F.ceil(F.col("size") / BLOCK).cast("int")
         rows = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-        rows = rows.select("bucket", "node", "component", "n", "sketch", "own", other.alias("other"))
+        rows = rows.select("bucket", "node", "component", "n", "sketch", "parity", "own", other.alias("other"))
         low, high = F.least("own", "other"), F.greatest("own", "other")
-        rows = rows.select("bucket", low.alias("low"), high.alias("high"), "own", "node", "component", "n", "sketch")
+        rows = rows.select("bucket", low.alias("low"), high.alias("high"), "own", "node", "component", "n", "sketch", "parity")
         rows = rows.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
         percent, most_bits = self.percent, self.most_bits
 
@@ -248,7 +266,10 @@ def block_pairs(table: pa.Table, percent: int, most_bits: int, best: bool) -> pa
     group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, rows)))
     node, component, n, own = (table.column(c).to_numpy() for c in ("node", "component", "n", "own"))
     two = table.column("low").to_numpy() != table.column("high").to_numpy()
-    sketch = np.concatenate([c.values.to_numpy()[c.offsets[0].as_py() : c.offsets[-1].as_py()] for c in table.column("sketch").chunks]).view(np.uint64).reshape(rows, -1)
+    sketch, parity = (
+        np.concatenate([c.values.to_numpy()[c.offsets[0].as_py() : c.offsets[-1].as_py()] for c in table.column(name).chunks]).view(np.uint64).reshape(rows, -1)
+        for name in ("sketch", "parity")
+    )
     score = np.full(rows, SKETCH_BITS + 1)
     partner = np.full(rows, -1)
     left, right = [], []
@@ -260,6 +281,9 @@ def block_pairs(table: pa.Table, percent: int, most_bits: int, best: bool) -> pa
         ok = (component[i] != component[j]) & (~two[i] | (own[i] != own[j]))
         ok &= 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
         a, b = i[ok], j[ok]
+        apart = np.bitwise_count(parity[a] ^ parity[b]).sum(axis=1, dtype=np.int64)
+        able = (100 - percent) * (n[a] + n[b]) >= (100 + percent) * apart
+        a, b = a[able], b[able]
         bits = np.bitwise_count(sketch[a] ^ sketch[b]).sum(axis=1, dtype=np.int64)
         a, b, bits = a[bits <= most_bits], b[bits <= most_bits], bits[bits <= most_bits]
         if best:
