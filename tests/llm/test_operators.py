@@ -147,6 +147,14 @@ def test_toxicity_and_quality_on_held_out_rows(spark):
         assert all(zlib.crc32(str(r.doc_id).encode()) % parts == part and 0 <= r.score <= 1 for r in rows)
 
 
+@pytest.mark.parametrize("labelled", [[], [(i, 0) for i in range(12)], [(i, 1) for i in range(12)], [(1000 + i, i % 2) for i in range(40)], [(i, 0) for i in range(12)] + [(1000 + i, 1) for i in range(40)], [(i, 1) for i in range(12)] + [(1000 + i, 0) for i in range(40)]])
+def test_without_a_model_nothing_is_toxic(spark, labelled):
+    docs = spark.createDataFrame([(i, f"some plain words {i}") for i in range(20)] + [(None, None)], "doc_id long, text string")
+    labels = spark.createDataFrame(labelled, "doc_id long, toxic int")
+    assert toxicity.without_toxic(docs, labels).count() == 21
+    assert {(r.score, r.predicted) for r in toxicity.summary(docs, labels).collect()} == {(0.0, 0)}
+
+
 def kneser_ney(counts, gram, discount=toxicity.DISCOUNT):
     """Probability of the last byte of a gram by the recursion as published; counts: of grams of full order."""
     n = len(gram)

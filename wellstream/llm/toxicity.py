@@ -8,8 +8,9 @@ labelled rows that the models have not seen.
 
 Labels are taken from at most SAMPLE_ROWS rows of each class (the smallest hashes of doc_id), so the class counts have a
 bounded size and are broadcast; the shared counts are tables. Rows without label or doc_id teach nothing. Repeated
-labels of a document count once, as toxic if any says so. Null or empty text has a difference of 0. If one class has no
-rows, every score is 0.5 (no model). Extra columns are left alone.
+labels of a document count once, as toxic if any says so. Null or empty text has a difference of 0. If a class has no
+row among the documents to make the models or to calibrate them, there is no model: nothing is called toxic, every score
+is 0. Extra columns are left alone.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ DISCOUNT = 0.75
 SAMPLE_ROWS = 4000
 #: A word this much likelier as toxic (natural logarithm) stands out.
 OUTSTANDING = 3.0
+#: Score of all documents where the labels teach no model.
+NO_MODEL = 0.0
 PIECE = 1 << 20
 _BLANK = np.uint64(32)
 
@@ -193,9 +196,9 @@ def scored(documents: DataFrame, labels: DataFrame, learn: Column | None = None,
     spark = documents.sparkSession
     sample, totals = labelled_sample(labels, learn, label, sample_rows, doc_id)
     texts = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    if min(totals) == 0:
-        return documents.drop("toxicity").withColumn("toxicity", F.lit(0.5))
     rows = texts.join(F.broadcast(sample), "doc_id")
+    if min(totals) == 0 or rows.select("calibrate", "label").distinct().count() < 4:
+        return documents.drop("toxicity").withColumn("toxicity", F.lit(NO_MODEL))
     shared = shared_model(written(gram_counts(texts)))
     model = spark.sparkContext.broadcast(Model(*weights(class_counts(rows.where("not calibrate")), shared)))
 
