@@ -155,6 +155,16 @@ def test_without_a_model_nothing_is_toxic(spark, labelled):
     assert {(r.score, r.predicted) for r in toxicity.summary(docs, labels).collect()} == {(0.0, 0)}
 
 
+def test_stage_removes_what_the_operator_calls_toxic(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    out = toxicity.held_out_of("doc_id", 4, 2)
+    kept = {r.doc_id for r in toxicity.without_toxic(docs, labels, ~out).select("doc_id").collect()}
+    toxic = {r.doc_id for r in labels.where(out & (toxicity.F.col("toxic") == 1)).collect()}
+    assert len(toxic - kept) >= 0.75 * len(toxic)
+    called = {r.doc_id for r in toxicity.summary(docs, labels).where("predicted = 1").collect()}
+    assert called == {r.doc_id for r in docs.select("doc_id").collect()} - kept
+
+
 def kneser_ney(counts, gram, discount=toxicity.DISCOUNT):
     """Probability of the last byte of a gram by the recursion as published; counts: of grams of full order."""
     n = len(gram)

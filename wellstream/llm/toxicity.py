@@ -31,6 +31,8 @@ DISCOUNT = 0.75
 SAMPLE_ROWS = 4000
 #: A word this much likelier as toxic (natural logarithm) stands out.
 OUTSTANDING = 3.0
+#: Score from which a document is called toxic, in the operator and in the pipeline.
+THRESHOLD = 0.3
 #: Score of all documents where the labels teach no model.
 NO_MODEL = 0.0
 PIECE = 1 << 20
@@ -219,11 +221,11 @@ def summary(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
     out = held_out_of("doc_id", 4, 2)
     found = scored(documents.select("doc_id", "text"), labels, ~out)
-    return found.select("doc_id", F.coalesce(out, F.lit(False)).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.3).cast("int").alias("predicted"))
+    return found.select("doc_id", F.coalesce(out, F.lit(False)).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= THRESHOLD).cast("int").alias("predicted"))
 
 
-def without_toxic(documents: DataFrame, labels: DataFrame, learn: Column | None = None, threshold: float = 0.5) -> DataFrame:
-    """The documents that are likelier ordinary than toxic (score below the threshold); all their columns as they were."""
+def without_toxic(documents: DataFrame, labels: DataFrame, learn: Column | None = None, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents that op4 doesn't call toxic (score below the threshold); all their columns as they were."""
     names = documents.columns
     clash = {"toxicity": "toxicity of the input"} if "toxicity" in names else {}
     found = scored(documents.withColumnsRenamed(clash), labels, learn)
