@@ -212,6 +212,22 @@ def test_repeated_passages(spark):
     assert set(map(frozenset, own.values())) == {frozenset(range(0, 60, 6)), frozenset(range(3, 60, 10))}
 
 
+@pytest.mark.parametrize("slice_bytes", [12 << 20, 8000])
+def test_passages_around_a_common_phrase(spark, monkeypatch, slice_bytes):
+    monkeypatch.setattr(passages, "SLICE_BYTES", slice_bytes)
+    rng = random.Random(7)
+    new = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    phrase = new(40)
+    docs = {i: new(30) + phrase + new(30) for i in range(300)}
+    for i in range(0, 40, 2):  # twenty passages of 60 words, 40 of them the phrase, in two documents each
+        passage = new(10) + phrase + new(10)
+        for j in (i, 299 - i):
+            docs[j] = new(25) + passage + new(25)
+    found = passages.repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string").repartition(3)).collect()
+    assert {frozenset((r.doc_id, r.other_id)) for r in found} == {frozenset((i, 299 - i)) for i in range(0, 40, 2)}
+    assert {(r.start_word, r.end_word, r.other_start, r.other_end) for r in found} == {(25, 85, 25, 85)}
+
+
 def test_compact_windows_are_nodes_of_the_cartesian_tree():
     rng = np.random.default_rng(1)
     for _ in range(20):
