@@ -87,6 +87,17 @@ def test_near_duplicates(spark):
     assert {r.doc_id: tuple(r)[1:4] for r in found.collect()} == classes(docs, 85)
 
 
+def test_representatives_without_or_with_shared_keys(spark):
+    text = lambda tag, last="": " ".join(f"{tag}{i}" for i in range(60)) + last
+    rows = [(None, text("a"), 1), (None, text("a"), 2), (None, text("a", " more"), 3), (7, text("b"), 1), (7, text("b"), 1), (7, text("c"), 1), (7, text("d"), 1), (7, text("d", " more"), 1),
+            (None, text("c"), 4), (8, text("c"), 1), (None, None, 5), (9, "", 1)]
+    kept = near_dup.representatives(spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(3)).collect()
+    groups = sorted((r.text.split()[0], r.doc_id) for r in kept if r.text)
+    assert [(g, i) for g, i in groups if g != "a0"] == [("b0", 7), ("c0", 7), ("d0", 7)]
+    assert [g for g, _ in groups].count("a0") == 1
+    assert {(r.doc_id, r.text) for r in kept if not r.text} == {(None, None), (9, "")}
+
+
 def test_odd_sketches_estimate_high_similarities():
     rng = np.random.default_rng(3)
     for similarity in (0.8, 0.9, 0.97):

@@ -322,13 +322,31 @@ def near_duplicates(documents: DataFrame, percent: int = 80, doc_id: str = "doc_
 
 
 def representatives(documents: DataFrame, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents with one of each group of near duplicates: the one with the smallest doc_id; all their columns as they were.
+    """One row of each group of near duplicates: that with the smallest doc_id, rows without doc_id last; all columns as they were.
 
-    A row without doc_id stays unless a document with doc_id has the same shingles. Rows that share a doc_id stay or go together.
+    For the run a row is known by a hash of doc_id and text, so rows that share a doc_id, or have none, are linked by their
+    own texts. Of rows equal in both the one with the smallest hash of all columns stays. Rows without shingles stay.
     """
-    found = near_duplicates(documents, percent, doc_id, text)
-    dropped = written(found.where("doc_id is not null and not kept").select("doc_id").distinct())
-    if dropped.count() <= BROADCAST_NODES:
-        dropped = F.broadcast(dropped)
-    rows = documents.join(dropped.withColumnRenamed("doc_id", "dropped doc_id"), documents[doc_id].cast("long") == F.col("dropped doc_id"), "left_anti")
-    return rows
+    name = "key of the run"
+    keyed = documents.withColumn(name, F.xxhash64(F.col(doc_id), F.col(text)))
+    found = near_duplicates(keyed.select(F.col(name).alias("doc_id"), F.col(text).alias("text")), percent)
+    groups = found.where("n_shingles > 0").select(F.col("doc_id").alias(name), "component_id").distinct()
+    ids = keyed.groupBy(name).agg(F.first(F.col(doc_id).cast("long")).alias("id"), F.count("*").alias("n"))
+    groups = written(groups.join(ids, name))
+    best = groups.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", name, "n")).alias("best"))
+    best = written(best.select(f"best.`{name}`", "best.n"))
+    dropped = _picked(groups.select(name).join(best, name, "left_anti"))
+    kept = keyed.join(dropped, name, "left_anti")
+    several = best.where("n > 1").select(name)
+    if not several.limit(1).count():
+        return kept.drop(name)
+    several = _picked(several)
+    hashed = [F.col(f"`{n}`") for n, kind in documents.dtypes if "map<" not in kind]
+    one = kept.join(several, name, "left_semi").groupBy(name).agg(F.min_by(F.struct(*[F.col(f"`{n}`") for n in documents.columns]), F.xxhash64(*hashed)).alias("row"))
+    return kept.join(several, name, "left_anti").drop(name).unionByName(one.select("row.*"))
+
+
+def _picked(keys: DataFrame) -> DataFrame:
+    """keys written, to be broadcast if they are few."""
+    keys = written(keys)
+    return F.broadcast(keys) if keys.count() <= BROADCAST_NODES else keys
