@@ -328,6 +328,16 @@ def test_mixture(documents):
     assert again == {r.doc_id: r.taken for r in rows}
 
 
+@pytest.mark.parametrize("key", [None, 5])
+@pytest.mark.parametrize("alike", [False, True])
+def test_mixture_meets_targets_with_shared_keys(spark, key, alike):
+    rows = [(key if i % 2 else 100 + i, "one two three" + ("" if alike and i % 2 else f" word{i}"), "ab"[i % 3 == 0], i) for i in range(600)]
+    found = mixture.mixed(spark.createDataFrame(rows, "doc_id long, text string, source string, n int").repartition(5)).collect()
+    assert sorted(r.n for r in found) == list(range(600))
+    for s in "ab":
+        assert abs(sum(r.taken for r in found if r.source == s) - next(r.target for r in found if r.source == s)) <= 2 + 1e-6
+
+
 def test_quotes(spark):
     rows = [(1, 0, "user", "Hello there my friend.\nHow do you do today?"), (1, 1, "assistant", "I am fine thank you.\nWhat about the weather over there?"),
             (1, 2, "user", "On Monday, A wrote:\n> What about  the WEATHER over there\nRainy."), (1, 3, "assistant", "> Rainy.\n>> What about the weather over there?\nA pity."),

@@ -6,8 +6,8 @@ documents, and for the fraction left those that come first in a seeded order, up
 nearest to the target.
 
 The seeded order is counted in histograms: hashes fall into bins of bounded width, and only the bin with the end of the
-fraction is looked at row by row, so no source is one task. Rows that share doc_id and size are taken or left one by one
-in no particular order, always as many. A null source is one source, the last one. Null text has size 0; a source
+fraction is looked at row by row, so no source is one task. The hash is of doc_id and text; rows equal in both are taken
+or left one by one in no particular order, always as many. A null source is one source, the last one. Null text has size 0; a source
 without words has the target 0 and takes nothing. Extra columns are left alone.
 """
 
@@ -71,6 +71,17 @@ def _fraction(rows: DataFrame, goals: DataFrame) -> DataFrame:
     return bins.join(goals, bins["source"].eqNullSafe(goals["for_source"])).select("source", "bin", "words", (F.sum("words").over(order) - F.col("words")).alias("before"), "whole", "left", "target", "source_size")
 
 
+def _some_of(rows: DataFrame) -> DataFrame:
+    """Equal rows of each source with __part: whether a row is among the first part_rows of them. Rows are numbered task by task."""
+    rows = written(rows.withColumn("__at", F.monotonically_increasing_id()))
+    rows = rows.withColumns({"__task": F.shiftright("__at", 33), "__own": F.row_number().over(Window.partitionBy("__source", F.shiftright("__at", 33)).orderBy("__at"))})
+    counts = rows.groupBy("__source", "__task").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("__source").orderBy("__task")  # as many as tasks
+    before = counts.select(F.col("__source").alias("of"), F.col("__task").alias("task"), (F.sum("n").over(order) - F.col("n")).alias("earlier"))
+    rows = rows.join(F.broadcast(before), rows["__source"].eqNullSafe(before["of"]) & (rows["__task"] == before["task"]))
+    return rows.withColumn("__part", F.col("earlier") + F.col("__own") <= F.col("part_rows")).drop("__at", "__task", "__own", "of", "task", "earlier")
+
+
 def mixed(documents: DataFrame, budget: float = BUDGET, most_epochs: float = MOST_EPOCHS, weights: tuple[float, ...] = WEIGHTS, seed: str = SEED, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """documents with size, source_size, target, repetitions (how often the mix takes the row) and taken (words).
 
@@ -78,8 +89,8 @@ def mixed(documents: DataFrame, budget: float = BUDGET, most_epochs: float = MOS
     """
     results = ["size", "source_size", "target", "repetitions", "taken"]
     kept = documents.drop(*results)
-    # the hash is of the key alone, so it can be made again anywhere; rows of the same key follow each other
-    key = F.md5(F.concat_ws("/", F.lit(seed), F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))).cast("binary"))
+    # the hash is of the row alone, so it can be made again anywhere; rows of the same key and text follow each other
+    key = F.md5(F.concat_ws("/", F.lit(seed), F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.coalesce(F.md5(F.col(text).cast("binary")), F.lit("null"))).cast("binary"))
     rows = kept.withColumns({"size": word_count(text), "__hash": key}).withColumn("__bin", F.conv(F.substring("__hash", 1, 4), 16, 10).cast("int"))
     light = rows.select(F.col(source).alias("source"), "size", F.col("__hash").alias("hash"), F.col("__bin").alias("bin"))
     light = written(light)
@@ -92,16 +103,24 @@ def mixed(documents: DataFrame, budget: float = BUDGET, most_epochs: float = MOS
     ends = _fraction(light, goals).where("before <= left and left < before + words")
     ends = cut(ends.select(F.col("source").alias("for_source"), F.col("bin").alias("end_bin"), "before", "left"))
     inside = light.join(ends, light["source"].eqNullSafe(ends["for_source"]) & (light["bin"] == ends["end_bin"]))
-    grouped = inside.groupBy("source", "hash").agg(F.sum("size").alias("words"), F.first("before").alias("before"), F.first("left").alias("left"))
+    grouped = inside.groupBy("source", "hash").agg(F.sum("size").alias("words"), F.count("*").alias("n"), F.first("before").alias("before"), F.first("left").alias("left"))
     order = Window.partitionBy("source").orderBy("hash")  # one bin of BINS
     summed = grouped.withColumn("start", F.col("before") + F.sum("words").over(order) - F.col("words"))
-    # a document is taken if more than half of it lies before the end: the nearest total
-    taken = summed.where(F.col("start") + F.col("words") / 2 <= F.col("left")).groupBy("source").agg(F.max("hash").alias("last_hash"))
-    last = taken.select(F.col("source").alias("taken_source"), "last_hash")
+    # a row is taken if more than half of it lies before the end: the nearest total; equal rows are taken up to a number
+    some = F.floor((F.col("left") - F.col("start")) / (F.col("words") / F.col("n")) + 0.5)
+    some = F.when(F.col("words") > 0, F.least(F.greatest(some, F.lit(0)), F.col("n"))).when(F.col("start") <= F.col("left"), F.col("n")).otherwise(0)
+    counted = summed.select("source", "hash", "n", some.alias("some"))
+    part = F.col("some").between(1, F.col("n") - 1)
+    taken = counted.where("some > 0").groupBy("source").agg(F.max(F.when(F.col("some") == F.col("n"), F.col("hash"))).alias("last_hash"), F.max(F.when(part, F.col("hash"))).alias("part_hash"), F.max(F.when(part, F.col("some"))).alias("part_rows"))
+    last = taken.select(F.col("source").alias("taken_source"), "last_hash", "part_hash", "part_rows")
     goals = goals.join(ends.select(F.col("for_source").alias("end_source"), "end_bin"), F.col("for_source").eqNullSafe(F.col("end_source")), "left")
-    goals = cut(goals.join(last, F.col("for_source").eqNullSafe(F.col("taken_source")), "left").select("for_source", "source_size", "target", "whole", "left", "end_bin", "last_hash"))
+    goals = cut(goals.join(last, F.col("for_source").eqNullSafe(F.col("taken_source")), "left").select("for_source", "source_size", "target", "whole", "left", "end_bin", "last_hash", "part_hash", "part_rows"))
     out = rows.join(goals.withColumnRenamed("for_source", "__source").withColumnRenamed("source_size", "__size").withColumnRenamed("target", "__target"), F.col(source).eqNullSafe(F.col("__source")))
-    extra = F.when(F.col("end_bin").isNull(), F.lit(0)).when((F.col("__bin") < F.col("end_bin")) | ((F.col("__bin") == F.col("end_bin")) & (F.col("__hash") <= F.coalesce("last_hash", F.lit("")))), F.lit(1)).otherwise(F.lit(0))
+    out = out.withColumn("__part", F.lit(False))
+    if goals.where("part_hash is not null").limit(1).count():
+        equal = F.coalesce(F.col("__hash") == F.col("part_hash"), F.lit(False))
+        out = out.where(~equal).unionByName(_some_of(out.where(equal)))
+    extra = F.when(F.col("__part"), F.lit(1)).when(F.col("end_bin").isNull(), F.lit(0)).when((F.col("__bin") < F.col("end_bin")) | ((F.col("__bin") == F.col("end_bin")) & (F.col("__hash") <= F.coalesce("last_hash", F.lit("")))), F.lit(1)).otherwise(F.lit(0))
     repetitions = (F.col("whole") + extra).cast("long")
     return out.select(*[f"`{n}`" for n in kept.columns], "size", F.col("__size").alias("source_size"), F.col("__target").alias("target"), repetitions.alias("repetitions"), (repetitions * F.col("size")).alias("taken"))
 
