@@ -350,6 +350,14 @@ def test_quotes(spark):
     assert (found[2, 5].body, found[2, 5].parent_turn, found[2, 0].body) == ("ok", None, None)
 
 
+def test_nested_quotes_link_without_the_message_between(spark):
+    texts = ["The original line was this.\nAgreed", "Something else here.", ">> The original line was this.\nOnly nested.", "> A wrote:\n>> the ORIGINAL line was this\nAnnounced.",
+             "> This reply was removed.\n>> The original line was this.\nMissing middle.", "> Something else here.\n>> The original line was this.\nBoth.", "> agreed\nOne word."]
+    rows = [(1, i, "user", text) for i, text in enumerate(texts)]
+    found = {r.turn: r for r in quotes.linked(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert [found[i].parent_turn for i in range(7)] == [None, None, 0, 0, 0, 1, 0]
+
+
 @pytest.mark.parametrize("empty", [False, True])
 def test_odd_input(spark, odd, empty):
     docs = odd.limit(0) if empty else odd

@@ -3,9 +3,8 @@
 A line that begins with one or more `>` (blanks between them don't matter) is a quote of that level; consecutive lines
 of one level are a passage. A line that announces a quote (`... wrote:` just before it) goes with it. Passages and lines
 are hashed in normal form: lower case, words only, one blank between. Every line of a message's own text and the text as
-a whole is hashed too; the earliest message of a conversation with that hash is the original. First-level quotes of
-earlier messages name the parent: the one with most quoted lines, then the latest. Deeper levels are counted only: they
-come back as the first level of the parent. Own text in parent order makes the reply order.
+a whole is hashed too; the earliest message of a conversation with that hash is the original. The shallowest level that
+quotes earlier messages names the parent: the one with most quoted lines of that level, then the latest. Own text in parent order makes the reply order.
 
 No group of equal lines is expanded into pairs: originals are a minimum, combined before the shuffle.
 
@@ -27,8 +26,6 @@ from wellstream.llm.common import cut, map_batches, written
 QUOTE = re.compile(r"[ \t]*>(?:[ \t]*>)*[ \t]?")
 ANNOUNCES = re.compile(r"(wrote|writes|said|a écrit|schrieb|escribió)\s*:\s*$", re.IGNORECASE)
 WORDS = re.compile(r"\w+")
-#: Words that a line must have to be looked for by itself.
-LEAST_WORDS = 2
 PAGE = 256
 
 
@@ -62,15 +59,15 @@ def normal(text: str) -> str:
 
 
 def hashes_of(text: str) -> list[str]:
-    """128-bit hashes of the whole text and of its longer lines, in normal form."""
+    """128-bit hashes of the whole text and of its lines, in normal form."""
     forms = {form for form in [normal(text)] if form}
     if "\n" in text:
-        forms |= {form for form in map(normal, text.split("\n")) if form.count(" ") >= LEAST_WORDS - 1}
+        forms |= {form for form in map(normal, text.split("\n")) if form}
     return sorted(hashlib.blake2b(form.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest() for form in forms)
 
 
 def parsed(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, role, body, n_quotes, quote_depth, quoted (hashes of first-level passages), spoken (hashes of the body)."""
+    """conv_id, turn, role, body, n_quotes, quote_depth, quoted (hashes of passages, each with its shallowest level), spoken (hashes of the body)."""
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         bodies, counts, depths, quoted, spoken = [], [], [], [], []
@@ -79,26 +76,30 @@ def parsed(messages: DataFrame) -> DataFrame:
             bodies.append(body)
             counts.append(len(passages))
             depths.append(max((level for level, _ in passages), default=0))
-            quoted.append(sorted({h for level, passage in passages if level == 1 for h in hashes_of(passage)}))
+            least: dict[str, int] = {}
+            for level, passage in passages:
+                for h in hashes_of(passage):
+                    least[h] = min(level, least.get(h, level))
+            quoted.append([{"hash": h, "level": level} for h, level in sorted(least.items())])
             spoken.append(hashes_of(body) if body else [])
         strings = pa.list_(pa.string())
-        new = [pa.array(bodies, pa.string()), pa.array(counts, pa.int64()), pa.array(depths, pa.int32()), pa.array(quoted, strings), pa.array(spoken, strings)]
+        new = [pa.array(bodies, pa.string()), pa.array(counts, pa.int64()), pa.array(depths, pa.int32()), pa.array(quoted, pa.list_(pa.struct([("hash", pa.string()), ("level", pa.int32())]))), pa.array(spoken, strings)]
         return pa.RecordBatch.from_arrays([*part.columns[:3], *new], ["conv_id", "turn", "role", "body", "n_quotes", "quote_depth", "quoted", "spoken"])
 
     rows = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
-    return map_batches(rows, run, "conv_id long, turn long, role string, body string, n_quotes long, quote_depth int, quoted array<string>, spoken array<string>")
+    return map_batches(rows, run, "conv_id long, turn long, role string, body string, n_quotes long, quote_depth int, quoted array<struct<hash: string, level: int>>, spoken array<string>")
 
 
 def parents(rows: DataFrame) -> DataFrame:
     """(conv_id, turn, parent_turn, n_linked) of messages whose quotes were found."""
     known = rows.where("conv_id is not null and turn is not null")
-    quotes = written(known.where("size(quoted) > 0").select("conv_id", "turn", F.explode("quoted").alias("hash")))
+    quotes = written(known.where("size(quoted) > 0").select("conv_id", "turn", F.explode("quoted").alias("quote")).select("conv_id", "turn", "quote.hash", "quote.level"))
     wanted = quotes.select("conv_id").distinct()
     said = known.join(wanted, "conv_id", "left_semi").select("conv_id", "turn", F.explode("spoken").alias("hash"))
     first = said.groupBy("conv_id", "hash").agg(F.min("turn").alias("parent_turn"))
     links = quotes.join(first, ["conv_id", "hash"]).where("parent_turn < turn")
-    counted = links.groupBy("conv_id", "turn", "parent_turn").agg(F.count("*").alias("n_linked"))
-    best = counted.groupBy("conv_id", "turn").agg(F.max(F.struct("n_linked", "parent_turn")).alias("best"))
+    counted = links.groupBy("conv_id", "turn", "level", "parent_turn").agg(F.count("*").alias("n_linked"))
+    best = counted.groupBy("conv_id", "turn").agg(F.max(F.struct((-F.col("level")).alias("height"), "n_linked", "parent_turn")).alias("best"))
     return best.select("conv_id", "turn", "best.parent_turn", "best.n_linked")
 
 
