@@ -2,4 +2,8 @@
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+from wellstream.llm import hard_negatives
+
+ORACLES: dict[str, str] = {
+    "op13_hard_negatives": hard_negatives.ORACLE,
+}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wellstream.llm import decontaminate, mixture, near_dup, order_minhash, passages, quality, quotes, secrets, shards, toxicity
+from wellstream.llm import decontaminate, hard_negatives, mixture, near_dup, order_minhash, passages, quality, quotes, secrets, shards, toxicity
 
 #: Links of op2: shared shingles in per cent of the union.
 NEAR_PERCENT = 85
@@ -31,4 +31,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quotation_linking": _of(quotes.summary, "conversations"),
     "op9_sharding": _of(shards.summary, "documents"),
     "op10_source_mixture": _of(mixture.summary, "documents"),
+    "op13_hard_negatives": _of(hard_negatives.summary, "embeddings"),
 }
