@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wellstream.llm import decontaminate, hard_negatives, manifest, mixture, near_dup, order_minhash, passages, quality, quotes, secrets, shards, toxicity
+from wellstream.llm import decontaminate, hard_negatives, language, manifest, mixture, near_dup, order_minhash, passages, quality, quotes, secrets, shards, toxicity
 
 #: Links of op2: shared shingles in per cent of the union.
 NEAR_PERCENT = 85
@@ -32,5 +32,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sharding": _of(shards.summary, "documents"),
     "op10_source_mixture": _of(mixture.summary, "documents"),
     "op11_merkle_manifest": _of(manifest.summary, "documents"),
+    "op12_language_id": _of(language.summary, "documents"),
     "op13_hard_negatives": _of(hard_negatives.summary, "embeddings"),
 }
