@@ -1,10 +1,11 @@
+import re
 import tempfile
 from pathlib import Path
 
 import pytest
 
 from wellstream.operators import welllog
-from wellstream.sources.welllogs import read_well_logs
+from wellstream.sources.welllogs import read_pieces, read_well_logs
 
 CURVES = {"DEPT": ("m", "-999.25"), "DTIM": ("", ""), "GR": ("gAPI", "-999.25"), "SPP": ("psi", ""), "TEMP": ("degC", "")}
 LINES = ["412.5,2023-03-09T17:20:00Z,61.25,7130,88.5", "416.5,2023-03-09T17:25:00Z,64.5,7155,88.75"]
@@ -12,20 +13,42 @@ LINES = ["412.5,2023-03-09T17:20:00Z,61.25,7130,88.5", "416.5,2023-03-09T17:25:0
 
 def document(lines=LINES, mnemonics="DEPT,DTIM,GR,SPP,TEMP", units="m,,gAPI,psi,degC", curves=CURVES, version="1.4.1.1",
              index_type="measured depth", index_curve="DEPT", logs=1, xmlns="http://www.witsml.org/schemas/1series",
-             well=' uidWell="W-1"', extra_data="", head="<nameWell>North 1</nameWell>"):
+             well=' uidWell="W-1"', extra_data="", head="<nameWell>North 1</nameWell>", data=None, lists=None, prolog=""):
     info = "".join(
         f"<logCurveInfo uid='{m}'><mnemonic>{m}</mnemonic><unit>{u}</unit><nullValue>{n}</nullValue></logCurveInfo>"
         for m, (u, n) in curves.items())
-    data = "".join(f"<data>{line}</data>" for line in lines)
+    data = "".join(f"<data>{line}</data>" for line in lines) if data is None else data
+    lists = f"<mnemonicList>{mnemonics}</mnemonicList><unitList>{units}</unitList>" if lists is None else lists
     log = (
         f'<log{well} uidWellbore="WB-1" uid="L-1">{head}<nameWellbore>Main</nameWellbore><name>run</name>'
         f"<indexType>{index_type}</indexType><indexCurve>{index_curve}</indexCurve>{info}<logData>"
-        f"<mnemonicList>{mnemonics}</mnemonicList><unitList>{units}</unitList>{data}</logData>{extra_data}</log>")
-    return f'<?xml version="1.0"?>\n<logs xmlns="{xmlns}" version="{version}">{log * logs}</logs>'
+        f"{lists}{data}</logData>{extra_data}</log>")
+    return f'<?xml version="1.0"?>\n{prolog}<logs xmlns="{xmlns}" version="{version}">{log * logs}</logs>'
 
 
+def prefixed(text, prefix="w"):
+    """The same document with a prefix for the namespace."""
+    named = re.sub(r"<(/?)(?=[A-Za-z])", rf"<\1{prefix}:", text)
+    return named.replace("xmlns=", f"xmlns:{prefix}=", 1)
+
+
+FIRST, SECOND = (f"<data>{line}</data>" for line in LINES)
 DOCUMENTS = {
     "good": document(),
+    "prefixed": prefixed(document()),
+    "prefix of one element": document().replace("<nameWell>North 1</nameWell>", '<x:nameWell xmlns:x="http://www.witsml.org/schemas/1series">North 1</x:nameWell>'),
+    "element of another namespace": document().replace("<nameWell>North 1</nameWell>", '<nameWell xmlns="urn:other">South</nameWell><nameWell>North 1</nameWell>'),
+    "lines of another namespace": document(data=f'{FIRST}<data xmlns="urn:other">x</data><y:data xmlns:y="urn:other">x</y:data>{SECOND}'),
+    "byte order mark": "\ufeff" + document(),
+    "comments": document(data=f"<!-- a > b -->{FIRST}<!-- <data>x</data> -->\n<!-- <data>y</data>{FIRST} <b -->{SECOND}<!---->"),
+    "comment in a line": document(data=FIRST.replace("412.5", "412<!-- , -->.5") + SECOND),
+    "character sections": document(data=FIRST.replace("412.5", "<![CDATA[412]]>.5") + SECOND.replace(LINES[1], f"<![CDATA[{LINES[1]}]]>")),
+    "entities": document(data=FIRST.replace("412.5", "&#52;12.5") + SECOND, head="<nameWell> North&#x20;1 </nameWell>"),
+    "named entities": document(["412.5,2023-03-09T17:20:00Z,61.25,7130,88.5,a&amp;amp;b &lt;", "416.5,2023-03-09T17:25:00Z,64.5,7155,88.75,"], "DEPT,DTIM,GR,SPP,TEMP,NOTE", "m,,gAPI,psi,degC,"),
+    "line with attributes": document(data=FIRST.replace("<data>", "<data id='1'>") + SECOND),
+    "line with a child": document(data=FIRST.replace("412.5", "412<i>.5</i>") + SECOND),
+    "unusual blanks": document(data=f"<data>\n\u00a0{LINES[0]}\u2003</data >\n{SECOND}", head="<nameWell>\u3000North 1\u0085</nameWell>"),
+    "lines elsewhere": document(data=f"{FIRST}<group><data>x</data></group>{SECOND}", extra_data="<data>x</data>"),
     "reordered": document(["61.25,7130,88.5,412.5,2023-03-09T17:20:00+02:00"], "GR, SPP,TEMP,DEPT,DTIM", "gAPI,psi,degC,m,"),
     "feet": document(["640.5,2023-03-09T17:20:00Z,1,2,3", "655.5,2023-03-09T17:25:00Z,1,2,3"], units="ft,,gAPI,psi,degC"),
     "tripping": document(["416.5,2023-03-09T17:20:00Z,1,2,3", "412.5,2023-03-09T17:25:00Z,1,2,3"]),
@@ -58,6 +81,19 @@ DOCUMENTS = {
     "no well id": document(well=""),
     "no well name": document(head=""),
     "bad xml": document()[:-12],
+    "bad line": document(data=FIRST + SECOND.replace("</data>", "</date>")),
+    "unknown entity": document(data=FIRST + SECOND.replace("416", "&deg;416")),
+    "lone ampersand": document(data=FIRST.replace("412", "4 & 12") + SECOND),
+    "control character": document(data=FIRST + SECOND.replace("416", "\x01416")),
+    "text after the end": document() + "x",
+    "text before the start": "x" + document(),
+    "unfinished comment": document(data=f"{FIRST}<!-- {SECOND}"),
+    "unbound prefix": prefixed(document()).replace("xmlns:w=", "xmlns:v=", 1),
+    "empty": "",
+    "blank": " \n",
+    "no mnemonic list": document(lists="<unitList>m,,gAPI,psi,degC</unitList>"),
+    "no unit list": document(lists="<mnemonicList>DEPT,DTIM,GR,SPP,TEMP</mnemonicList>"),
+    "prefix only on the root": prefixed(document()).replace("<w:log ", "<log ").replace("</w:log>", "</log>"),
     "other root": "<wells><well/></wells>",
 }
 REASONS = {
@@ -86,7 +122,12 @@ REASONS = {
     "no well id": "required attribute 'uidWell' is missing",
     "no well name": "required element 'nameWell' is missing",
     "bad xml": "invalid XML",
-    "other root": "invalid XML",
+    **dict.fromkeys(["bad line", "unknown entity", "lone ampersand", "control character", "text after the end", "text before the start",
+                     "unfinished comment", "unbound prefix", "empty", "blank"], "invalid XML"),
+    "other root": "root element is not in the log namespace",
+    "no mnemonic list": "required element 'mnemonicList' is missing",
+    "no unit list": "required element 'unitList' is missing",
+    "prefix only on the root": "no log element",
 }
 
 
@@ -97,8 +138,9 @@ def imported(spark, request):
     for i, (name, text) in enumerate(DOCUMENTS.items()):
         (folder / f"{i:02d}.xml").write_text(text)
         names[f"{i:02d}.xml"] = name
-    resolved = welllog.resolve(welllog.documents_of(read_well_logs(spark, str(folder)), "RIG-7"))
-    mapped = welllog.map_lines(welllog.lines_of(resolved), request.param)
+    documents, lines = read_well_logs(spark, str(folder), "RIG-7")
+    resolved = welllog.resolve(documents)
+    mapped = welllog.map_lines(welllog.join_lines(resolved, lines), request.param)
     rejected = welllog.import_rejects(resolved, mapped)
     readings = welllog.import_readings(mapped, rejected, "run-1").collect()
     by_session = {}
@@ -133,6 +175,37 @@ def test_readings(imported):
     assert {r.acquisition_mode for r in imported[0]["good"]} == {"HistoricalImport"}
 
 
+@pytest.mark.parametrize("name", [
+    "prefixed", "prefix of one element", "element of another namespace", "lines of another namespace", "byte order mark", "comments", "comment in a line",
+    "character sections", "entities", "named entities", "line with attributes", "line with a child", "unusual blanks", "lines elsewhere", "second data block"])
+def test_the_same_log_in_other_words(imported, name):
+    plain = [[v for c, v in r.asDict().items() if c != "acquisition_session_id"] for r in imported[0]["good"]]
+    assert [[v for c, v in r.asDict().items() if c != "acquisition_session_id"] for r in imported[0][name]] == plain
+
+
+def test_one_file_makes_many_tasks(spark):
+    folder = Path(tempfile.mkdtemp(prefix="wellstream-large-"))
+    rows = [f"{412.5 + i / 2},2023-03-09T{i // 3600:02d}:{i // 60 % 60:02d}:{i % 60:02d}Z,{i % 90},7130,88.5" for i in range(20_000)]
+    data = "".join(f"<w:data>{line}</w:data>\n" + "<!-- <w:data>x</w:data>\n -->" * (i % 7 == 0) for i, line in enumerate(rows))
+    text = prefixed(document(["@"])).replace("<w:data>@</w:data>", data)
+    (folder / "large.xml").write_text(text)
+    settings = {"spark.sql.files.maxPartitionBytes": "40k", "spark.sql.files.openCostInBytes": "1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        pieces = read_pieces(spark, str(folder))
+        assert pieces.select("block").distinct().count() >= 30
+        documents, lines = read_well_logs(spark, str(folder), "RIG-7")
+        (parts,) = documents.select("parts").first()
+        assert len(parts) < 120
+        assert [r.line for r in lines.orderBy("line_no").collect()] == rows
+        assert [r.line_no for r in lines.orderBy("line_no").collect()] == list(range(1, len(rows) + 1))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_columns_are_found_by_name(imported):
     row = imported[0]["reordered"][0]
     assert (row.measured_depth_metres, row.gamma_ray_api, row.temperature_celsius) == (412.5, 61.25, 88.5)
@@ -153,8 +226,9 @@ def test_file_names_are_no_reason(spark):
     folder = Path(tempfile.mkdtemp(prefix="wellstream-names-"))
     for name in ("with space.xml", "pct%41.xml", "größe.xml", "plain.xml"):
         (folder / name).write_text(document())
-    resolved = welllog.resolve(welllog.documents_of(read_well_logs(spark, str(folder)), "RIG-7"))
-    rejected = welllog.import_rejects(resolved, welllog.map_lines(welllog.lines_of(resolved), 1 << 20))
+    documents, lines = read_well_logs(spark, str(folder), "RIG-7")
+    resolved = welllog.resolve(documents)
+    rejected = welllog.import_rejects(resolved, welllog.map_lines(welllog.join_lines(resolved, lines), 1 << 20))
     assert (resolved.count(), rejected.count()) == (4, 0)
 
 

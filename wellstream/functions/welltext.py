@@ -13,11 +13,12 @@ NUMBER = r"^([+-]?(\d+\.?\d*|\.\d+)|(\d+\.?\d*|\.\d+)[+-])$"
 TIME_WITH_OFFSET = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?(Z|[+-]\d{2}:\d{2})$"
 
 
-WHITE_SPACE = " \t\r\n"
+# The white space of Unicode.
+WHITE_SPACE = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def strip(text: Column) -> Column:
-    """Trim blanks, tabs and line breaks."""
+    """Trim white space, that of Unicode included."""
     return F.btrim(text, F.lit(WHITE_SPACE))
 
 

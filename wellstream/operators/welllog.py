@@ -17,10 +17,9 @@ from wellstream.functions import welltext as W
 from wellstream.functions.once import evaluated_once
 from wellstream.functions.predicates import is_blank, is_finite
 from wellstream.operators.slices import SLICE, slice_start
-from wellstream.schemas import CORRUPT
+from wellstream.schemas import LOG_NAMESPACE
 
 # The supported log format.
-NAMESPACE = "http://www.witsml.org/schemas/1series"
 VERSION = "1.4.1.1"
 INDEX_TYPE = "measured depth"
 TIME_CURVE, GAMMA_CURVE, PRESSURE_CURVE, TEMPERATURE_CURVE = "DTIM", "GR", "SPP", "TEMP"
@@ -37,46 +36,6 @@ STRUCTURE, FIELD_COUNT, CURVES, VALUES = 1, 2, 3, 4
 
 LINES_PER_SLICE = 1 << 20
 
-DOCUMENT_COLUMNS = [
-    "path", "device_id", "malformed", "xmlns", "version", "log_count", "uid_well", "name_well", "uid_wellbore",
-    "name_wellbore", "uid", "name", "index_type", "index_curve", "curves", "has_log_data", "mnemonic_list", "unit_list",
-]
-
-
-def documents_of(parsed: DataFrame, device_id: str) -> DataFrame:
-    """L2, L3: header columns of parsed documents plus ``data``, the raw lines, in one row per document."""
-    log = F.get(F.col("log"), F.lit(0))
-    data = F.get(log["logData"], F.lit(0))
-    curves = F.transform(
-        F.coalesce(log["logCurveInfo"], F.array()),
-        lambda c: F.struct(
-            W.strip(c["mnemonic"]).alias("mnemonic"),
-            F.coalesce(W.strip(c["unit"]), F.lit("")).alias("unit"),
-            F.coalesce(W.strip(c["nullValue"]), F.lit("")).alias("null_value"),
-        ),
-    )
-    return parsed.select(
-        "path",
-        F.lit(device_id).alias("device_id"),
-        F.col(CORRUPT).isNotNull().alias("malformed"),
-        F.col("_xmlns").alias("xmlns"),
-        F.col("_version").alias("version"),
-        F.coalesce(F.size("log"), F.lit(0)).alias("log_count"),
-        W.strip(log["_uidWell"]).alias("uid_well"),
-        W.strip(log["nameWell"]).alias("name_well"),
-        W.strip(log["_uidWellbore"]).alias("uid_wellbore"),
-        W.strip(log["nameWellbore"]).alias("name_wellbore"),
-        W.strip(log["_uid"]).alias("uid"),
-        F.coalesce(W.strip(log["name"]), F.lit("")).alias("name"),
-        W.strip(log["indexType"]).alias("index_type"),
-        W.strip(log["indexCurve"]).alias("index_curve"),
-        curves.alias("curves"),
-        data.isNotNull().alias("has_log_data"),
-        data["mnemonicList"].alias("mnemonic_list"),
-        data["unitList"].alias("unit_list"),
-        data["data"].alias("data"),
-    )
-
 
 def _first(*rules: tuple[Column, Column | str]) -> Column:
     return F.coalesce(*[F.when(broken, reason) for broken, reason in rules])
@@ -92,7 +51,7 @@ def structure_reason() -> Column:
     columns, units = F.size("mnemonics").cast("string"), F.size("units").cast("string")
     return _first(
         (F.col("malformed"), "invalid XML"),
-        (~F.col("xmlns").eqNullSafe(F.lit(NAMESPACE)), "root element is not in the log namespace"),
+        (~F.col("xmlns").eqNullSafe(F.lit(LOG_NAMESPACE)), "root element is not in the log namespace"),
         (~F.col("version").eqNullSafe(F.lit(VERSION)),
          F.concat(F.lit(f"unsupported version, expected {VERSION}, found "), F.coalesce("version", F.lit("none")))),
         (F.col("log_count") == 0, "no log element"),
@@ -168,17 +127,8 @@ LINE_NEEDS = [
 ]
 
 
-def lines_of(resolved: DataFrame) -> DataFrame:
-    """Numbered lines of documents whose header is sound; ``data`` holds the raw lines."""
-    sound = resolved.where(F.col("structure_reason").isNull())
-    return sound.select(
-        *LINE_NEEDS, F.size("mnemonics").alias("columns"), "curve_reason",
-        F.posexplode("data").alias("_position", "line"),
-    ).select("*", (F.col("_position") + 1).cast("bigint").alias("line_no")).drop("_position")
-
-
 def join_lines(resolved: DataFrame, lines: DataFrame) -> DataFrame:
-    """The same for lines (path, line_no, line) that are stored apart from their headers."""
+    """Lines (path, line_no, line) of documents whose header is sound, with what they need of it."""
     sound = resolved.where(F.col("structure_reason").isNull())
     headers = sound.select(*LINE_NEEDS, F.size("mnemonics").alias("columns"), "curve_reason")
     return lines.join(headers, "path")

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from wellstream.operators import backfill, events, ingest, ordering, sessions, views, welllog
 
-from wellstream.session import configure
-from wellstream.sources import derived
+from wellstream.session import configure, cut_lineage
+from wellstream.sources import derived, welllogs
 
 CONFLICT_WINDOW_SECONDS = 12 * 3600
+LOG_DEVICE = F.regexp_extract("path", r"(DRILL-\d+)\.xml$", 1)
 
 
 class Feed:
@@ -102,13 +103,17 @@ class DerivedFeed(Feed):
     def displayed(self) -> DataFrame:
         return views.displayed_readings(self.merged, self.active)
 
+    @cached_property
+    def log_tokens(self) -> DataFrame:
+        return welllogs.tokens(welllogs.split_pieces(derived.well_log_fragments(self.spark, self.sf_dir)))
+
     @cached_property
     def documents(self) -> DataFrame:
-        return welllog.resolve(derived.well_log_documents(self.spark, self.sf_dir))
+        return welllog.resolve(cut_lineage(welllogs.documents(welllogs.header_texts(self.log_tokens), LOG_DEVICE)))
 
     @cached_property
     def lines(self) -> DataFrame:
-        return welllog.join_lines(self.documents, derived.well_log_lines(self.spark, self.sf_dir))
+        return welllog.join_lines(self.documents, welllogs.lines(self.log_tokens, self.documents))
 
     @cached_property
     def mapped(self) -> DataFrame:

@@ -199,34 +199,46 @@ WHERE r.newest_in_session <= 100"""),
     "events_merged": (["event_stream"], f"""
 SELECT {EVENT} FROM (SELECT * FROM event_stream ORDER BY epoch_us(occurred_at_utc) // 1000 DESC, event_id DESC LIMIT 20)"""),
     "docs": (["keyed"], """
-SELECT 'logs/' || device_id || '.xml' AS path, device_id, d,
- CASE WHEN d % 59 = 4 THEN '1.3.1.1' ELSE '1.4.1.1' END AS version, CASE WHEN d % 67 = 8 THEN 2 ELSE 1 END AS log_count,
- 'W-' || d AS uid_well, 'Well ' || d AS name_well, CASE WHEN d % 71 = 9 THEN '' ELSE 'WB-1' END AS uid_wellbore,
- 'Main bore' AS name_wellbore, 'LOG-' || d AS uid, '' AS name,
- CASE WHEN d % 53 = 1 THEN 'date time' ELSE 'measured depth' END AS index_type, 'DEPT' AS index_curve,
+SELECT path, device_id, d, malformed, CASE WHEN NOT malformed THEN xmlns END AS xmlns, CASE WHEN NOT malformed THEN version END AS version, known,
+ CASE WHEN malformed OR other THEN 0 ELSE log_count END AS log_count, CASE WHEN known THEN 'W-' || d END AS uid_well,
+ CASE WHEN known THEN 'Well & ' || d END AS name_well, CASE WHEN known THEN CASE WHEN d % 71 = 9 THEN '' ELSE 'WB-1' END END AS uid_wellbore,
+ CASE WHEN known AND d % 71 <> 13 THEN 'Main  bore' END AS name_wellbore, CASE WHEN known THEN 'LOG-' || d END AS uid,
+ CASE WHEN known THEN '' END AS name,
+ CASE WHEN known THEN CASE WHEN d % 53 = 1 THEN 'date time' ELSE 'measured depth' END END AS index_type,
+ CASE WHEN known THEN 'DEPT' END AS index_curve, CASE WHEN known THEN d % 89 <> 35 OR d % 3 = 0 END AS has_log_data,
  CASE WHEN d % 37 = 5 THEN 'km' WHEN d % 5 = 1 THEN 'ft' ELSE 'm' END AS unit,
- CASE WHEN d % 43 = 3 THEN 'DEPT, DTIM, GR, SPP' WHEN d % 61 = 6 THEN 'DEPT,DTIM,GR,SPP,TEMP,GR'
-  WHEN d % 3 = 1 THEN 'GR,SPP,TEMP,DEPT,DTIM' ELSE 'DEPT,DTIM,GR,SPP,TEMP' END AS mnemonic_list,
- CASE WHEN d % 43 = 3 THEN unit || ',,gAPI,psi' WHEN d % 61 = 6 THEN unit || ',,gAPI,psi,degC,gAPI'
+ CASE WHEN known AND d % 89 <> 35 AND d % 79 <> 30 THEN CASE WHEN d % 43 = 3 THEN 'DEPT, DTIM, GR, SPP' WHEN d % 61 = 6 THEN 'DEPT,DTIM,GR,SPP,TEMP,GR'
+  WHEN d % 3 = 1 THEN 'GR,SPP,TEMP,DEPT,DTIM' ELSE 'DEPT,DTIM,GR,SPP,TEMP' END END AS mnemonic_list,
+ CASE WHEN known AND d % 89 <> 35 THEN CASE WHEN d % 43 = 3 THEN unit || ',,gAPI,psi' WHEN d % 61 = 6 THEN unit || ',,gAPI,psi,degC,gAPI'
   WHEN d % 47 = 2 THEN 'm,,gAPI' WHEN d % 3 = 1 THEN 'gAPI, psi, degC,' || unit || ','
-  ELSE unit || ',,gAPI,psi,degC' END AS unit_list
-FROM (SELECT device_id, CAST(substr(device_id, 7) AS BIGINT) AS d FROM (SELECT DISTINCT device_id FROM keyed))"""),
+  ELSE unit || ',,gAPI,psi,degC' END END AS unit_list
+FROM (SELECT *, NOT malformed AND NOT other AND log_count > 0 AS known FROM (
+ SELECT 'logs/' || device_id || '.xml' AS path, device_id, d, d % 61 = 12 AS malformed, d % 73 = 20 AS other,
+ CASE WHEN d % 73 = 20 THEN 'http://www.witsml.org/schemas/131' ELSE 'http://www.witsml.org/schemas/1series' END AS xmlns,
+ CASE WHEN d % 59 = 4 THEN '1.3.1.1' ELSE '1.4.1.1' END AS version,
+ CASE WHEN d % 67 = 25 THEN 0 ELSE 1 END + CASE WHEN d % 67 = 8 THEN 1 ELSE 0 END AS log_count
+ FROM (SELECT device_id, CAST(substr(device_id, 7) AS BIGINT) AS d FROM (SELECT DISTINCT device_id FROM keyed))))"""),
     "doc_lists": (["docs"], """
 SELECT *, list_transform(string_split(mnemonic_list, ','), lambda x: trim(x)) AS mnemonics,
  list_transform(string_split(unit_list, ','), lambda x: trim(x)) AS units FROM docs"""),
-    "doc_curves": (["docs"], """
-SELECT path, 'DEPT' AS mnemonic, unit, '-999.25' AS null_value FROM docs
-UNION ALL SELECT path, 'DTIM', '', '' FROM docs UNION ALL SELECT path, 'GR', 'gAPI', '-999.25' FROM docs
-UNION ALL SELECT path, 'SPP', 'psi', '' FROM docs WHERE d % 41 <> 7 UNION ALL SELECT path, 'TEMP', 'degC', '' FROM docs"""),
+    "known_docs": (["docs"], "SELECT * FROM docs WHERE known"),
+    "doc_curves": (["known_docs"], """
+SELECT path, 'DEPT' AS mnemonic, unit, '-999.25' AS null_value FROM known_docs
+UNION ALL SELECT path, 'DTIM', '', '' FROM known_docs UNION ALL SELECT path, 'GR', 'gAPI', '-999.25' FROM known_docs
+UNION ALL SELECT path, 'SPP', 'psi', '' FROM known_docs WHERE d % 41 <> 7 UNION ALL SELECT path, 'TEMP', 'degC', '' FROM known_docs"""),
     "doc_places": (["doc_lists"], "SELECT *, " + ", ".join(
         f"len(mnemonics) + 1 - nullif(coalesce(list_position(list_reverse(mnemonics), '{c}'), 0), 0) AS {n}_at"
         for n, c in (("depth", "DEPT"), ("dtim", "DTIM"), ("gr", "GR"), ("spp", "SPP"), ("temp", "TEMP"))
     ) + " FROM doc_lists"),
     "doc_structure": (["doc_places"], """
-SELECT *, CASE WHEN version <> '1.4.1.1' THEN 'unsupported version, expected 1.4.1.1, found ' || version
- WHEN log_count > 1 THEN 'only one log per document, found ' || log_count
+SELECT *, CASE WHEN malformed THEN 'invalid XML' WHEN d % 73 = 20 THEN 'root element is not in the log namespace'
+ WHEN version <> '1.4.1.1' THEN 'unsupported version, expected 1.4.1.1, found ' || version
+ WHEN log_count = 0 THEN 'no log element' WHEN log_count > 1 THEN 'only one log per document, found ' || log_count
  WHEN uid_wellbore = '' THEN 'required attribute ''uidWellbore'' is missing'
+ WHEN name_wellbore IS NULL THEN 'required element ''nameWellbore'' is missing'
  WHEN index_type <> 'measured depth' THEN 'unsupported index type ''' || index_type || ''''
+ WHEN NOT has_log_data THEN 'required element ''logData'' is missing'
+ WHEN mnemonic_list IS NULL THEN 'required element ''mnemonicList'' is missing'
  WHEN len(mnemonics) <> len(units) THEN len(mnemonics) || ' columns in the mnemonic list but ' || len(units) ||
   ' in the unit list' END AS structure_reason FROM doc_places"""),
     "resolved": (["doc_structure"], """
@@ -504,6 +516,10 @@ GROUP BY event_type ORDER BY event_type""", "event_stream"),
     "q5_order_event_counts": sql(f"""SELECT count(*) FILTER (WHERE event_type = 'SequenceGap') AS sequence_gap_events,
  count(*) FILTER (WHERE event_type = 'OutOfOrderReading') AS out_of_order_events FROM event_stream
 WHERE occurred_at_utc >= {SINCE}""", "event_stream"),
+    "s7_log_documents": sql("SELECT path, malformed, xmlns, version, CAST(log_count AS INTEGER) AS log_count, has_log_data FROM docs", "docs"),
+    # the second block of a document without a first one counts: it holds one line
+    "s7_log_lines": sql("""SELECT path, line_no, line FROM raw_lines WHERE path IN (SELECT path FROM known_docs WHERE d % 89 <> 35)
+UNION ALL SELECT path, 1, '1,2' FROM known_docs WHERE d % 89 = 35 AND d % 3 = 0""", "raw_lines", "known_docs"),
     "l1_document_checks": sql("SELECT path, structure_reason FROM resolved", "resolved"),
     "l2_headers": sql("""SELECT path, uid_well, name_well, uid_wellbore, name_wellbore, uid, name, index_curve
 FROM docs""", "docs"),

@@ -12,6 +12,7 @@ from wellstream.functions import labels, predicates
 from wellstream.operators import audit, backfill, events, evidence, history, metrics, ordering, store, views, welllog
 from wellstream.operators.slices import SLICE
 from wellstream.plans.feed import DerivedFeed
+from wellstream.sources import welllogs
 from wellstream.schemas import ARRIVAL_COLUMNS, NATURAL_KEY, READING_COLUMNS, STREAM_KEY
 
 
@@ -133,6 +134,8 @@ QUERIES: dict[str, Callable[[DerivedFeed], DataFrame]] = {
     "s4_insert_events": _s4,
     "s5_published_readings": lambda f: f.processed.where(F.col("outcome") == "Published").select(*ARRIVAL),
     "s6_readings_scan": lambda f: f.arrivals,
+    "s7_log_documents": lambda f: f.documents.select("path", "malformed", "xmlns", "version", "log_count", "has_log_data"),
+    "s7_log_lines": lambda f: welllogs.lines(f.log_tokens, f.documents),
     "s8_reading_response": lambda f: history.reading_response(f.stored),
     "s8_event_response": lambda f: history.event_response(f.event_stream),
     "v1_validate": lambda f: f.validated.select("arrival_no", "reject_reason"),
@@ -185,8 +188,7 @@ QUERIES: dict[str, Callable[[DerivedFeed], DataFrame]] = {
     "q5_order_event_counts": lambda f: evidence.order_event_counts(f.events, SINCE),
     "l1_document_checks": lambda f: f.documents.select("path", "structure_reason"),
     "l2_headers": lambda f: f.documents.select(
-        "path", "uid_well", "name_well", F.trim("uid_wellbore").alias("uid_wellbore"), "name_wellbore", "uid", "name",
-        "index_curve"),
+        "path", "uid_well", "name_well", "uid_wellbore", "name_wellbore", "uid", "name", "index_curve"),
     "l3_curves": lambda f: f.documents.select("path", F.inline("curves")),
     "l4_lists": _l4,
     "l5_lines": lambda f: f.mapped.select("path", "line_no", "fields", "columns"),

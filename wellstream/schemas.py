@@ -62,30 +62,33 @@ EVENT_SCHEMA = T.StructType([
 ])
 EVENT_COLUMNS = EVENT_SCHEMA.fieldNames()
 
-WELL_LOG_SCHEMA = T.StructType([
-    T.StructField("_xmlns", T.StringType()),
-    T.StructField("_version", T.StringType()),
-    T.StructField("log", T.ArrayType(T.StructType([
-        T.StructField("_uidWell", T.StringType()),
-        T.StructField("_uidWellbore", T.StringType()),
-        T.StructField("_uid", T.StringType()),
-        T.StructField("nameWell", T.StringType()),
-        T.StructField("nameWellbore", T.StringType()),
-        T.StructField("name", T.StringType()),
-        T.StructField("indexType", T.StringType()),
-        T.StructField("indexCurve", T.StringType()),
-        T.StructField("logCurveInfo", T.ArrayType(T.StructType([
-            T.StructField("mnemonic", T.StringType()),
-            T.StructField("unit", T.StringType()),
-            T.StructField("nullValue", T.StringType()),
-        ]))),
-        T.StructField("logData", T.ArrayType(T.StructType([
-            T.StructField("mnemonicList", T.StringType()),
-            T.StructField("unitList", T.StringType()),
-            T.StructField("data", T.ArrayType(T.StringType())),
-        ]))),
+# Fixed value: the namespace of the supported log format.
+LOG_NAMESPACE = "http://www.witsml.org/schemas/1series"
+
+LOG_HEADER_SCHEMA = T.StructType([
+    T.StructField("path", T.StringType()),
+    T.StructField("malformed", T.BooleanType()),
+    T.StructField("xmlns", T.StringType()),
+    T.StructField("version", T.StringType()),
+    T.StructField("log_count", T.IntegerType()),
+    *[T.StructField(c, T.StringType()) for c in (
+        "uid_well", "name_well", "uid_wellbore", "name_wellbore", "uid", "name", "index_type", "index_curve")],
+    T.StructField("curves", T.ArrayType(T.StructType([
+        T.StructField("mnemonic", T.StringType()),
+        T.StructField("unit", T.StringType()),
+        T.StructField("null_value", T.StringType()),
+    ]))),
+    T.StructField("has_log_data", T.BooleanType()),
+    T.StructField("mnemonic_list", T.StringType()),
+    T.StructField("unit_list", T.StringType()),
+    # The first data block: runs of plain lines by (block, run), or a line; ``before`` counts the lines ahead of it.
+    T.StructField("parts", T.ArrayType(T.StructType([
+        T.StructField("block", T.LongType()),
+        T.StructField("run", T.LongType()),
+        T.StructField("first", T.LongType()),
+        T.StructField("before", T.LongType()),
+        T.StructField("line", T.StringType()),
     ]))),
-    T.StructField(CORRUPT, T.StringType()),
 ])
 
 # Fixed values of the data contract.

@@ -156,55 +156,99 @@ def _log_number() -> Column:
     return F.expr("substring(device_id, 7)").cast("bigint")
 
 
-def well_log_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Headers of one well log per device; some are unsupported or incomplete."""
-    devices = read_events(spark, sf_dir).select(
-        device_of(F.col("user_id")).alias("device_id")
-    ).distinct()
+def _log_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, _d, head, tail) of one well log per device: what stands before and after its data lines.
+
+    Some documents use a prefix for the namespace, or another namespace or version; some are cut off, incomplete, or hold
+    no log or two.
+    """
+    devices = read_events(spark, sf_dir).select(device_of(F.col("user_id")).alias("device_id")).distinct()
     d = F.col("_d")
+    text = F.lit
+    p = F.when(d % 4 == 2, "w:").otherwise("")
     depth_unit = F.when(d % 37 == 5, "km").when(d % 5 == 1, "ft").otherwise("m")
 
-    def curve(mnemonic: str, unit: Column, null_value: str) -> Column:
-        return F.struct(
-            F.lit(mnemonic).alias("mnemonic"), unit.alias("unit"), F.lit(null_value).alias("null_value")
-        )
+    def element(name: str, value: Column | str) -> Column:
+        return F.concat(text("<"), p, text(f"{name}>"), F.lit(value) if isinstance(value, str) else value, text("</"), p, text(f"{name}>\n"))
 
-    return devices.withColumn("_d", _log_number()).select(
-        _path().alias("path"),
-        "device_id",
-        F.lit(False).alias("malformed"),
-        F.lit("http://www.witsml.org/schemas/1series").alias("xmlns"),
-        F.when(d % 59 == 4, "1.3.1.1").otherwise("1.4.1.1").alias("version"),
-        F.when(d % 67 == 8, 2).otherwise(1).alias("log_count"),
-        F.concat(F.lit("W-"), d.cast("string")).alias("uid_well"),
-        F.concat(F.lit("Well "), d.cast("string")).alias("name_well"),
-        F.when(d % 71 == 9, " ").otherwise("WB-1").alias("uid_wellbore"),
-        F.lit("Main bore").alias("name_wellbore"),
-        F.concat(F.lit("LOG-"), d.cast("string")).alias("uid"),
-        F.lit("").alias("name"),
-        F.when(d % 53 == 1, "date time").otherwise("measured depth").alias("index_type"),
-        F.lit("DEPT").alias("index_curve"),
-        F.array_compact(F.array(
-            curve("DEPT", depth_unit, "-999.25"), curve("DTIM", F.lit(""), ""), curve("GR", F.lit("gAPI"), "-999.25"),
-            F.when(d % 41 != 7, curve("SPP", F.lit("psi"), "")), curve("TEMP", F.lit("degC"), ""),
-        )).alias("curves"),
-        F.lit(True).alias("has_log_data"),
+    def opened(name: str, attributes: Column | str = "") -> Column:
+        return F.concat(text("<"), p, text(name), F.lit(attributes) if isinstance(attributes, str) else attributes, text(">\n"))
+
+    def closed(name: str) -> Column:
+        return F.concat(text("</"), p, text(f"{name}>\n"))
+
+    def where(condition: Column, value: Column) -> Column:
+        return F.when(condition, value).otherwise("")
+
+    def curve(mnemonic: str, unit: Column | str, null_value: str) -> Column:
+        return F.concat(
+            opened("logCurveInfo", f' uid="{mnemonic}"'), element("mnemonic", mnemonic), element("unit", unit),
+            element("nullValue", null_value), closed("logCurveInfo"))
+
+    mnemonics = (
         F.when(d % 43 == 3, "DEPT, DTIM, GR, SPP")
         .when(d % 61 == 6, "DEPT,DTIM,GR,SPP,TEMP,GR")
         .when(d % 3 == 1, "GR,SPP,TEMP,DEPT,DTIM")
-        .otherwise("DEPT,DTIM,GR,SPP,TEMP")
-        .alias("mnemonic_list"),
-        F.when(d % 43 == 3, F.concat(depth_unit, F.lit(",,gAPI,psi")))
-        .when(d % 61 == 6, F.concat(depth_unit, F.lit(",,gAPI,psi,degC,gAPI")))
+        .otherwise("DEPT,DTIM,GR,SPP,TEMP"))
+    units = (
+        F.when(d % 43 == 3, F.concat(depth_unit, text(",,gAPI,psi")))
+        .when(d % 61 == 6, F.concat(depth_unit, text(",,gAPI,psi,degC,gAPI")))
         .when(d % 47 == 2, "m,,gAPI")
-        .when(d % 3 == 1, F.concat(F.lit("gAPI, psi, degC,"), depth_unit, F.lit(",")))
-        .otherwise(F.concat(depth_unit, F.lit(",,gAPI,psi,degC")))
-        .alias("unit_list"),
-    )
+        .when(d % 3 == 1, F.concat(text("gAPI, psi, degC,"), depth_unit, text(",")))
+        .otherwise(F.concat(depth_unit, text(",,gAPI,psi,degC"))))
+    namespace = F.when(d % 73 == 20, "http://www.witsml.org/schemas/131").otherwise("http://www.witsml.org/schemas/1series")
+    version = F.when(d % 59 == 4, "1.3.1.1").otherwise("1.4.1.1")
+    number = d.cast("string")
+    has_log, has_data = d % 67 != 25, d % 89 != 35
+    log = F.concat(
+        opened("log", F.concat(text(' uidWell="W-'), number, text('" uidWellbore="'), F.when(d % 71 == 9, " ").otherwise("WB-1"), text('" uid="LOG-'), number, text('"'))),
+        element("nameWell", F.concat(text(" Well &amp; "), number, text("\t"))),
+        where(d % 71 != 13, element("nameWellbore", "Main <!-- > --> bore")),
+        element("indexType", F.when(d % 53 == 1, "date time").otherwise("measured depth")),
+        element("indexCurve", "DEPT"),
+        curve("DEPT", depth_unit, "-999.25"), curve("DTIM", "", ""), curve("GR", "gAPI", "-999.25"),
+        where(d % 41 != 7, curve("SPP", "psi", "")), curve("TEMP", "degC", ""))
+    block = F.concat(opened("logData"), where(d % 79 != 30, element("mnemonicList", mnemonics)), element("unitList", units))
+    xmlns = F.when(d % 4 == 2, ' xmlns:w="').otherwise(' xmlns="')
+    head = F.concat(
+        text('<?xml version="1.0"?>\n'), opened("logs", F.concat(xmlns, namespace, text('" version="'), version, text('"'))),
+        where(has_log, F.concat(log, where(has_data, block))))
+    tail = F.concat(
+        text("<!-- -->"),  # ends what the last line may have begun
+        where(has_log & has_data, closed("logData")),
+        # a second block doesn't count, and neither do the lines in a comment
+        where(has_log & (d % 3 == 0), F.concat(opened("logData"), element("data", "1,2"), closed("logData"))),
+        text("<!-- <data>0</data> -->"),
+        where(has_log, closed("log")), where(d % 67 == 8, F.concat(opened("log"), closed("log"))),
+        where(d % 61 != 12, closed("logs")))
+    return devices.withColumn("_d", _log_number()).select(_path().alias("path"), "_d", head.alias("head"), tail.alias("tail"))
+
+
+LINES_PER_BLOCK = 1 << 16
+
+
+def well_log_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, block, at, text): XML text of one well log per device, in fragments that each begin with a tag."""
+    ends = _log_ends(spark, sf_dir).select("path", F.inline(F.array(
+        F.struct(F.lit(-1).cast("bigint").alias("block"), F.col("head").alias("text")),
+        F.struct(F.lit(1 << 40).alias("block"), F.col("tail").alias("text")))))
+    rn = F.col("line_no")
+    tag = F.concat(F.when(F.col("_d") % 4 == 2, "w:").otherwise(""), F.lit("data>"))
+    text = F.concat(
+        F.lit("<"), tag, F.col("line"), F.lit("</"), tag, F.lit("\n"),
+        # comments among the lines, some of which end behind the next line
+        F.when(rn % 7 == 3, "<!-- a <").when(rn % 7 == 4, "-->").when(rn % 10 == 0, "<!-- <data>1,2</data> -->").otherwise(""))
+    lines = well_log_lines(spark, sf_dir)
+    # the line after an unfinished comment belongs to the comment, so it is repeated behind it
+    commented = rn % 7 == 4
+    return lines.select(
+        "path", (F.floor(rn / LINES_PER_BLOCK)).cast("bigint").alias("block"), rn.alias("at"),
+        F.when(commented, F.concat(text, F.lit("<"), tag, F.col("line"), F.lit("</"), tag)).otherwise(text).alias("text"),
+    ).unionByName(ends.select("path", "block", F.lit(0).cast("bigint").alias("at"), "text"))
 
 
 def well_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of the same logs: (path, line_no, line); some values are empty, null or no numbers."""
+    """Data lines of the same logs: (path, line_no, line, _d); some values are empty, null or no numbers."""
     e = numbered_events(spark, sf_dir, ["device_id"]).withColumn("_d", _log_number())
     event_id, d = F.col("event_id"), F.col("_d")
     depth = F.when(event_id % 499 == 0, "-999.25").otherwise(
@@ -234,4 +278,5 @@ def well_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(d % 3 == 1, line(gamma, pressure, temperature, depth, time))
         .otherwise(line(depth, time, gamma, pressure, temperature))
         .alias("line"),
+        "_d",
     )
