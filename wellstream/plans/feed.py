@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from wellstream.operators import backfill, events, ingest, ordering, sessions, views, welllog
 
-from wellstream.session import configure, cut_lineage
+from wellstream.session import configure, written
 from wellstream.sources import derived, welllogs
 
 CONFLICT_WINDOW_SECONDS = 12 * 3600
-LOG_DEVICE = F.regexp_extract("path", r"(DRILL-\d+)\.xml$", 1)
+LOG_DEVICE = r"(DRILL-\d+)\.xml$"
 
 
 class Feed:
@@ -105,11 +105,12 @@ class DerivedFeed(Feed):
 
     @cached_property
     def log_tokens(self) -> DataFrame:
-        return welllogs.tokens(welllogs.split_pieces(derived.well_log_fragments(self.spark, self.sf_dir)))
+        return written(welllogs.tokens(welllogs.split_pieces(derived.well_log_fragments(self.spark, self.sf_dir))))
 
     @cached_property
     def documents(self) -> DataFrame:
-        return welllog.resolve(cut_lineage(welllogs.documents(welllogs.header_texts(self.log_tokens), LOG_DEVICE)))
+        device = F.regexp_extract("path", LOG_DEVICE, 1)
+        return welllog.resolve(written(welllogs.documents(welllogs.header_texts(self.log_tokens), device)))
 
     @cached_property
     def lines(self) -> DataFrame:

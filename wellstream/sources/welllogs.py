@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from wellstream.schemas import LOG_HEADER_SCHEMA, LOG_NAMESPACE
-from wellstream.session import cut_lineage
+from wellstream.session import written
 
 RUN_ATTRIBUTE = "wellstream-run"
 DATA_OPEN = r"^((?:[A-Za-z_][\w.\-]*:)?data)>"
@@ -178,15 +178,14 @@ def lines(found: DataFrame, docs: DataFrame) -> DataFrame:
 
 def read_well_logs(spark: SparkSession, directory: str, device_id: Column | str) -> tuple[DataFrame, DataFrame]:
     """Documents and lines of all files of a directory; an empty file is a malformed document."""
-    found = tokens(read_pieces(spark, directory))
+    found = written(tokens(read_pieces(spark, directory)))  # else each use would read and part all texts again
     known = header_texts(found)
     # scans pass over empty files, the listing has them
     paths = spark.createDataFrame([(path,) for path in spark.read.text(directory).inputFiles()], "path string")
     key = F.regexp_replace("path", "^([a-z0-9]+):/+", "$1:/")
     empty = paths.withColumn("path", key).join(known.select(key.alias("path")), "path", "left_anti")
     headers = known.unionByName(empty.select("path", F.lit("").alias("header")))
-    # a header is small, and without the cut each use of one would read all texts again
-    docs = cut_lineage(documents(headers, device_id))
+    docs = written(documents(headers, device_id))
     return docs, lines(found, docs)
 
 
