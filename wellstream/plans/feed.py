@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,8 +10,9 @@ from pyspark.sql import functions as F
 
 from wellstream.operators import backfill, events, ingest, ordering, sessions, views, welllog
 
-from wellstream.session import configure, written
+from wellstream.session import configure, shared_folder, written
 from wellstream.sources import derived, welllogs
+from wellstream.streaming import microbatch
 
 CONFLICT_WINDOW_SECONDS = 12 * 3600
 LOG_DEVICE = r"(DRILL-\d+)\.xml$"
@@ -78,6 +80,18 @@ class DerivedFeed(Feed):
         """Readings of which many break a rule."""
         return ingest.validate(derived.broken_readings(self.spark, self.sf_dir))
 
+    @cached_property
+    def micro_batches(self) -> DataFrame:
+        """What a streaming job over the arrivals as messages, in three batches by order of arrival, leaves in its table."""
+        messages = written(derived.messages(self.arrivals))
+        root = f"{shared_folder(self.spark)}/jobs/{uuid.uuid4().hex}"
+        ends = messages.select(F.percentile("arrival_no", [1 / 3, 2 / 3])).first()[0]
+        batch = F.when(F.col("arrival_no") <= ends[0], 0).when(F.col("arrival_no") <= ends[1], 1).otherwise(2)
+        tables = microbatch.ReadingTables(self.spark, root)
+        for number in range(3):
+            microbatch.process_batch(tables, messages.where(batch == number), number, self.window_seconds)
+        return tables.read("processed")
+
     # Originals and redeliveries: every arrival number ends in 0 or 3 for originals.
     @cached_property
     def baseline(self) -> DataFrame:

@@ -444,6 +444,8 @@ FROM readings GROUP BY ALL""", "readings"),
     "o4_sequence_status": sql("""SELECT arrival_no, previous_sequence, sequence_status, gap_size FROM processed
 WHERE store_status = 'Stored'""", "processed"),
     "o5_outcome": sql(f"""SELECT {ARRIVAL}, store_status, previous_sequence, sequence_status, gap_size, outcome
+FROM processed""", "processed"),
+    "o10_micro_batches": sql(f"""SELECT {ARRIVAL}, store_status, previous_sequence, sequence_status, gap_size, outcome
 FROM processed""", "processed"),
     "o6_live_stream": sql(f"SELECT {ARRIVAL} FROM published", "published"),
     "o7_session_conflicts": sql("SELECT * FROM conflicts", "conflicts"),

@@ -160,6 +160,7 @@ QUERIES: dict[str, Callable[[DerivedFeed], DataFrame]] = {
     "o8_session_pairs": _o8,
     "o9_late_arrivals": lambda f: f.processed.where(F.col("outcome") == "LateArrival").select(
         "arrival_no", "sequence_number", (F.col("previous_sequence") - F.col("sequence_number")).alias("sequences_late")),
+    "o10_micro_batches": lambda f: f.micro_batches.select(*f.processed.columns),
     "e1_duplicate_events": lambda f: _event_type(f, events.DUPLICATE_READING),
     "e2_conflict_events": lambda f: _event_type(f, events.CONFLICTING_READING),
     "e3_gap_events": lambda f: _event_type(f, events.SEQUENCE_GAP),

@@ -118,21 +118,19 @@ def broken_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(*[replaced(c).alias(c) for c in rows.columns])
 
 
+def messages(readings: DataFrame) -> DataFrame:
+    """Readings as JSON messages; members that are null are left out."""
+    members = F.struct(*[F.col(column).alias(member) for member, column, _ in READING_FIELDS])
+    text = F.to_json(members, {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'", "ignoreNullFields": "true"})
+    return readings.select("arrival_no", "received_at_utc", text.alias("value"))
+
+
 def raw_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``arrivals`` as JSON messages; some are cut off, some come from a writer without acquisition mode."""
-    a = arrivals(spark, sf_dir)
     n = F.col("arrival_no")
-    legacy = n % 13 == 0
-    members = F.struct(*[
-        (F.when(~legacy, F.col(column)) if column == "acquisition_mode" else F.col(column)).alias(member)
-        for member, column, _ in READING_FIELDS
-    ])
-    text = F.to_json(members, {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'", "ignoreNullFields": "true"})
-    return a.select(
-        "arrival_no",
-        "received_at_utc",
-        F.when(n % 37 == 0, F.substring(text, 1, 40)).otherwise(text).alias("value"),
-    )
+    mode = F.when(n % 13 != 0, F.col("acquisition_mode"))
+    whole = messages(arrivals(spark, sf_dir).withColumn("acquisition_mode", mode))
+    return whole.withColumn("value", F.when(n % 37 == 0, F.substring("value", 1, 40)).otherwise(F.col("value")))
 
 
 def pinned_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:

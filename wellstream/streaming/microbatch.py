@@ -1,16 +1,16 @@
 """The processing chain as a micro-batch job on plain Parquet tables.
 
-Every batch writes its rows under ``<table>/batch_id=N`` by overwriting that folder. A batch that is
-replayed after a failure, with the same input from the checkpointed source, therefore writes the same rows
-again instead of more. State is one small table per batch, and batch N continues from that of N-1.
+A batch becomes visible in all tables at once, by its commit (``ledger``). A batch that is replayed after a failure, with
+the same input from the checkpointed source, writes the same rows again and replaces its earlier attempt.
+
+A batch costs what its own keys need: state is read and rewritten in the buckets of its devices only, and of the stored
+table it opens only files that may hold a late or repeated key, by a Bloom filter per bucket and batch (``key_index``).
 
 There is no watermark: a reading is stored however late it is.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,28 +19,28 @@ from pyspark.sql.streaming import DataStreamReader, StreamingQuery
 from wellstream.operators import events, ingest, ordering, sessions, store
 from wellstream.schemas import EVENT_SCHEMA, LATE_ARRIVAL, NATURAL_KEY, PUBLISHED, RAW_MESSAGE_SCHEMA, READING_SCHEMA, STREAM_KEY
 from wellstream.session import configure
+from wellstream.streaming import key_index
+from wellstream.streaming.ledger import BUCKET, Attempt, Ledger, bucket_of
 
 KAFKA_OFFSET_BITS = 44
 STORED_OUTCOMES = [PUBLISHED, LATE_ARRIVAL]
 
-BATCH = T.StructField("batch_id", T.LongType())
 PROCESSED_SCHEMA = T.StructType(READING_SCHEMA.fields + [
     T.StructField("store_status", T.StringType()),
     T.StructField("previous_sequence", T.LongType()),
     T.StructField("sequence_status", T.StringType()),
     T.StructField("gap_size", T.LongType()),
     T.StructField("outcome", T.StringType()),
-    BATCH,
+    T.StructField(BUCKET, T.IntegerType()),
 ])
 REJECT_SCHEMA = T.StructType([
     T.StructField("received_at_utc", T.TimestampType()),
     T.StructField("arrival_no", T.LongType()),
     T.StructField("value", T.StringType()),
     T.StructField("reject_reason", T.StringType()),
-    BATCH,
 ])
 EVENTS_SCHEMA = T.StructType(EVENT_SCHEMA.fields + [
-    T.StructField("arrival_no", T.LongType()), T.StructField("event_rank", T.IntegerType()), BATCH,
+    T.StructField("arrival_no", T.LongType()), T.StructField("event_rank", T.IntegerType()),
 ])
 CONFLICT_SCHEMA = T.StructType([
     T.StructField("device_id", T.StringType()),
@@ -52,13 +52,12 @@ CONFLICT_SCHEMA = T.StructType([
     T.StructField("observed_session_id", T.StringType()),
     T.StructField("arrival_no", T.LongType()),
     T.StructField("received_at_utc", T.TimestampType()),
-    BATCH,
 ])
 STREAMS_SCHEMA = T.StructType([
     T.StructField("device_id", T.StringType()),
     T.StructField("acquisition_session_id", T.StringType()),
     T.StructField("last_sequence", T.LongType()),
-    BATCH,
+    T.StructField(BUCKET, T.IntegerType()),
 ])
 ACTIVITY_SCHEMA = T.StructType([
     T.StructField("device_id", T.StringType()),
@@ -66,12 +65,14 @@ ACTIVITY_SCHEMA = T.StructType([
     T.StructField("received_at_utc", T.TimestampType()),
     T.StructField("arrival_no", T.LongType()),
     T.StructField("episode", T.LongType()),
-    BATCH,
+    T.StructField(BUCKET, T.IntegerType()),
 ])
-REPORTED_SCHEMA = T.StructType([f for f in CONFLICT_SCHEMA.fields if f.name in [*sessions.REPORT_KEY, "batch_id"]])
+REPORTED_SCHEMA = T.StructType(
+    [f for f in CONFLICT_SCHEMA.fields if f.name in sessions.REPORT_KEY] + [T.StructField(BUCKET, T.IntegerType())])
 
 TABLES = {
     "processed": PROCESSED_SCHEMA,
+    "stored_index": key_index.INDEX_SCHEMA,
     "rejects": REJECT_SCHEMA,
     "events": EVENTS_SCHEMA,
     "conflicts": CONFLICT_SCHEMA,
@@ -79,45 +80,17 @@ TABLES = {
     "state_activity": ACTIVITY_SCHEMA,
     "state_reported": REPORTED_SCHEMA,
 }
-STATE_TABLES = ["state_streams", "state_activity", "state_reported"]
+STATE_TABLES = ("state_streams", "state_activity", "state_reported")
+PARTITIONS = {"processed": (BUCKET, "outcome"), **{t: (BUCKET,) for t in STATE_TABLES}}
+#: All tables are cut by device, so that one batch touches the same buckets of each.
+DEVICE_BUCKET = ("device_id",)
 
 
-@dataclass(frozen=True)
-class ReadingTables:
+class ReadingTables(Ledger):
     """The tables of one job under a shared root folder."""
 
-    spark: SparkSession
-    root: str
-
-    def read(self, table: str) -> DataFrame:
-        return self.spark.read.schema(TABLES[table]).option("basePath", f"{self.root}/{table}").parquet(
-            f"{self.root}/{table}"
-        )
-
-    def write(self, table: str, batch_id: int, df: DataFrame) -> DataFrame:
-        """Replace the rows of one batch and return them as read from the table."""
-        columns = [f.name for f in TABLES[table].fields if f.name != "batch_id"]
-        writer = df.select(*columns).write.mode("overwrite")
-        if table == "processed":
-            writer = writer.partitionBy("outcome")
-        writer.parquet(f"{self.root}/{table}/batch_id={batch_id}")
-        return self.batch(table, batch_id)
-
-    def batch(self, table: str, batch_id: int) -> DataFrame:
-        """Rows of one batch, read from its own folder, so that no other folder is listed."""
-        schema = T.StructType([f for f in TABLES[table].fields if f.name != "batch_id"])
-        path = f"{self.root}/{table}/batch_id={batch_id}"
-        return self.spark.read.schema(schema).option("basePath", path).parquet(path)
-
-    def expire_state(self, batch_id: int, retained: int) -> None:
-        """Delete the state that no replay can ask for any more once this batch is written."""
-        old = batch_id - 1 - retained
-        if old < 0:
-            return
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        for table in STATE_TABLES:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}/batch_id={old}")
-            path.getFileSystem(conf).delete(path, True)
+    def __init__(self, spark: SparkSession, root: str):
+        super().__init__(spark, root, TABLES, STATE_TABLES, PARTITIONS)
 
     def stored(self) -> DataFrame:
         """The readings table: whatever was the first of its natural key."""
@@ -127,6 +100,12 @@ class ReadingTables:
         """Readings that advanced their stream."""
         return self.read("processed").where(F.col("outcome") == PUBLISHED)
 
+    def stored_with(self, keys: DataFrame, before: int) -> DataFrame:
+        """What the batches before this one stored in the buckets and batches that may hold one of the keys."""
+        index = self.read("stored_index", ("batch_id", "attempt"), before)
+        found = key_index.candidates(index, keys.withColumn(BUCKET, bucket_of(*DEVICE_BUCKET)), NATURAL_KEY)
+        return self.folders("processed", found).where(F.col("outcome").isin(STORED_OUTCOMES))
+
 
 def process_batch(tables: ReadingTables, messages: DataFrame, batch_id: int, window_seconds: int) -> None:
     """One micro-batch of messages. Later steps read what earlier ones wrote, so nothing is computed twice."""
@@ -134,38 +113,43 @@ def process_batch(tables: ReadingTables, messages: DataFrame, batch_id: int, win
     # Several steps read the parsed batch; what a lost executor held of it is parsed again from the source.
     validated = ingest.validate(ingest.parse_messages(messages)).persist()
     try:
-        _process(tables, validated, batch_id, window_seconds)
+        _process(tables, tables.attempt(batch_id), validated, window_seconds)
     finally:
         validated.unpersist()
 
 
-def _process(tables: ReadingTables, validated: DataFrame, batch_id: int, window_seconds: int) -> None:
-    rejected = tables.write("rejects", batch_id, ingest.rejects(validated))
+def _bucketed(rows: DataFrame) -> DataFrame:
+    return rows.withColumn(BUCKET, bucket_of(*DEVICE_BUCKET))
+
+
+def _process(tables: ReadingTables, attempt: Attempt, validated: DataFrame, window_seconds: int) -> None:
+    rejected = attempt.write("rejects", ingest.rejects(validated))
     readings = ingest.valid_readings(validated)
+    touched = [r[0] for r in readings.select(bucket_of(*DEVICE_BUCKET)).distinct().collect()]  # as many as buckets at most
 
-    earlier = batch_id > 0
-    last = tables.batch("state_streams", batch_id - 1) if earlier else None
+    last = attempt.state("state_streams", touched)
     ordered = ordering.classify_sequence(readings, last_sequences=last)
-    if earlier:
-        # Above the last sequence of its stream nothing can have been stored before this batch.
-        not_ahead = readings.join(last, STREAM_KEY).where(F.col("sequence_number") <= F.col("last_sequence"))
-        before = tables.stored().where(F.col("batch_id") < batch_id)
-        statused = store.classify_against(before, ordered, readings, not_ahead.select(*NATURAL_KEY))
-    else:
+    if last is None:
         statused = ordering.classify_copies(ordered, readings)
-    processed = tables.write("processed", batch_id, ordering.judged(readings, statused))
+    else:
+        # Above the last sequence of its stream nothing can have been stored before this batch.
+        not_ahead = readings.join(last, STREAM_KEY).where(F.col("sequence_number") <= F.col("last_sequence")).select(*NATURAL_KEY)
+        before = tables.stored_with(not_ahead, attempt.commit_id.batch_id)
+        statused = store.classify_against(before, ordered, readings, not_ahead)
+    processed = attempt.write("processed", _bucketed(ordering.judged(readings, statused)))
     stored = processed.where(F.col("outcome").isin(STORED_OUTCOMES))
-    tables.write("state_streams", batch_id, ordering.last_sequences(stored, last))
+    attempt.write("stored_index", key_index.build(stored, NATURAL_KEY))
+    attempt.write_state("state_streams", _bucketed(ordering.last_sequences(stored, None if last is None else last.drop(BUCKET))), touched)
 
-    activity = tables.batch("state_activity", batch_id - 1) if earlier else None
-    reported = tables.batch("state_reported", batch_id - 1) if earlier else None
-    conflicts = tables.write(
-        "conflicts", batch_id, sessions.keyed_conflicts(stored, window_seconds, activity, reported)
-    )
-    current = tables.write("state_activity", batch_id, sessions.latest_activity(stored, window_seconds, activity))
+    activity, reported = attempt.state("state_activity", touched), attempt.state("state_reported", touched)
+    conflicts = attempt.write("conflicts", sessions.keyed_conflicts(stored, window_seconds, activity, reported))
+    current = attempt.write_state("state_activity", _bucketed(sessions.latest_activity(stored, window_seconds, activity)), touched)
     keys = conflicts.select(*sessions.REPORT_KEY)
-    tables.write("state_reported", batch_id, _still_current(keys if reported is None else keys.unionByName(reported), current))
-    tables.write("events", batch_id, events.event_stream(processed, rejected, conflicts))
+    if reported is not None:
+        keys = keys.unionByName(reported.select(*sessions.REPORT_KEY))
+    attempt.write_state("state_reported", _bucketed(_still_current(keys, current)), touched)
+    attempt.write("events", events.event_stream(processed, rejected, conflicts))
+    attempt.commit()
 
 
 def _still_current(reported: DataFrame, activity: DataFrame) -> DataFrame:
@@ -224,7 +208,7 @@ def start(
     def run(batch: DataFrame, batch_id: int) -> None:
         tables = ReadingTables(batch.sparkSession, root)
         process_batch(tables, batch, batch_id, window_seconds)
-        tables.expire_state(batch_id, retained)
+        tables.expire(batch_id, retained)
 
     return (
         messages.writeStream.foreachBatch(run)
