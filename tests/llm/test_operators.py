@@ -368,7 +368,33 @@ def test_odd_input(spark, odd, empty):
         assert frame.count() == n
     pairs = passages.repeated_passages(docs).collect()
     assert {(min(p.doc_id, p.other_id), max(p.doc_id, p.other_id)) for p in pairs} == (set() if empty else {(2, 3)})
-    for kept in (decontaminate.decontaminated(docs, benchmark), toxicity.without_toxic(docs, labels), near_dup.representatives(docs), mixture.repeated(docs.withColumnRenamed("size", "bytes"))):
+    for kept in (decontaminate.decontaminated(docs, benchmark), toxicity.without_toxic(docs, labels), near_dup.representatives(docs), mixture.repeated(docs)):
         assert len(kept.columns) == len(docs.columns) and kept.count() <= 2 * n
     near = {r.doc_id: r for r in near_dup.near_duplicates(docs).where("doc_id is not null").collect()}
     assert empty or ([near[i].component_id for i in (1, 2, 3, 4)], near[1].n_shingles) == ([1, 2, 2, 4], 0)
+
+
+NAMES = ["row", "size", "source_size", "target", "repetitions", "taken", "whole", "left", "end_bin", "last_hash", "part_hash", "part_rows", "bound", "clamped", "head", "hash", "bin", "words", "start", "before", "some", "n",
+         "__hash", "__bin", "__size", "__target", "__source", "__part", "__at", "__task", "__own", "__text", "__rules", "__a", "__b", "__key_a", "__key_b", "key_a", "key_b", "rule", "for_source", "taken_source", "own", "part", "to", "state",
+         "shard", "slot", "law", "text_crc32", "grown_shard", "secret_spans", "toxicity", "key of the run", "a.b"]
+
+
+def test_columns_of_any_name_are_kept(spark):
+    """Each input column that isn't a result keeps its value, and the results are those without it."""
+    texts = {1: "password = abcdefghijklmnop one two", 2: "three four five six", 3: None, 4: "a b c d e f g", 5: "a b c d e f g"}
+    rows = [(i, t, f"s{i % 2}") for i, t in texts.items()]
+    plain = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    wide = spark.createDataFrame([(*r, *(f"{n} of {r[0]}" for n in NAMES)) for r in rows], ", ".join(["doc_id long, text string, source string", *(f"`{n}` string" for n in NAMES)]))
+    kept = lambda r, results: all(r[n] == f"{n} of {r.doc_id}" for n in NAMES if n not in results)
+    for apply, results in ((mixture.mixed, mixture.RESULTS), (shards.sharded, shards.RESULTS), (secrets.scan, ["secret_spans"])):
+        own = {r.doc_id: [r[c] for c in results] for r in apply(plain).collect()}
+        found = apply(wide).collect()
+        assert all(kept(r, results) for r in found) and {r.doc_id: [r[c] for c in results] for r in found} == own
+    labels = spark.createDataFrame([(1, 0, 0), (2, 1, 1)], "doc_id long, quality int, toxic int")
+    benchmark = spark.createDataFrame([(1, "three four")], "item_id long, text string")
+    for apply in (mixture.repeated, near_dup.representatives, lambda d: toxicity.without_toxic(d, labels), lambda d: decontaminate.decontaminated(d, benchmark)):
+        found = apply(wide)
+        assert found.columns == wide.columns
+        rows_found = found.collect()
+        assert rows_found and all(kept(r, []) for r in rows_found)
+        assert sorted(r.doc_id for r in rows_found) == sorted(r.doc_id for r in apply(plain).collect())

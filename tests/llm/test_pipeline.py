@@ -32,4 +32,5 @@ def test_stages(spark):
     size = lambda c: sum(n * len(words(texts[i], NONBLANK)) for i, n in c.items())
     assert abs(size(ids[4]) / size(ids[3]) - 1.5) < 0.15
     assert Counter(r.doc_id for r in last) == ids[4]
+    assert all(r.text == texts[r.doc_id] for r in last) and {*columns} <= {*last[0].asDict()}
     assert all(r.shard == jump(r.doc_id, 40) for r in last)

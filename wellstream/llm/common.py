@@ -172,12 +172,24 @@ def with_results(df: DataFrame, f: Callable[[pa.Array], dict[str, pa.Array]], re
     if len({*names}) < len(names) or text not in names:
         raise ValueError(f"one column {text} and no repeated names are needed, got {names}")
     position = names.index(text)
+    plain = kept.toDF(*(f"c{i}" for i in range(len(names))))  # a name with a dot can't go to Python
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         found = f(part.column(position))
         return pa.RecordBatch.from_arrays([*part.columns, *found.values()], [*part.schema.names, *found])
 
-    return map_batches(kept, run, T.StructType([*kept.schema.fields, *added.fields]), text)
+    return map_batches(plain, run, T.StructType([*plain.schema.fields, *added.fields]), f"c{position}").toDF(*names, *added.fieldNames())
+
+
+def packed(df: DataFrame) -> DataFrame:
+    """df with all its columns in one struct, row, so that no name of theirs meets a name of ours."""
+    return df.select(F.struct(*[F.col(f"`{n}`") for n in df.columns]).alias("row"))
+
+
+def unpacked(df: DataFrame, *added: str) -> DataFrame:
+    """The columns of the struct row, and columns that are added; these replace columns of the same names."""
+    names = [n for n in df.schema["row"].dataType.fieldNames() if n not in added]
+    return df.select(*[F.col(f"row.`{n}`").alias(n) for n in names], *added)
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -228,12 +228,12 @@ def _merged(a: np.ndarray, b: list[int]) -> np.ndarray:
     return np.array(out, dtype=np.int64).reshape(-1)
 
 
-def decontaminated(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents without any word inside a benchmark window; all their columns as they were."""
-    results = ["hit_words", "hit_runs", "hit_items"]
-    clashing = {n: f"{n} of the input" for n in documents.columns if n in results}
-    found = find_overlaps(documents.withColumnsRenamed(clashing), benchmark, **options)
-    return found.where(F.size("hit_runs") == 0).drop(*results).withColumnsRenamed({new: n for n, new in clashing.items()})
+def decontaminated(documents: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
+    """The documents without any word inside a benchmark window; all their columns as they were, whatever their names."""
+    names = documents.columns
+    plain = documents.toDF(*(f"c{i}" for i in range(len(names))))
+    found = find_overlaps(plain, benchmark, text=f"c{names.index(text)}", **options)
+    return found.where(F.size("hit_runs") == 0).select(*plain.columns).toDF(*names)
 
 
 def longest_matches(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES, least_words: int = 1) -> DataFrame:

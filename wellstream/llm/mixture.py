@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wellstream.llm.common import cut, written
+from wellstream.llm.common import cut, packed, unpacked, written
 
 WEIGHTS = (3.0, 1.0, 2.0)
 BUDGET = 1.5
@@ -82,16 +82,26 @@ def _some_of(rows: DataFrame) -> DataFrame:
     return rows.withColumn("__part", F.col("earlier") + F.col("__own") <= F.col("part_rows")).drop("__at", "__task", "__own", "of", "task", "earlier")
 
 
-def mixed(documents: DataFrame, budget: float = BUDGET, most_epochs: float = MOST_EPOCHS, weights: tuple[float, ...] = WEIGHTS, seed: str = SEED, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+RESULTS = ["size", "source_size", "target", "repetitions", "taken"]
+
+
+def mixed(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+    """documents with size, source_size, target, repetitions (how often the mix takes the row) and taken (words).
+
+    Columns of the input with one of these names are replaced; others may have any name.
+    """
+    return unpacked(_mixed(packed(documents), doc_id=f"row.`{doc_id}`", text=f"row.`{text}`", source=f"row.`{source}`", **options), *RESULTS)
+
+
+def _mixed(documents: DataFrame, budget: float = BUDGET, most_epochs: float = MOST_EPOCHS, weights: tuple[float, ...] = WEIGHTS, seed: str = SEED, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """documents with size, source_size, target, repetitions (how often the mix takes the row) and taken (words).
 
     Columns of the input with one of these names are replaced.
     """
     results = ["size", "source_size", "target", "repetitions", "taken"]
-    kept = documents.drop(*results)
     # the hash is of the row alone, so it can be made again anywhere; rows of the same key and text follow each other
     key = F.md5(F.concat_ws("/", F.lit(seed), F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.coalesce(F.md5(F.col(text).cast("binary")), F.lit("null"))).cast("binary"))
-    rows = kept.withColumns({"size": word_count(text), "__hash": key}).withColumn("__bin", F.conv(F.substring("__hash", 1, 4), 16, 10).cast("int"))
+    rows = documents.withColumns({"size": word_count(text), "__hash": key}).withColumn("__bin", F.conv(F.substring("__hash", 1, 4), 16, 10).cast("int"))
     light = rows.select(F.col(source).alias("source"), "size", F.col("__hash").alias("hash"), F.col("__bin").alias("bin"))
     light = written(light)
     sizes = light.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -122,7 +132,7 @@ def mixed(documents: DataFrame, budget: float = BUDGET, most_epochs: float = MOS
         out = out.where(~equal).unionByName(_some_of(out.where(equal)))
     extra = F.when(F.col("__part"), F.lit(1)).when(F.col("end_bin").isNull(), F.lit(0)).when((F.col("__bin") < F.col("end_bin")) | ((F.col("__bin") == F.col("end_bin")) & (F.col("__hash") <= F.coalesce("last_hash", F.lit("")))), F.lit(1)).otherwise(F.lit(0))
     repetitions = (F.col("whole") + extra).cast("long")
-    return out.select(*[f"`{n}`" for n in kept.columns], "size", F.col("__size").alias("source_size"), F.col("__target").alias("target"), repetitions.alias("repetitions"), (repetitions * F.col("size")).alias("taken"))
+    return out.select("row", "size", F.col("__size").alias("source_size"), F.col("__target").alias("target"), repetitions.alias("repetitions"), (repetitions * F.col("size")).alias("taken"))
 
 
 def summary(documents: DataFrame) -> DataFrame:
@@ -130,6 +140,7 @@ def summary(documents: DataFrame) -> DataFrame:
     return mixed(documents.select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-def repeated(documents: DataFrame, **options) -> DataFrame:
-    """The mix itself: each document as often as it is taken; the columns of documents."""
-    return mixed(documents, **options).where("repetitions > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("repetitions").cast("int")))).select(*[f"`{n}`" for n in documents.columns])
+def repeated(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+    """The mix itself: each document as often as it is taken; the columns of documents as they were."""
+    mix = _mixed(packed(documents), doc_id=f"row.`{doc_id}`", text=f"row.`{text}`", source=f"row.`{source}`", **options).where("repetitions > 0")
+    return unpacked(mix.select("row", F.explode(F.sequence(F.lit(1), F.col("repetitions").cast("int")))))

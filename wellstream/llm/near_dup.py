@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wellstream.llm.common import NONBLANK_BYTES, map_batches, mix, shingles_of, ship, words_of, written
+from wellstream.llm.common import map_batches, mix, packed, shingles_of, ship, unpacked, words_of, written, NONBLANK_BYTES
 from wellstream.llm.components import components
 
 SHINGLE_WORDS = 5
@@ -328,10 +328,10 @@ def representatives(documents: DataFrame, percent: int = 80, doc_id: str = "doc_
     own texts. Of rows equal in both the one with the smallest hash of all columns stays. Rows without shingles stay.
     """
     name = "key of the run"
-    keyed = documents.withColumn(name, F.xxhash64(F.col(doc_id), F.col(text)))
-    found = near_duplicates(keyed.select(F.col(name).alias("doc_id"), F.col(text).alias("text")), percent)
+    keyed = packed(documents).withColumn(name, F.xxhash64(f"row.`{doc_id}`", f"row.`{text}`"))
+    found = near_duplicates(keyed.select(F.col(name).alias("doc_id"), F.col(f"row.`{text}`").alias("text")), percent)
     groups = found.where("n_shingles > 0").select(F.col("doc_id").alias(name), "component_id").distinct()
-    ids = keyed.groupBy(name).agg(F.first(F.col(doc_id).cast("long")).alias("id"), F.count("*").alias("n"))
+    ids = keyed.groupBy(name).agg(F.first(F.col(f"row.`{doc_id}`").cast("long")).alias("id"), F.count("*").alias("n"))
     groups = written(groups.join(ids, name))
     best = groups.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", name, "n")).alias("best"))
     best = written(best.select(f"best.`{name}`", "best.n"))
@@ -339,11 +339,11 @@ def representatives(documents: DataFrame, percent: int = 80, doc_id: str = "doc_
     kept = keyed.join(dropped, name, "left_anti")
     several = best.where("n > 1").select(name)
     if not several.limit(1).count():
-        return kept.drop(name)
+        return unpacked(kept)
     several = _picked(several)
-    hashed = [F.col(f"`{n}`") for n, kind in documents.dtypes if "map<" not in kind]
-    one = kept.join(several, name, "left_semi").groupBy(name).agg(F.min_by(F.struct(*[F.col(f"`{n}`") for n in documents.columns]), F.xxhash64(*hashed)).alias("row"))
-    return kept.join(several, name, "left_anti").drop(name).unionByName(one.select("row.*"))
+    hashed = [F.col(f"row.`{n}`") for n, kind in documents.dtypes if "map<" not in kind]
+    one = kept.join(several, name, "left_semi").groupBy(name).agg(F.min_by("row", F.xxhash64(*hashed)).alias("row"))
+    return unpacked(kept.join(several, name, "left_anti").select("row").unionByName(one.select("row")))
 
 
 def _picked(keys: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from re import _parser as parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wellstream.llm.common import written
+from wellstream.llm.common import packed, unpacked, written
 
 
 @dataclass(frozen=True)
@@ -203,10 +203,10 @@ def matches(text: Column, rule: Rule, number: int) -> Column:
 
 
 def scan(documents: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
-    """documents with secret_spans: all matches of all rules by start, then rule."""
+    """documents with secret_spans: all matches of all rules by start, then rule. An input column of that name is replaced; others may have any name."""
     for rule in rules:
         re.compile(rule.pattern)
-    kept = documents.drop("secret_spans")
+    kept, text = packed(documents), f"row.`{text}`"
     keyed = kept.withColumn("__text", F.coalesce(F.col(text), F.lit("")))
     queries = {i: trigram_query(rule.pattern) for i, rule in enumerate(rules)}
     indexed = {i: q for i, q in queries.items() if q != ALL}
@@ -226,7 +226,7 @@ def scan(documents: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "tex
     for i, rule in enumerate(rules):
         spans = matches(F.col("__text"), rule, i)
         parts.append(F.when(F.coalesce(F.col("__rules"), F.lit(0)).bitwiseAND(1 << i) != 0, spans).otherwise(none) if i in indexed else spans)
-    return keyed.withColumn("secret_spans", F.array_sort(F.concat(*parts))).select(*[f"`{n}`" for n in kept.columns], "secret_spans")
+    return unpacked(keyed.withColumn("secret_spans", F.array_sort(F.concat(*parts))), "secret_spans")
 
 
 def _number_of(kind: int) -> Column:

@@ -6,7 +6,7 @@ congruential generator seeded with the key.
 
 The key is doc_id; a row without one is keyed by the CRC-32 of its text. Equal keys share a shard. Null text has no bytes
 and the CRC-32 of an empty text. Slots number the rows of a shard from 0 by doc_id (null first), CRC-32 and size. They
-are counted range by range of doc_id, so that no shard is one task. Extra columns are left alone.
+are counted range by range of doc_id, so that no shard is one task. Extra columns stay.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wellstream.llm.common import packed, unpacked
 from wellstream.llm.order_minhash import number_below
 
 SHARDS = 40
@@ -49,11 +50,21 @@ def jump_hash(key: Column, shards: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(shards + 1)), start, step, lambda s: F.struct(s["shard"].cast("int").alias("shard"), s["grown"].cast("int").alias("grown")))
 
 
+RESULTS = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+
+
 def sharded(documents: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard (with one shard more) of every row."""
+    """documents with size, text_crc32, law, shard, slot, grown_shard (with one shard more), from which shards can be written.
+
+    Columns of the input with one of these names are replaced; others may have any name.
+    """
+    return unpacked(_sharded(packed(documents), shards, f"row.`{doc_id}`", f"row.`{text}`"), *RESULTS)
+
+
+def _sharded(documents: DataFrame, shards: int, doc_id: str, text: str) -> DataFrame:
     raw = F.coalesce(F.col(text), F.lit(""))
-    rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), (F.octet_length(raw) + OVERHEAD_BYTES).cast("long").alias("size"), F.crc32(raw.cast("binary")).alias("text_crc32"))
-    rows = rows.withColumn("to", jump_hash(F.coalesce("doc_id", "text_crc32"), shards)).select("doc_id", "size", "text_crc32", "to.shard", F.col("to.grown").alias("grown_shard"))
+    rows = documents.select("row", F.col(doc_id).cast("long").alias("doc_id"), (F.octet_length(raw) + OVERHEAD_BYTES).cast("long").alias("size"), F.crc32(raw.cast("binary")).alias("text_crc32"))
+    rows = rows.withColumn("to", jump_hash(F.coalesce("doc_id", "text_crc32"), shards)).select("row", "doc_id", "size", "text_crc32", "to.shard", F.col("to.grown").alias("grown_shard"))
     total = documents.count()
     ranges = max(1, min(-(-total // RANGE_ROWS), MOST_RANGES))
     ends = documents.select(F.percentile_approx(F.col(doc_id).cast("long"), [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0] if ranges > 1 else []
@@ -62,9 +73,9 @@ def sharded(documents: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id",
     offsets = sizes.select("shard", "part", (F.sum("n").over(Window.partitionBy("shard").orderBy("part")) - F.col("n")).alias("before"))
     numbered = rows.withColumn("own", F.row_number().over(Window.partitionBy("shard", "part").orderBy(F.col("doc_id").asc_nulls_first(), "text_crc32", "size")))
     out = numbered.join(offsets, ["shard", "part"])
-    return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("before") + F.col("own") - 1).cast("long").alias("slot"), "grown_shard")
+    return out.select("row", "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("before") + F.col("own") - 1).cast("long").alias("slot"), "grown_shard")
 
 
 def summary(documents: DataFrame) -> DataFrame:
     """Every document in shards 0 to 39."""
-    return sharded(documents)
+    return sharded(documents.select("doc_id", "text")).drop("text")
