@@ -37,7 +37,7 @@ def mixture_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each copy gets its shard and its slot in it."""
+    """Each copy gets its shard and its slot in it; its columns stay."""
     return shards.sharded(docs)
 
 
