@@ -71,17 +71,47 @@ def test_conflict_is_reported_once_until_idle(spark, times, window, arrivals):
     assert sorted(r.arrival_no for r in found.collect()) == arrivals
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_conflicts_of_random_traces(spark, seed):
+@pytest.mark.parametrize("seed, rows_per_slice", [(0, 1 << 20), (1, 7), (2, 40), (3, 1)])
+def test_conflicts_of_random_traces(spark, seed, rows_per_slice):
     trace = random_trace(seed, 500, devices=2, sessions=4, hot=0.3)
     outcome = model(trace)
     stored = [r for r in trace if outcome[r[16]][0] == "Stored"]
-    found = sessions.session_conflicts(frame(spark, stored), 30).collect()
+    found = sessions.session_conflicts(frame(spark, stored), 30, rows_per_slice).collect()
     got = {(r.device_id, r.existing_session_id, r.observed_session_id, r.arrival_no) for r in found}
     assert got == model_conflicts(stored, 30)
     assert got
 
 
+def test_a_device_that_sends_all_at_once_makes_many_slices(spark):
+    """Three sessions within one activity window, most readings of one instant."""
+    names = [A, B, "33333333-3333-4333-8333-333333333333"]
+    rows = [reading("D0", names[n * n % 3], n, n, 0.0 if n < 300 else (n - 300) / 100) for n in range(1, 700)]
+    rows += [reading(f"D{d}", A, d, 1000 + d, d) for d in range(1, 30)]
+    obs = sessions._observations(frame(spark, rows), 50)
+    sizes = {r.device_id: [] for r in obs.select("device_id").distinct().collect()}
+    for r in obs.groupBy("device_id", "_slice").count().collect():
+        sizes[r.device_id].append(r["count"])
+    assert max(sizes["D0"]) <= 100 and len(sizes["D0"]) >= 10 and sizes["D7"] == [1]
+    found = sessions.session_conflicts(frame(spark, rows), 30, 50).collect()
+    assert {(r.device_id, r.existing_session_id, r.observed_session_id, r.arrival_no) for r in found} == model_conflicts(rows, 30)
+
+
+@pytest.mark.parametrize("rows_per_slice", [1 << 20, 5])
+def test_conflicts_continue_from_earlier_input(spark, rows_per_slice):
+    trace = random_trace(9, 240, devices=2, sessions=4, hot=0.3)
+    stored = sorted((r for r in trace if model(trace)[r[16]][0] == "Stored"), key=lambda r: (r[15], r[16]))
+    got, activity, reported = set(), None, None
+    for part in range(3):
+        rows = frame(spark, stored[part * len(stored) // 3:(part + 1) * len(stored) // 3])
+        found = sessions.keyed_conflicts(rows, 30, activity, reported, rows_per_slice).collect()
+        got |= {(r.device_id, r.existing_session_id, r.observed_session_id, r.arrival_no) for r in found}
+        latest = sessions.latest_activity(rows, 30, activity, rows_per_slice)
+        activity = spark.createDataFrame(latest.collect(), latest.schema)
+        keys = spark.createDataFrame([tuple(r)[:5] for r in found], "device_id string, first_session string, second_session string, first_episode long, second_episode long")
+        reported = keys if reported is None else reported.unionByName(keys)
+    assert got == model_conflicts(stored, 30)
+
+
 def test_insert_if_absent_compares_with_the_table(spark):
     table = frame(spark, [reading(sequence=1)])
     incoming = frame(spark, [

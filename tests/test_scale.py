@@ -54,10 +54,10 @@ def test_every_rule_is_broken_by_some_reading(spark):
     assert found == rules - {predicates.BAD_JSON} | {None}
 
 
-def test_conflicts_window_by_bucket(no_broadcast, table):
+def test_conflicts_window_by_slice(no_broadcast, table):
     df = sessions.session_conflicts(table, 30)
     for spec in re.findall(r"windowspecdefinition\(([^)]*)\)", plan(df)):
-        assert "_bucket" in spec
+        assert "_slice" in spec  # rows of one slice, or one row per slice in their order
     assert "CartesianProduct" not in plan(df)
 
 

@@ -51,3 +51,35 @@ def with_carried(rows: DataFrame, keys: Sequence[str], summaries: Mapping[str, t
 
 def slice_window(keys: Sequence[str], *order: str) -> Window:
     return Window.partitionBy(*keys, SLICE).orderBy(*order)
+
+
+# Borders that are sought for a large key. A key of more than BORDERS times the wanted rows gets larger slices.
+BORDERS = 1 << 10
+
+
+def balanced(rows: DataFrame, keys: Sequence[str], position: str, tie: str, rows_per_slice: int) -> DataFrame:
+    """``rows`` with slices of about so many rows of a key, in the order of (position, tie), however rows are spread in it.
+
+    Keys with fewer rows are one slice. The borders of larger ones are quantiles of position, which combine on the map side;
+    rows of one position that fill a whole slice are cut by ``tie``, a number that is unique in the key. A large key has at
+    least ``rows_per_slice`` rows and a border for about as many, so what is broadcast is one number for so many input rows.
+    """
+    large = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > rows_per_slice)
+    quantiles = F.percentile_approx(position, [i / BORDERS for i in range(1, BORDERS)], 10 * BORDERS)
+    found = rows.select(*keys, position).join(F.broadcast(large), [*keys]).groupBy(*keys).agg(F.first("_rows").alias("_rows"), quantiles.alias("_all"))
+    # every n-th of the quantiles, so that a slice has the wanted rows
+    step = F.greatest(F.lit(1), F.floor(F.lit(BORDERS * rows_per_slice) / F.col("_rows"))).cast("int")
+    borders = found.select(*keys, F.filter("_all", lambda _, i: (i + 1) % step == 0).alias("_borders"))
+    at, found = F.col(position), rows.join(F.broadcast(borders), [*keys], "left")
+
+    def below(reached: Column, stride: Column) -> Column:
+        passed = F.coalesce(F.get("_borders", reached + stride - 1) <= at, F.lit(False))
+        return F.when(passed, reached + stride).otherwise(reached)
+
+    strides = F.lit([BORDERS >> i for i in range(1, BORDERS.bit_length())])
+    count = F.when(F.col("_borders").isNull(), F.lit(0)).otherwise(F.aggregate(strides, F.lit(0), below))
+    numbered = found.withColumn("_at", count)
+    crowded = F.coalesce((F.get("_borders", F.col("_at") - 1) == at) & (F.get("_borders", F.col("_at") - 2) == at), F.lit(False))
+    part = F.when(crowded, slice_start(F.col(tie), rows_per_slice)).otherwise(F.lit(-1).cast("bigint"))
+    # crowded rows come before the others behind their border
+    return numbered.withColumn(SLICE, F.struct(F.col("_at").alias("at"), (~crowded).alias("rest"), part.alias("part"))).drop("_borders", "_at")

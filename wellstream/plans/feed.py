@@ -80,6 +80,11 @@ class DerivedFeed(Feed):
         """Readings of which many break a rule."""
         return ingest.validate(derived.broken_readings(self.spark, self.sf_dir))
 
+    @cached_property
+    def burst_conflicts(self) -> DataFrame:
+        """Conflicts at the default activity window."""
+        return sessions.session_conflicts(derived.session_bursts(self.spark, self.sf_dir))
+
     @cached_property
     def micro_batches(self) -> DataFrame:
         """What a streaming job over the arrivals as messages, in three batches by order of arrival, leaves in its table."""

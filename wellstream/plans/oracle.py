@@ -18,7 +18,6 @@ RATE_OK = """(isfinite(depth_change_rate_metres_per_hour) AND CASE drilling_oper
    WHEN 'Stationary' THEN depth_change_rate_metres_per_hour = 0
    WHEN 'DrillingAhead' THEN depth_change_rate_metres_per_hour > 0
    WHEN 'TrippingOut' THEN depth_change_rate_metres_per_hour < 0 ELSE false END)"""
-CONFLICT_WINDOW_US = 12 * 3600 * 1_000_000
 SINCE = "TIMESTAMP '2024-01-10 00:00:00'"
 
 
@@ -29,6 +28,35 @@ def _uuid(text: str) -> str:
     ) + ")"
 
 
+def _conflict_ctes(name: str, source: str, seconds: int) -> dict[str, tuple[list[str], str]]:
+    """Conflicts of all readings in ``source``, each compared with the newest other session of its device."""
+    window = seconds * 1_000_000
+    return {
+        f"{name}observed": ([source], f"""
+SELECT device_id, acquisition_session_id AS s, epoch_us(received_at_utc) AS t, arrival_no, received_at_utc,
+ lag(epoch_us(received_at_utc)) OVER (PARTITION BY device_id, acquisition_session_id
+  ORDER BY received_at_utc, arrival_no) AS own_prev FROM {source}"""),
+        f"{name}episodes": ([f"{name}observed"], f"""
+SELECT *, sum(CASE WHEN own_prev IS NULL OR t - own_prev > {window} THEN 1 ELSE 0 END)
+ OVER (PARTITION BY device_id, s ORDER BY t, arrival_no) AS episode FROM {name}observed"""),
+        f"{name}neighbours": ([f"{name}episodes"], f"""
+SELECT *, lag(s) OVER d AS ps, lag(t) OVER d AS pt, lag(episode) OVER d AS pe FROM {name}episodes
+WINDOW d AS (PARTITION BY device_id ORDER BY t, arrival_no)"""),
+        f"{name}others": ([f"{name}neighbours"], f"""
+SELECT *, last_value(CASE WHEN ps <> s THEN row(ps, pt, pe) END IGNORE NULLS) OVER (PARTITION BY device_id
+ ORDER BY t, arrival_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS o FROM {name}neighbours"""),
+        f"{name}other_parts": ([f"{name}others"], f"""
+SELECT *, struct_extract(o, 1) AS os, struct_extract(o, 2) AS ot, struct_extract(o, 3) AS oe FROM {name}others WHERE o IS NOT NULL"""),
+        f"{name}candidates": ([f"{name}other_parts"], f"""
+SELECT *, row_number() OVER (PARTITION BY device_id, least(s, os), greatest(s, os),
+ CASE WHEN s < os THEN episode ELSE oe END, CASE WHEN s < os THEN oe ELSE episode END ORDER BY t, arrival_no) AS nth
+FROM {name}other_parts WHERE t - ot <= {window}"""),
+        f"{name}conflicts": ([f"{name}candidates"], f"""
+SELECT device_id, os AS existing_session_id, s AS observed_session_id, arrival_no, received_at_utc
+FROM {name}candidates WHERE nth = 1"""),
+    }
+
+
 CTES: dict[str, tuple[list[str], str]] = {
     "keyed": ([], """
 SELECT event_id, ts, user_id, value, 'DRILL-' || CASE WHEN user_id < 100 THEN lpad(CAST(user_id AS VARCHAR), 3, '0') ELSE CAST(user_id AS VARCHAR) END AS device_id,
@@ -126,28 +154,12 @@ FROM statused s LEFT JOIN sequenced q ON s.arrival_no = q.arrival_no"""),
     "published": (["processed"], """
 SELECT *, CASE WHEN epoch_us(received_at_utc) >= epoch_us(timestamp_utc)
  THEN epoch_us(received_at_utc) - epoch_us(timestamp_utc) END AS latency_us FROM processed WHERE outcome = 'Published'"""),
-    "observed": (["stored"], """
-SELECT device_id, acquisition_session_id AS s, epoch_us(received_at_utc) AS t, arrival_no, received_at_utc,
- lag(epoch_us(received_at_utc)) OVER (PARTITION BY device_id, acquisition_session_id
-  ORDER BY received_at_utc, arrival_no) AS own_prev FROM stored"""),
-    "episodes": (["observed"], f"""
-SELECT *, sum(CASE WHEN own_prev IS NULL OR t - own_prev > {CONFLICT_WINDOW_US} THEN 1 ELSE 0 END)
- OVER (PARTITION BY device_id, s ORDER BY t, arrival_no) AS episode FROM observed"""),
-    "neighbours": (["episodes"], """
-SELECT *, lag(s) OVER d AS ps, lag(t) OVER d AS pt, lag(episode) OVER d AS pe FROM episodes
-WINDOW d AS (PARTITION BY device_id ORDER BY t, arrival_no)"""),
-    "others": (["neighbours"], """
-SELECT *, last_value(CASE WHEN ps <> s THEN row(ps, pt, pe) END IGNORE NULLS) OVER (PARTITION BY device_id
- ORDER BY t, arrival_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS o FROM neighbours"""),
-    "other_parts": (["others"], """
-SELECT *, struct_extract(o, 1) AS os, struct_extract(o, 2) AS ot, struct_extract(o, 3) AS oe FROM others WHERE o IS NOT NULL"""),
-    "candidates": (["other_parts"], f"""
-SELECT *, row_number() OVER (PARTITION BY device_id, least(s, os), greatest(s, os),
- CASE WHEN s < os THEN episode ELSE oe END, CASE WHEN s < os THEN oe ELSE episode END ORDER BY t, arrival_no) AS nth
-FROM other_parts WHERE t - ot <= {CONFLICT_WINDOW_US}"""),
-    "conflicts": (["candidates"], """
-SELECT device_id, os AS existing_session_id, s AS observed_session_id, arrival_no, received_at_utc
-FROM candidates WHERE nth = 1"""),
+    "bursts": (["keyed"], """
+SELECT device_id, lpad(CAST(user_id AS VARCHAR), 8, '0') || '-0000-4000-8000-00000000000' || (event_id * 7 // 3) % 4 AS acquisition_session_id,
+ make_timestamp(1704067200000000 + ((rn - CASE WHEN rn % 13 = 0 THEN 1 ELSE 0 END) * 11 + rn // 9 * 40 + rn // 40 * 25) * 1000000) AS received_at_utc,
+ event_id AS arrival_no FROM (SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY ts, event_id) AS rn FROM keyed)"""),
+    **_conflict_ctes("", "stored", 12 * 3600),
+    **_conflict_ctes("burst_", "bursts", 30),
     "event_rows": (["processed", "rejected", "conflicts"], """
 SELECT CASE outcome WHEN 'Duplicate' THEN 'DuplicateReading' WHEN 'Conflict' THEN 'ConflictingReading'
   ELSE CASE sequence_status WHEN 'Gap' THEN 'SequenceGap' ELSE 'OutOfOrderReading' END END AS event_type,
@@ -449,6 +461,9 @@ FROM processed""", "processed"),
 FROM processed""", "processed"),
     "o6_live_stream": sql(f"SELECT {ARRIVAL} FROM published", "published"),
     "o7_session_conflicts": sql("SELECT * FROM conflicts", "conflicts"),
+    "o7_conflicts_at_30_seconds": sql("SELECT * FROM burst_conflicts", "burst_conflicts"),
+    "o8_pairs_at_30_seconds": sql("""SELECT device_id, least(existing_session_id, observed_session_id) AS first,
+ greatest(existing_session_id, observed_session_id) AS second, count(*) AS conflicts FROM burst_conflicts GROUP BY ALL""", "burst_conflicts"),
     "o8_session_pairs": sql("""SELECT device_id, least(existing_session_id, observed_session_id) AS first,
  greatest(existing_session_id, observed_session_id) AS second, count(*) AS conflicts FROM conflicts GROUP BY ALL""", "conflicts"),
     "o9_late_arrivals": sql("""SELECT arrival_no, sequence_number, previous_sequence - sequence_number AS sequences_late

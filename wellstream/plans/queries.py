@@ -74,10 +74,10 @@ def _o3(f: DerivedFeed) -> DataFrame:
     )
 
 
-def _o8(f: DerivedFeed) -> DataFrame:
+def _o8(conflicts: DataFrame) -> DataFrame:
     pair = ordering.session_pair(F.col("existing_session_id"), F.col("observed_session_id"))
     return (
-        f.conflicts.groupBy("device_id", pair.alias("_pair"))
+        conflicts.groupBy("device_id", pair.alias("_pair"))
         .agg(F.count(F.lit(1)).alias("conflicts"))
         .select("device_id", "_pair.first", "_pair.second", "conflicts")
     )
@@ -157,7 +157,9 @@ QUERIES: dict[str, Callable[[DerivedFeed], DataFrame]] = {
     "o5_outcome": lambda f: f.processed,
     "o6_live_stream": lambda f: ordering.live_stream(f.readings).select(*ARRIVAL),
     "o7_session_conflicts": lambda f: f.conflicts,
-    "o8_session_pairs": _o8,
+    "o7_conflicts_at_30_seconds": lambda f: f.burst_conflicts,
+    "o8_session_pairs": lambda f: _o8(f.conflicts),
+    "o8_pairs_at_30_seconds": lambda f: _o8(f.burst_conflicts),
     "o9_late_arrivals": lambda f: f.processed.where(F.col("outcome") == "LateArrival").select(
         "arrival_no", "sequence_number", (F.col("previous_sequence") - F.col("sequence_number")).alias("sequences_late")),
     "o10_micro_batches": lambda f: f.micro_batches.select(*f.processed.columns),

@@ -91,6 +91,20 @@ def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select(*READING_COLUMNS, *ARRIVAL_COLUMNS)
 
 
+def session_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations (device_id, acquisition_session_id, received_at_utc, arrival_no) seconds apart, of four sessions per device.
+
+    Pauses of more than half a minute come after every ninth reading, and some readings are received at one instant.
+    """
+    e = numbered_events(spark, sf_dir, ["device_id"])
+    rn, event_id = F.col("rn"), F.col("event_id")
+    seconds = (rn - F.when(rn % 13 == 0, 1).otherwise(0)) * 11 + F.floor(rn / 9).cast("bigint") * 40 + F.floor(rn / 40).cast("bigint") * 25
+    session = F.concat(F.lpad(F.col("user_id").cast("string"), 8, "0"), F.lit("-0000-4000-8000-00000000000"), (F.floor(event_id * 7 / 3).cast("bigint") % 4).cast("string"))
+    return e.select(
+        "device_id", session.alias("acquisition_session_id"),
+        F.timestamp_micros(F.lit(1_704_067_200_000_000) + seconds * 1_000_000).alias("received_at_utc"), event_id.alias("arrival_no"))
+
+
 # One broken member per kind of row: every validation rule has rows that break it.
 BROKEN = [
     ("device_id", " "), ("device_id", None), ("acquisition_session_id", EMPTY_SESSION), ("acquisition_session_id", ""),
