@@ -95,6 +95,12 @@ def test_series_of_one_second_against_brute_force(spark):
         assert row.latest_end_to_end_latency_ms == latest
 
 
+def test_a_wrong_time_of_receipt_makes_one_sample(spark):
+    trace = [reading(sequence=n, arrival=n, at=at) for n, at in enumerate([0, 3, 5 + 86400 * 365 * 1000, 9 + 86400 * 365 * 1000], 1)]
+    found = [(r.readings_processed_total, r.readings_per_second) for r in metrics.metrics_series(frame(spark, trace)).orderBy("sampled_at_utc").collect()]
+    assert found == [(1, 1.0), (1, 0.0), (1, 0.0), (2, 1.0), (3, 1.0), (3, 0.0), (3, 0.0), (3, 0.0), (4, 1.0)]
+
+
 def test_query_parameters_are_checked(table):
     with pytest.raises(ValueError, match="blank"):
         history.recent_readings(table, " ")

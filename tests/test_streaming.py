@@ -1,15 +1,16 @@
 import json
 import os
 import tempfile
+from datetime import timedelta
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tests.helpers import A, B, frame, model, model_conflicts, random_trace, reading
-from wellstream.operators import events, ingest, ordering, sessions
+from tests.helpers import A, B, T0, frame, model, model_conflicts, random_trace, reading
+from wellstream.operators import events, ingest, metrics, ordering, sessions
 from wellstream.schemas import READING_COLUMNS, READING_FIELDS, READING_SCHEMA
-from wellstream.streaming import key_index, ledger, microbatch, stateful
+from wellstream.streaming import key_index, ledger, microbatch, series, stateful
 
 WINDOW = 30
 PARTS = 3
@@ -271,5 +272,18 @@ def test_stateful_conflicts(spark, trace):
         stored, WINDOW)
 
 
+def test_series_of_a_stream(spark):
+    rows, at = [], 0.0
+    for n in range(1, 90):
+        at += [0.2, 0.9, 3.0, 40.0][n % 4]
+        rows.append(reading(sequence=n, arrival=n, at=at, acquired=T0 + timedelta(seconds=at - [2, -1, 0.5][n % 3])))
+    rows.append(reading(sequence=90, arrival=90, at=at - 700))  # late for the watermark of the batch before
+    rows.append(reading(sequence=91, arrival=91, at=at + 20))
+    batch = {r.sampled_at_utc: tuple(r) for r in metrics.metrics_series(frame(spark, rows[:89])).collect()}
+    got = {r.sampled_at_utc: tuple(r) for r in streamed(spark, rows, lambda s: series.metrics_series_stream(s, delay="5 seconds")).collect()}
+    assert 0 < len(got) <= len(batch) and max(got) >= max(batch) - timedelta(seconds=41)
+    assert got == {t: r for t, r in batch.items() if t <= max(got)}
+
+
 def test_sessions_of_the_trace_differ(trace):
     assert {A, B} <= {r[1] for r in trace}

@@ -10,6 +10,8 @@ from wellstream.operators.slices import SLICE, slice_start
 SECOND = 1_000_000
 # With one-second intervals a span is an hour.
 INTERVALS_PER_SPAN = 3600
+# A longer silence makes no empty samples.
+LONGEST_SILENCE = 7 * 86400
 
 
 def latency_micros() -> Column:
@@ -95,40 +97,43 @@ def per_interval(published: DataFrame, interval_micros: int) -> DataFrame:
     )
 
 
-def metrics_series(published: DataFrame, interval_seconds: int = 1) -> DataFrame:
+def metrics_series(published: DataFrame, interval_seconds: int = 1, longest_silence_seconds: int = LONGEST_SILENCE) -> DataFrame:
     """M4: one sample at the end of every interval between the first and the last receipt, empty ones too.
 
-    Running values are built in two levels: whole spans of intervals are accumulated first, then the
-    intervals inside each span. A task sees the intervals of one span, or one row per span.
+    Running values are built in two levels: whole spans of intervals are accumulated first, then the intervals inside
+    each span. A task sees the intervals of one span, or one row per span. An interval with receipts makes the samples of
+    the empty ones behind it; a silence longer than ``longest_silence_seconds`` is left out of the series, so that one
+    wrong time of receipt far off can't fill the output.
     """
     step = interval_seconds * SECOND
-    span = step * INTERVALS_PER_SPAN
-    counted = per_interval(published, step).withColumn(SLICE, slice_start(F.col("_from"), span))
+    counted = per_interval(published, step).withColumn(SLICE, slice_start(F.col("_from"), step * INTERVALS_PER_SPAN))
     spans = counted.groupBy(SLICE).agg(
         F.sum("_n").alias("_n"),
         F.max_by("_latency", F.when(F.col("_latency").isNotNull(), F.col("_from"))).alias("_latency"),
         F.min("_from").alias("_first"),
-        F.max("_from").alias("_last"),
     )
-    ends = spans.agg(F.min("_first").alias("_start"), F.max("_last").alias("_end"))
-    every_span = ends.select("_start", "_end", F.explode(F.sequence(
-        slice_start(F.col("_start"), span), slice_start(F.col("_end"), span), F.lit(span)
-    )).alias(SLICE))
-    before = Window.orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    carried = every_span.join(spans.drop("_first", "_last"), SLICE, "left").select(
-        SLICE, "_start", "_end",
+    order = Window.orderBy(SLICE)  # one row per span that has receipts
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    carried = spans.select(
+        SLICE,
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_total"),
         F.last("_latency", ignorenulls=True).over(before).alias("_carried_latency"),
+        F.lead("_first").over(order).alias("_next_span"),
     )
-    spine = carried.repartition(SLICE).select("*", F.explode(F.sequence(
-        F.greatest(SLICE, "_start"), F.least(F.col(SLICE) + (span - step), F.col("_end")), F.lit(step)
-    )).alias("_from"))
-    inside = Window.partitionBy(SLICE).orderBy("_from").rowsBetween(Window.unboundedPreceding, 0)
-    n = F.coalesce("_n", F.lit(0))
-    latency = F.coalesce(F.last("_latency", ignorenulls=True).over(inside), F.col("_carried_latency"))
-    return spine.join(counted, [SLICE, "_from"], "left").select(
-        F.timestamp_micros(F.col("_from") + step).alias("sampled_at_utc"),
-        (F.col("_total") + F.sum(n).over(inside)).alias("readings_processed_total"),
-        (n / F.lit(float(interval_seconds))).alias("readings_per_second"),
-        (latency / 1000).alias("latest_end_to_end_latency_ms"),
+    inside = Window.partitionBy(SLICE).orderBy("_from")
+    so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
+    following = F.coalesce(F.lead("_from").over(inside), F.col("_next_span"))
+    last = F.when(following - F.col("_from") <= longest_silence_seconds * SECOND, following - step).otherwise(F.col("_from"))
+    rows = counted.join(carried, SLICE).select(
+        "_from", "_n",
+        (F.col("_total") + F.sum("_n").over(so_far)).alias("readings_processed_total"),
+        F.coalesce(F.last("_latency", ignorenulls=True).over(so_far), F.col("_carried_latency")).alias("_latency"),
+        F.coalesce(last, F.col("_from")).alias("_last"),
+    )
+    samples = rows.select("*", F.explode(F.sequence("_from", "_last", F.lit(step))).alias("_at"))
+    return samples.select(
+        F.timestamp_micros(F.col("_at") + step).alias("sampled_at_utc"),
+        "readings_processed_total",
+        F.when(F.col("_at") == F.col("_from"), F.col("_n") / F.lit(float(interval_seconds))).otherwise(0.0).alias("readings_per_second"),
+        (F.col("_latency") / 1000).alias("latest_end_to_end_latency_ms"),
     )
