@@ -89,6 +89,18 @@ def test_micro_batches_give_the_batch_result(spark, tables, message_files, trace
     assert rows_of(tables.read("events"), *stream.columns) == rows_of(stream, *stream.columns)
 
 
+def test_metrics_of_all_batches_are_merged(tables):
+    published = tables.published()
+    assert rows_of(tables.gap_sizes(), "gap_size", "gaps") == rows_of(metrics.gap_size_distribution(published), "gap_size", "gaps")
+    found, exact = ({r.acquisition_mode: r for r in x.collect()} for x in (tables.latency(), metrics.latency_summary(published)))
+    assert found.keys() == exact.keys()
+    for mode, r in found.items():
+        assert tuple(r)[:6] == tuple(exact[mode])[:6]
+        us = sorted(x[0] for x in published.where(F.col("acquisition_mode") == mode).select(metrics.latency_micros()).collect() if x[0] is not None)
+        for value, rank in ((r.median_ms, 0.5), (r.p95_ms, 0.95)):
+            assert abs(sum(x <= value * 1000 for x in us) / len(us) - rank) <= metrics.RANK_ERROR + 1 / len(us) or us.count(value * 1000) > 1
+
+
 def test_replayed_batch_writes_the_same_rows(spark, tables, message_files):
     before = {t: rows_of(tables.read(t), *tables.read(t).columns) for t in microbatch.TABLES}
     batch = 1

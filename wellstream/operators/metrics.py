@@ -10,6 +10,9 @@ from wellstream.operators.slices import SLICE, slice_start
 SECOND = 1_000_000
 # With one-second intervals a span is an hour.
 INTERVALS_PER_SPAN = 3600
+# Merged states: kinds of rows, and the size of a sketch with the share of ranks that its quantiles may be off.
+GAPS, LATENCY = "gaps", "latency"
+SKETCH_SIZE, RANK_ERROR = 800, 0.01
 # A longer silence makes no empty samples.
 LONGEST_SILENCE = 7 * 86400
 
@@ -72,6 +75,44 @@ def latency_summary(published: DataFrame) -> DataFrame:
     )
 
 
+def metric_states(published: DataFrame) -> DataFrame:
+    """M2 and M3 of some readings in a form that can be merged: a histogram of gaps, and sums and a KLL sketch per mode.
+
+    Rows are (kind, acquisition_mode, gap_size, readings, recorded, sum_us, minimum_us, maximum_us, sketch).
+    """
+    latency = published.withColumn("_us", latency_micros())
+    none = F.lit(None)
+    gaps = gap_size_distribution(published).select(
+        F.lit(GAPS).alias("kind"), none.cast("string").alias("acquisition_mode"), "gap_size", F.col("gaps").alias("readings"),
+        *[none.cast("bigint").alias(c) for c in ("recorded", "sum_us", "minimum_us", "maximum_us")], none.cast("binary").alias("sketch"))
+    modes = latency.groupBy("acquisition_mode").agg(
+        F.count(F.lit(1)).alias("readings"), F.count("_us").alias("recorded"), F.sum("_us").alias("sum_us"), F.min("_us").alias("minimum_us"),
+        F.max("_us").alias("maximum_us"), F.kll_sketch_agg_bigint("_us", F.lit(SKETCH_SIZE)).alias("sketch"))
+    # a sketch of nothing has no quantiles, and merges with nothing
+    own = modes.withColumn("sketch", F.when(F.col("recorded") > 0, F.col("sketch")))
+    return gaps.unionByName(own.select(F.lit(LATENCY).alias("kind"), none.cast("bigint").alias("gap_size"), *own.columns))
+
+
+def merged_gap_sizes(states: DataFrame) -> DataFrame:
+    """M2 from states, exactly."""
+    return states.where(F.col("kind") == GAPS).groupBy("gap_size").agg(F.sum("readings").alias("gaps"))
+
+
+def merged_latency(states: DataFrame) -> DataFrame:
+    """M3 from states: all but the quantiles exactly, these within the error of the sketch (RANK_ERROR of the ranks)."""
+    merged = states.where(F.col("kind") == LATENCY).groupBy("acquisition_mode").agg(
+        F.sum("readings").alias("readings"), F.sum("recorded").alias("recorded"), F.sum("sum_us").alias("_sum"), F.min("minimum_us").alias("_minimum"),
+        F.max("maximum_us").alias("_maximum"), F.kll_merge_agg_bigint("sketch", F.lit(SKETCH_SIZE)).alias("_sketch"))
+
+    def quantile(rank: float) -> Column:
+        return F.when(F.col("recorded") > 0, F.kll_sketch_get_quantile_bigint("_sketch", F.lit(rank)) / 1000)
+
+    return merged.select(
+        "acquisition_mode", "readings", "recorded", F.round(F.try_divide("_sum", "recorded") / 1000, 6).alias("average_ms"),
+        (F.col("_minimum") / 1000).alias("minimum_ms"), (F.col("_maximum") / 1000).alias("maximum_ms"),
+        quantile(0.5).alias("median_ms"), quantile(0.95).alias("p95_ms"))
+
+
 def totals(published: DataFrame) -> DataFrame:
     """M5: readings so far and the latest recorded latency, or null."""
     latency = latency_micros()

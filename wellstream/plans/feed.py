@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wellstream.operators import backfill, events, ingest, ordering, sessions, views, welllog
+from wellstream.operators import backfill, events, ingest, metrics, ordering, sessions, views, welllog
 
 from wellstream.session import configure, shared_folder, written
 from wellstream.sources import derived, welllogs
@@ -85,6 +85,15 @@ class DerivedFeed(Feed):
         """Conflicts at the default activity window."""
         return sessions.session_conflicts(derived.session_bursts(self.spark, self.sf_dir))
 
+    @cached_property
+    def metric_states(self) -> DataFrame:
+        """States of M2 and M3 of the published readings in eight parts, as so many batches leave them."""
+        published, states = written(self.published), None
+        for part in range(8):
+            own = metrics.metric_states(published.where(F.pmod("arrival_no", F.lit(8)) == part))
+            states = own if states is None else states.unionByName(own)
+        return states
+
     @cached_property
     def micro_batches(self) -> DataFrame:
         """What a streaming job over the arrivals as messages, in three batches by order of arrival, leaves in its table."""

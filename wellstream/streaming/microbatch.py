@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamReader, StreamingQuery
 
-from wellstream.operators import events, ingest, ordering, sessions, store
+from wellstream.operators import events, ingest, metrics, ordering, sessions, store
 from wellstream.schemas import EVENT_SCHEMA, LATE_ARRIVAL, NATURAL_KEY, PUBLISHED, RAW_MESSAGE_SCHEMA, READING_SCHEMA, STREAM_KEY
 from wellstream.session import configure
 from wellstream.streaming import key_index
@@ -70,12 +70,20 @@ ACTIVITY_SCHEMA = T.StructType([
 REPORTED_SCHEMA = T.StructType(
     [f for f in CONFLICT_SCHEMA.fields if f.name in sessions.REPORT_KEY] + [T.StructField(BUCKET, T.IntegerType())])
 
+METRICS_SCHEMA = T.StructType([
+    T.StructField("kind", T.StringType()),
+    T.StructField("acquisition_mode", T.StringType()),
+    *[T.StructField(c, T.LongType()) for c in ("gap_size", "readings", "recorded", "sum_us", "minimum_us", "maximum_us")],
+    T.StructField("sketch", T.BinaryType()),
+])
+
 TABLES = {
     "processed": PROCESSED_SCHEMA,
     "stored_index": key_index.INDEX_SCHEMA,
     "rejects": REJECT_SCHEMA,
     "events": EVENTS_SCHEMA,
     "conflicts": CONFLICT_SCHEMA,
+    "metrics": METRICS_SCHEMA,
     "state_streams": STREAMS_SCHEMA,
     "state_activity": ACTIVITY_SCHEMA,
     "state_reported": REPORTED_SCHEMA,
@@ -100,6 +108,14 @@ class ReadingTables(Ledger):
         """Readings that advanced their stream."""
         return self.read("processed").where(F.col("outcome") == PUBLISHED)
 
+    def gap_sizes(self) -> DataFrame:
+        """M2 of all batches, from a few rows of each."""
+        return metrics.merged_gap_sizes(self.read("metrics"))
+
+    def latency(self) -> DataFrame:
+        """M3 of all batches, from a few rows of each."""
+        return metrics.merged_latency(self.read("metrics"))
+
     def stored_with(self, keys: DataFrame, before: int) -> DataFrame:
         """What the batches before this one stored in the buckets and batches that may hold one of the keys."""
         index = self.read("stored_index", ("batch_id", "attempt"), before)
@@ -148,6 +164,7 @@ def _process(tables: ReadingTables, attempt: Attempt, validated: DataFrame, wind
     if reported is not None:
         keys = keys.unionByName(reported.select(*sessions.REPORT_KEY))
     attempt.write_state("state_reported", _bucketed(_still_current(keys, current)), touched)
+    attempt.write("metrics", metrics.metric_states(processed.where(F.col("outcome") == PUBLISHED)))
     attempt.write("events", events.event_stream(processed, rejected, conflicts))
     attempt.commit()
 
