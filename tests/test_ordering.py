@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.helpers import A, B, frame, model, model_conflicts, random_trace, reading
-from wellstream.operators import events, ordering, sessions, store
+from wellstream.operators import slices, events, ordering, sessions, store
 
 
 def outcomes(df):
@@ -112,6 +112,19 @@ def test_conflicts_continue_from_earlier_input(spark, rows_per_slice):
     assert got == model_conflicts(stored, 30)
 
 
+def test_sequences_in_slices_by_density(spark):
+    """Arrival numbers in dense runs far apart, and a stream with most of the rows."""
+    trace = [(*r[:16], r[16] * 1000 if r[16] % 50 else r[16] * 1000 + 10**15) for r in random_trace(31, 400, hot=0.7)]
+    rows = frame(spark, trace)
+    sliced = slices.balanced(rows, ["device_id", "acquisition_session_id"], "arrival_no", "arrival_no", 12)
+    sizes = sliced.groupBy("device_id", "acquisition_session_id", "_slice").count().collect()
+    assert sum(r["count"] for r in sizes) == 400 and max(r["count"] for r in sizes) <= 24 and len(sizes) > 25
+    got = {r.arrival_no: (r.previous_sequence, r.sequence_status, r.gap_size) for r in ordering.classify_sequence(rows, rows_per_slice=12).collect()}
+    assert got == {r.arrival_no: (r.previous_sequence, r.sequence_status, r.gap_size) for r in ordering.classify_sequence(rows, 1 << 60).collect()}
+    expected = model(trace)
+    assert all(got[n] == o[1:4] for n, o in expected.items() if o[0] == "Stored")
+
+
 def test_insert_if_absent_compares_with_the_table(spark):
     table = frame(spark, [reading(sequence=1)])
     incoming = frame(spark, [

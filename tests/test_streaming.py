@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from tests.helpers import A, B, T0, frame, model, model_conflicts, random_trace, reading
 from wellstream.operators import events, ingest, metrics, ordering, sessions
 from wellstream.schemas import READING_COLUMNS, READING_FIELDS, READING_SCHEMA
-from wellstream.streaming import key_index, ledger, microbatch, series, stateful
+from wellstream.streaming import key_index, ledger, microbatch, series, stateful, views
 
 WINDOW = 30
 PARTS = 3
@@ -297,5 +297,29 @@ def test_series_of_a_stream(spark):
     assert got == {t: r for t, r in batch.items() if t <= max(got)}
 
 
+def test_refreshes_follow_a_plain_model(spark, trace):
+    """Three refreshes: the session shown stays while it sends, the buffer holds the newest readings."""
+    found = streamed(spark, trace, lambda s: views.refreshes(s, 7)).collect()
+    got = {}
+    for r in found:
+        got.setdefault((r.device_id, r.active_session_id), []).append((r.position, r.timestamp_ms, r.sequence_number, r.acquisition_session_id, r.arrival_no))
+    ordered, wanted, state = sorted(trace, key=lambda r: r[16]), {}, {}
+    for part in range(3):
+        chunk = ordered[part * len(trace) // 3:(part + 1) * len(trace) // 3]
+        for device in {r[0] for r in chunk}:
+            kept, shown, seen = state.get(device, ({}, None, {}))
+            for r in (r for r in chunk if r[0] == device):
+                ms = round((r[13] - T0).total_seconds() * 1000)
+                kept[r[1], r[2]] = (ms, r[2], r[1], r[16])
+                seen[r[1]] = max(seen.get(r[1], ms), ms)
+            newest = sorted(kept.values(), reverse=True)[:7]
+            shown = shown if shown in seen and max(seen.values()) - seen[shown] <= 30_000 else newest[0][2]
+            kept = {(row[2], row[1]): row for row in newest}
+            state[device] = (kept, shown, seen)
+            wanted.setdefault((device, shown), []).extend((i, *row) for i, row in enumerate(newest))
+    base = round(T0.timestamp() * 1000)
+    assert {k: sorted((p, ms - base, *rest) for p, ms, *rest in v) for k, v in got.items()} == {k: sorted(v) for k, v in wanted.items()}
+
+
 def test_sessions_of_the_trace_differ(trace):
     assert {A, B} <= {r[1] for r in trace}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wellstream.operators.slices import ARRIVALS_PER_SLICE, SLICE, slice_start, slice_window, with_carried
+from wellstream.operators.slices import ARRIVALS_PER_SLICE, SLICE, balanced, slice_start, slice_window, with_carried
 from wellstream.schemas import (
     BASELINE, CONFLICT, CONTENT_COLUMNS, DUPLICATE, GAP, IN_ORDER, LATE_ARRIVAL, NATURAL_KEY, OUT_OF_ORDER,
     PUBLISHED, STORED, STREAM_KEY,
@@ -93,15 +93,20 @@ def sequence_status(sequence: Column, last: Column) -> Column:
 
 
 def classify_sequence(
-    readings: DataFrame, arrivals_per_slice: int = ARRIVALS_PER_SLICE, last_sequences: DataFrame | None = None
+    readings: DataFrame, arrivals_per_slice: int = ARRIVALS_PER_SLICE, last_sequences: DataFrame | None = None,
+    rows_per_slice: int | None = None,
 ) -> DataFrame:
     """Adds ``previous_sequence``, ``sequence_status`` and ``gap_size``.
 
     The previous sequence is the running maximum of the stream. Copies never move it, because their first
     arrival came before them; so this needs no knowledge of O2 and works on every arrival.
-    ``last_sequences`` (stream key, last_sequence) continues from earlier input.
+    ``last_sequences`` (stream key, last_sequence) continues from earlier input. ``rows_per_slice`` cuts streams by
+    the density of their arrival numbers instead: for sparse or uneven numbers.
     """
-    sliced = readings.select("*", slice_start(F.col("arrival_no"), arrivals_per_slice).alias(SLICE))
+    if rows_per_slice is None:
+        sliced = readings.select("*", slice_start(F.col("arrival_no"), arrivals_per_slice).alias(SLICE))
+    else:
+        sliced = balanced(readings, STREAM_KEY, "arrival_no", "arrival_no", rows_per_slice)
     joined = with_carried(sliced, STREAM_KEY, {"_carried": (F.max("sequence_number"), "max")})
     window = slice_window(STREAM_KEY, "arrival_no").rowsBetween(Window.unboundedPreceding, -1)
     if last_sequences is not None:

@@ -455,6 +455,13 @@ FROM readings GROUP BY ALL""", "readings"),
                            "statused"),
     "o4_sequence_status": sql("""SELECT arrival_no, previous_sequence, sequence_status, gap_size FROM processed
 WHERE store_status = 'Stored'""", "processed"),
+    # every arrival, copies too: the running maximum of the stream before it
+    "o4_sequence_status_in_slices": sql("""SELECT arrival_no, previous_sequence, CASE WHEN previous_sequence IS NULL THEN 'Baseline'
+ WHEN sequence_number = previous_sequence + 1 THEN 'InOrder' WHEN sequence_number > previous_sequence THEN 'Gap'
+ WHEN sequence_number < previous_sequence THEN 'OutOfOrder' ELSE 'Duplicate' END AS sequence_status,
+ CASE WHEN sequence_number > previous_sequence + 1 THEN sequence_number - previous_sequence - 1 END AS gap_size
+FROM (SELECT *, max(sequence_number) OVER (PARTITION BY device_id, acquisition_session_id ORDER BY arrival_no
+ ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous_sequence FROM validated WHERE reject_reason IS NULL)""", "validated"),
     "o5_outcome": sql(f"""SELECT {ARRIVAL}, store_status, previous_sequence, sequence_status, gap_size, outcome
 FROM processed""", "processed"),
     "o10_micro_batches": sql(f"""SELECT {ARRIVAL}, store_status, previous_sequence, sequence_status, gap_size, outcome

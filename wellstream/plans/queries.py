@@ -165,6 +165,8 @@ QUERIES: dict[str, Callable[[DerivedFeed], DataFrame]] = {
     "o3_same_content": _o3,
     "o4_sequence_status": lambda f: ordering.classify_sequence(f.stored).select(
         "arrival_no", "previous_sequence", "sequence_status", "gap_size"),
+    "o4_sequence_status_in_slices": lambda f: ordering.classify_sequence(f.readings, rows_per_slice=16).select(
+        "arrival_no", "previous_sequence", "sequence_status", "gap_size"),
     "o5_outcome": lambda f: f.processed,
     "o6_live_stream": lambda f: ordering.live_stream(f.readings).select(*ARRIVAL),
     "o7_session_conflicts": lambda f: f.conflicts,
