@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 from tests.llm.conftest import FOLD, NONBLANK, SMALL, words
-from wellstream.llm import decontaminate, mixture, near_dup, order_minhash, passages, quality, quotes, secrets, shards, toxicity
+from wellstream.llm import calibrate, decontaminate, mixture, near_dup, order_minhash, passages, quality, quotes, secrets, shards, toxicity
 
 
 def table(frame, key="doc_id"):
@@ -398,3 +398,23 @@ def test_columns_of_any_name_are_kept(spark):
         rows_found = found.collect()
         assert rows_found and all(kept(r, []) for r in rows_found)
         assert sorted(r.doc_id for r in rows_found) == sorted(r.doc_id for r in apply(plain).collect())
+
+
+def test_a_hot_key_teaches_one_text(spark):
+    """A labelled doc_id on a third of the rows: one of its texts is sampled, and the scores are those without its copies."""
+    documents = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    hot = labels.where("toxic = 0 and quality = 1").orderBy("doc_id").first().doc_id
+    copies = documents.where(f"doc_id = {hot}").crossJoin(spark.range(100)).drop("id")
+    many = documents.where(f"doc_id <> {hot}").unionByName(copies)
+    sample, _ = calibrate.labelled_sample(labels, None, "toxic", 4000)
+    assert calibrate.sampled_texts(many, sample).groupBy("doc_id").count().where("count > 1").isEmpty()
+    own, found = ({r.doc_id: r.quality_score for r in quality.scored(d, labels).collect()} for d in (documents, many))
+    assert found == own
+
+
+def test_quality_without_a_model(spark):
+    documents = spark.createDataFrame([(1, "a b"), (2, "c d"), (3, None)], "doc_id long, text string")
+    for rows, score in (([], 0.0), ([(1, 1), (2, 1)], 1.0), ([(1, 0), (8, 1)], 0.5)):
+        found = quality.scored(documents, spark.createDataFrame(rows, "doc_id long, quality int")).collect()
+        assert {r.quality_score for r in found} == {score}

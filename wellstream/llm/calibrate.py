@@ -35,6 +35,17 @@ def labelled_sample(labels: DataFrame, learn: Column | None, label: str, rows: i
     return labels.sparkSession.createDataFrame(local, schema), (counts.get(0, 0), counts.get(1, 0))
 
 
+def sampled_texts(documents: DataFrame, sample: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, text, label, calibrate) of a sample: one text for each doc_id, that with the least hash, however many rows share it."""
+    rows = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(sample), "doc_id")
+    return rows.groupBy("doc_id", "label", "calibrate").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("doc_id", "text", "label", "calibrate")
+
+
+def has_both_classes(rows: DataFrame) -> bool:
+    """Whether a sample has texts of either class for the model and for its calibration."""
+    return rows.select("calibrate", "label").distinct().count() == 4
+
+
 @dataclass
 class Calibration:
     mean: np.ndarray

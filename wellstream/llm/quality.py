@@ -18,8 +18,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wellstream.llm.calibrate import Calibration, fit, held_out_of, labelled_sample
-from wellstream.llm.common import text_bytes, with_results
+from wellstream.llm.calibrate import Calibration, fit, has_both_classes, held_out_of, labelled_sample, sampled_texts
+from wellstream.llm.common import text_bytes, with_results, written
 
 #: Labelled rows of each class that dictionaries and calibration learn from.
 SAMPLE_ROWS = 4000
@@ -90,9 +90,10 @@ def scored(documents: DataFrame, labels: DataFrame, learn: Column | None = None,
     """documents with quality_score (0 to 1). learn: a condition on doc_id; labels of other rows are never looked at."""
     spark = documents.sparkSession
     sample, totals = labelled_sample(labels, learn, label, sample_rows, doc_id)
-    if min(totals) == 0:
-        return documents.drop("quality_score").withColumn("quality_score", F.lit(0.5))
-    rows = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(sample), "doc_id")
+    rows = written(sampled_texts(documents, sample, doc_id, text))
+    if not has_both_classes(rows):
+        # no model: the share of good labels
+        return documents.drop("quality_score").withColumn("quality_score", F.lit(totals[1] / max(1, sum(totals))))
     # whole texts in the order of their hash, until the bound is met; no more reaches the driver
     classes = []
     for value in (0, 1):

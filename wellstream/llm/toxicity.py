@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wellstream.llm.calibrate import Calibration, fit, held_out_of, labelled_sample
+from wellstream.llm.calibrate import Calibration, fit, has_both_classes, held_out_of, labelled_sample, sampled_texts
 from wellstream.llm.common import ALNUM_BYTES, FOLD, map_batches, span_hashes, text_bytes, with_results, word_spans, written
 
 ORDER = 6
@@ -198,8 +198,8 @@ def scored(documents: DataFrame, labels: DataFrame, learn: Column | None = None,
     spark = documents.sparkSession
     sample, totals = labelled_sample(labels, learn, label, sample_rows, doc_id)
     texts = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    rows = texts.join(F.broadcast(sample), "doc_id")
-    if min(totals) == 0 or rows.select("calibrate", "label").distinct().count() < 4:
+    rows = written(sampled_texts(documents, sample, doc_id, text))
+    if not has_both_classes(rows):
         return documents.drop("toxicity").withColumn("toxicity", F.lit(NO_MODEL))
     shared = shared_model(written(gram_counts(texts)))
     model = spark.sparkContext.broadcast(Model(*weights(class_counts(rows.where("not calibrate")), shared)))
