@@ -192,8 +192,8 @@ class NearDuplicates:
         shared = F.size(F.array_intersect("shingles_a", "shingles_b"))
         return both.where(100 * shared >= self.percent * (F.col("n_a") + F.col("n_b") - shared)).select("a", "b")
 
-    def links(self) -> DataFrame:
-        """Confirmed links (a, b) between nodes that connect all that is connected."""
+    def linked(self) -> tuple[DataFrame, DataFrame]:
+        """Confirmed links (a, b) between nodes that connect all that is connected, and the components (node, component)."""
         banded = self.nodes.select(F.explode("bands").alias("bucket"), "node")
         buckets = banded.groupBy("bucket").agg(F.min("node").alias("least"), F.count("*").alias("size")).where("size > 1")
         members = written(banded.join(buckets, "bucket"))
@@ -203,13 +203,17 @@ class NearDuplicates:
             labels = components(links)
             pairs = written(self.across(members, labels, best=turn < ROUNDS))
             if not pairs.limit(1).count():
-                break
+                return links, labels
             found = written(self.confirmed(pairs))
             if turn < ROUNDS and not found.limit(1).count():
                 # the best offers were no links: what is left is settled at once
-                return links.unionByName(self.confirmed(self.across(members, labels, best=False)))
+                found, turn = written(self.confirmed(self.across(members, labels, best=False))), ROUNDS
+            if not found.limit(1).count():
+                return links, labels
             links = links.unionByName(found)
-        return links
+            if turn == ROUNDS:
+                break
+        return links, components(links)
 
     def across(self, members: DataFrame, labels: DataFrame, best: bool) -> DataFrame:
         """Pairs (a, b, n_a, n_b) of a bucket in different components whose sketches allow a link; best: for each node and block the best one."""
@@ -309,8 +313,8 @@ def near_duplicates(documents: DataFrame, percent: int = 80, doc_id: str = "doc_
     confirmed links of the document's set that were needed to connect its component.
     """
     run = NearDuplicates(documents, percent, doc_id, text, k)
-    links = written(run.links())
-    labels = components(links)
+    links, labels = run.linked()
+    links = written(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     nodes = run.nodes.select("set_a", "set_b", "node").join(labels, "node", "left").join(degree, "node", "left")
     nodes = nodes.select("set_a", "set_b", F.coalesce("component", "node").alias("component"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
