@@ -69,6 +69,19 @@ def add_mode(df: DataFrame) -> DataFrame:
 STEPS = [add_well_context, add_operation, add_gamma_ray, add_names, add_mode]
 
 
+def row_version() -> Column:
+    """The newest table version of which a row has a column that is not null, or 0. A file's version is that of its newest row."""
+    present = [(v, F.coalesce(*[F.col(c).cast("string") for c in columns]).isNotNull()) for v, columns in VERSION_COLUMNS.items()]
+    return F.coalesce(*[F.when(found, v) for v, found in reversed(present)], F.lit(0))
+
+
+def fill(df: DataFrame) -> DataFrame:
+    """All steps, in order; what a row has stays, other columns too."""
+    for step in STEPS:
+        df = step(df)
+    return df
+
+
 def with_payload(df: DataFrame) -> DataFrame:
     """The content column, rebuilt from the current reading columns."""
     return df.withColumn("payload", F.struct(*READING_COLUMNS))
@@ -77,6 +90,4 @@ def with_payload(df: DataFrame) -> DataFrame:
 def upgrade(df: DataFrame) -> DataFrame:
     """Any older version to the current one; a projection, so it costs no shuffle."""
     extra = [c for c in ARRIVAL_COLUMNS if c in df.columns]
-    for step in STEPS:
-        df = step(df)
-    return with_payload(df.select(*READING_COLUMNS, *extra))
+    return with_payload(fill(df).select(*READING_COLUMNS, *extra))

@@ -12,7 +12,7 @@ from wellstream.operators import backfill, events, ingest, metrics, ordering, se
 
 from wellstream.session import configure, shared_folder, written
 from wellstream.sources import derived, welllogs
-from wellstream.streaming import microbatch
+from wellstream.streaming import microbatch, upgrade
 
 CONFLICT_WINDOW_SECONDS = 12 * 3600
 LOG_DEVICE = r"(DRILL-\d+)\.xml$"
@@ -152,6 +152,20 @@ class DerivedFeed(Feed):
     def log_rejects(self) -> DataFrame:
         return welllog.import_rejects(self.documents, self.mapped)
 
+    @cached_property
+    def upgraded(self) -> upgrade.UpgradedTables:
+        """A folder with files of six versions, good and broken rows, upgraded in two runs; the second one finds three new versions."""
+        rows = written(derived.broken_readings(self.spark, self.sf_dir))
+        root = f"{shared_folder(self.spark)}/jobs/{uuid.uuid4().hex}"
+        source, version = f"{root}/mixed", F.expr("arrival_no div 10 % 6 + 1")
+        for run in ((1, 2, 3), (4, 5, 6)):
+            for v in run:
+                rows.where(version == v).select(
+                    *backfill.columns_at(v), "received_at_utc", "arrival_no").write.mode("append").parquet(source)
+            files = upgrade.read_mixed(self.spark, source)
+            upgrade.start(files, f"{root}/upgraded", f"{root}/checkpoint").awaitTermination()
+        return upgrade.UpgradedTables(self.spark, f"{root}/upgraded")
+
     def legacy(self, version: int) -> DataFrame:
         """The stored readings as a table of an older version held them."""
         return self.stored.select(*backfill.columns_at(version), "received_at_utc", "arrival_no")

@@ -18,6 +18,18 @@ RATE_OK = """(isfinite(depth_change_rate_metres_per_hour) AND CASE drilling_oper
    WHEN 'Stationary' THEN depth_change_rate_metres_per_hour = 0
    WHEN 'DrillingAhead' THEN depth_change_rate_metres_per_hour > 0
    WHEN 'TrippingOut' THEN depth_change_rate_metres_per_hour < 0 ELSE false END)"""
+REASON = f"""CASE WHEN {BLANK.format('device_id')} THEN 'device identifier is empty'
+ WHEN {BLANK.format('acquisition_session_id')} OR acquisition_session_id = '00000000-0000-0000-0000-000000000000'
+  THEN 'acquisition session is empty'
+ WHEN sequence_number <= 0 THEN 'sequence number must be greater than zero'
+ WHEN {BLANK.format('well_id')} THEN 'well identifier is empty' WHEN {BLANK.format('well_name')} THEN 'well name is empty'
+ WHEN {BLANK.format('wellbore_id')} THEN 'wellbore identifier is empty'
+ WHEN {BLANK.format('wellbore_name')} THEN 'wellbore name is empty'
+ WHEN NOT ({RANGE_OK.format('measured_depth_metres')}) THEN 'measured depth must be finite and not negative'
+ WHEN drilling_operation NOT IN ('Stationary', 'DrillingAhead', 'TrippingOut') THEN 'drilling operation is invalid'
+ WHEN NOT {RATE_OK} THEN 'drilling operation and depth-change rate are inconsistent'
+ WHEN NOT ({RANGE_OK.format('gamma_ray_api')}) THEN 'gamma ray must be finite and not negative'
+ WHEN acquisition_mode NOT IN ('RealTime', 'HistoricalImport') THEN 'acquisition mode is invalid' END"""
 SINCE = "TIMESTAMP '2024-01-10 00:00:00'"
 
 
@@ -112,18 +124,7 @@ SELECT * REPLACE (CASE k WHEN 1 THEN ' ' WHEN 2 THEN NULL ELSE device_id END AS
  CASE k WHEN 17 THEN 'Sometimes' ELSE acquisition_mode END AS acquisition_mode)
 FROM (SELECT *, arrival_no // 10 % 41 AS k FROM arrivals)"""),
     "broken_validated": (["broken"], f"""
-SELECT *, CASE WHEN {BLANK.format('device_id')} THEN 'device identifier is empty'
- WHEN {BLANK.format('acquisition_session_id')} OR acquisition_session_id = '00000000-0000-0000-0000-000000000000'
-  THEN 'acquisition session is empty'
- WHEN sequence_number <= 0 THEN 'sequence number must be greater than zero'
- WHEN {BLANK.format('well_id')} THEN 'well identifier is empty' WHEN {BLANK.format('well_name')} THEN 'well name is empty'
- WHEN {BLANK.format('wellbore_id')} THEN 'wellbore identifier is empty'
- WHEN {BLANK.format('wellbore_name')} THEN 'wellbore name is empty'
- WHEN NOT ({RANGE_OK.format('measured_depth_metres')}) THEN 'measured depth must be finite and not negative'
- WHEN drilling_operation NOT IN ('Stationary', 'DrillingAhead', 'TrippingOut') THEN 'drilling operation is invalid'
- WHEN NOT {RATE_OK} THEN 'drilling operation and depth-change rate are inconsistent'
- WHEN NOT ({RANGE_OK.format('gamma_ray_api')}) THEN 'gamma ray must be finite and not negative'
- WHEN acquisition_mode NOT IN ('RealTime', 'HistoricalImport') THEN 'acquisition mode is invalid' END AS reject_reason
+SELECT *, {REASON} AS reject_reason
 FROM broken"""),
     "readings": (["validated"], f"SELECT {ARRIVAL} FROM validated WHERE reject_reason IS NULL"),
     "rejected": (["validated"], """
@@ -394,6 +395,22 @@ def _upgraded(version: int) -> str:
                "FROM stored", "stored")
 
 
+def _mixed() -> str:
+    """Broken readings as files of six versions hold them, upgraded."""
+    parts = []
+    for version in range(1, 7):
+        kept = {c for v, cs in LEGACY.items() if v <= version for c in cs} | ({"acquisition_mode"} if version == 6 else set())
+        values = {c.strip(): c.strip() for c in ARRIVAL.split(",")}
+        for column, value in FILLED.items():
+            values[column] = f"coalesce({column}, {value})" if column in kept else value
+        for name in ("well", "wellbore"):
+            legacy = f"'Legacy {name} (' || {values[f'{name}_id']} || ')'"
+            values[f"{name}_name"] = f"coalesce(nullif({name}_name, ''), {legacy})" if f"{name}_name" in kept else legacy
+        parts.append(f"SELECT {', '.join(f'{v} AS {c}' for c, v in values.items())}, {version} AS from_version "
+                     f"FROM broken WHERE arrival_no // 10 % 6 = {version - 1}")
+    return f"SELECT *, {REASON} AS reject_reason FROM ({' UNION ALL '.join(parts)})"
+
+
 def _audit(table: str, source: str, rules: dict[str, str]) -> str:
     return " UNION ALL ".join(
         f"SELECT '{table}' AS table_name, '{name}' AS constraint_name, count(*) AS rows, "
@@ -409,6 +426,7 @@ READING_RULES = {
     "gamma_ray_api": RANGE_OK.format("gamma_ray_api"),
     "acquisition_mode": "acquisition_mode IN ('RealTime', 'HistoricalImport')",
 }
+BROKEN_RULES = {name: f"coalesce({ok}, false)" for name, ok in READING_RULES.items()}
 EVENT_RULES = {c: f"{c} IS NULL OR {c} > 0" for c in ("sequence_number", "gap_size")}
 
 ORACLES: dict[str, str] = {
@@ -443,6 +461,12 @@ LEFT JOIN table_before t ON i.device_id = t.device_id AND i.acquisition_session_
     "v3_violations": sql("SELECT arrival_no, broken FROM (SELECT arrival_no, concat_ws(',', " + ", ".join(
         f"CASE WHEN NOT ({ok}) THEN '{name}' END" for name, ok in READING_RULES.items()) +
         ") AS broken FROM arrivals) WHERE broken <> ''", "arrivals"),
+    "v3_broken_report": sql(_audit("readings", "broken", BROKEN_RULES) + " UNION ALL " + _audit("events", """(SELECT
+ CASE WHEN event_id % 5 <> 0 THEN event_id % 7 - 1 END AS sequence_number, CASE WHEN event_id % 3 = 0 THEN event_id % 4 END AS gap_size
+ FROM events)""", EVENT_RULES), "broken"),
+    "v3_broken_violations": sql("SELECT arrival_no, broken FROM (SELECT arrival_no, concat_ws(',', " + ", ".join(
+        f"CASE WHEN NOT ({ok}) THEN '{name}' END" for name, ok in BROKEN_RULES.items()) +
+        ") AS broken FROM broken) WHERE broken <> ''", "broken"),
     "v3_repeated_keys": sql("""SELECT device_id, acquisition_session_id, sequence_number, count(*) AS rows FROM readings
 GROUP BY ALL HAVING count(*) > 1""", "readings"),
     "v4_defaults": sql("SELECT arrival_no, acquisition_mode FROM messages WHERE arrival_no % 37 <> 0", "messages"),
@@ -619,4 +643,7 @@ LIMIT 4""", "events_merged"),
         f"(SELECT {v} AS version, count(*) AS rows, count(DISTINCT well_name) AS wells, "
         f"count(*) FILTER (WHERE acquisition_mode = 'RealTime') AS real_time FROM ({_upgraded(v)}))" for v in range(1, 6)
     ),
+    "b6_mixed_folder": sql(_mixed(), "broken"),
+    "b6_mixed_files": sql(f"""SELECT from_version, CAST(count(*) AS BIGINT) AS rows,
+ CAST(count(reject_reason) AS BIGINT) AS rejected FROM ({_mixed()}) GROUP BY from_version""", "broken"),
 }

@@ -12,7 +12,7 @@ from wellstream.functions import labels, predicates
 from wellstream.operators import audit, backfill, events, evidence, history, metrics, ordering, store, views, welllog
 from wellstream.operators.slices import SLICE
 from wellstream.plans.feed import DerivedFeed
-from wellstream.sources import welllogs
+from wellstream.sources import derived, welllogs
 from wellstream.schemas import ARRIVAL_COLUMNS, NATURAL_KEY, READING_COLUMNS, STREAM_KEY
 
 
@@ -135,6 +135,17 @@ def _b6(f: DerivedFeed) -> DataFrame:
     )
 
 
+def _mixed_folder(f: DerivedFeed) -> DataFrame:
+    """Every row of the mixed folder as upgraded, with the version of its file."""
+    rows = f.upgraded.read("upgraded").select(*ARRIVAL, "reject_reason", "source_file")
+    return rows.join(f.upgraded.upgraded_files().select("source_file", "from_version"), "source_file").drop("source_file")
+
+
+def _mixed_files(f: DerivedFeed) -> DataFrame:
+    return f.upgraded.upgraded_files().groupBy("from_version").agg(
+        F.sum("rows").alias("rows"), F.sum("rejected").alias("rejected"))
+
+
 QUERIES: dict[str, Callable[[DerivedFeed], DataFrame]] = {
     "s1_ingest_messages": lambda f: f.message_results.where("reject_reason is null").select(*ARRIVAL),
     "s2_dead_letters": lambda f: f.message_results.where("reject_reason is not null").select(
@@ -158,6 +169,8 @@ QUERIES: dict[str, Callable[[DerivedFeed], DataFrame]] = {
         .alias("consistent")),
     "v3_constraint_report": lambda f: audit.constraint_report(f.arrivals, f.events),
     "v3_violations": lambda f: audit.violations(f.arrivals).select("arrival_no", "broken"),
+    "v3_broken_report": lambda f: audit.constraint_report(f.broken, derived.broken_events(f.spark, f.sf_dir)),
+    "v3_broken_violations": lambda f: audit.violations(f.broken).select("arrival_no", "broken"),
     "v3_repeated_keys": lambda f: audit.repeated_keys(f.readings),
     "v4_defaults": lambda f: f.message_results.where("parsed").select("arrival_no", "acquisition_mode"),
     "o1_stream_partitions": _o1,
@@ -256,6 +269,8 @@ QUERIES: dict[str, Callable[[DerivedFeed], DataFrame]] = {
     "b4_names": lambda f: _upgraded(f, 4),
     "b5_mode": lambda f: _upgraded(f, 5),
     "b6_upgrade_counts": _b6,
+    "b6_mixed_folder": _mixed_folder,
+    "b6_mixed_files": _mixed_files,
 }
 
 

@@ -132,6 +132,13 @@ def broken_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(*[replaced(c).alias(c) for c in rows.columns])
 
 
+def broken_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of events as another writer may have left them: null, 0 and negative ones among them."""
+    number = F.col("event_id")
+    return read_events(spark, sf_dir).select(
+        F.when(number % 5 != 0, number % 7 - 1).alias("sequence_number"), F.when(number % 3 == 0, number % 4).alias("gap_size"))
+
+
 def messages(readings: DataFrame) -> DataFrame:
     """Readings as JSON messages; members that are null are left out."""
     members = F.struct(*[F.col(column).alias(member) for member, column, _ in READING_FIELDS])
