@@ -75,7 +75,7 @@ def origin_label(mode: Column, live: bool = False) -> Column:
 def rate_label(rate: Column) -> Column:
     """One decimal, halves away from zero, thousands grouped, plus sign when positive; what rounds to zero keeps a minus."""
     text = F.format_number(F.round(rate, 1), 1)
-    text = F.when((rate < 0) & (F.round(rate, 1) == 0), F.lit("-0.0")).otherwise(text)
+    text = F.when(rate.cast("string").startswith("-") & (F.round(rate, 1) == 0), F.lit("-0.0")).otherwise(text)
     return F.when(rate > 0, F.concat(F.lit("+"), text)).otherwise(text)
 
 

@@ -6,6 +6,8 @@ operators appears here.
 
 from __future__ import annotations
 
+from wellstream.plans.oracle_varied import VARIED
+
 CONTENT = """well_id, well_name, wellbore_id, wellbore_name, measured_depth_metres, drilling_operation,
  depth_change_rate_metres_per_hour, pressure_psi, temperature_celsius, gamma_ray_api, timestamp_utc, acquisition_mode"""
 READING = f"device_id, acquisition_session_id, sequence_number, {CONTENT}"
@@ -646,4 +648,5 @@ LIMIT 4""", "events_merged"),
     "b6_mixed_folder": sql(_mixed(), "broken"),
     "b6_mixed_files": sql(f"""SELECT from_version, CAST(count(*) AS BIGINT) AS rows,
  CAST(count(reject_reason) AS BIGINT) AS rejected FROM ({_mixed()}) GROUP BY from_version""", "broken"),
+    **VARIED,
 }

@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wellstream.functions import labels, predicates
+from wellstream.functions import labels, predicates, welltext
 from wellstream.operators import audit, backfill, events, evidence, history, metrics, ordering, store, views, welllog
 from wellstream.operators.slices import SLICE
 from wellstream.plans.feed import DerivedFeed
-from wellstream.sources import derived, welllogs
+from wellstream.sources import derived, varied, welllogs
 from wellstream.schemas import ARRIVAL_COLUMNS, NATURAL_KEY, READING_COLUMNS, STREAM_KEY
 
 
@@ -271,6 +271,16 @@ QUERIES: dict[str, Callable[[DerivedFeed], DataFrame]] = {
     "b6_upgrade_counts": _b6,
     "b6_mixed_folder": _mixed_folder,
     "b6_mixed_files": _mixed_files,
+    "e7_varied_run_labels": lambda f: varied.readings(f.spark, f.sf_dir).select(
+        "device_id", labels.run_label(F.col("acquisition_session_id")).alias("run_label")),
+    "d12_varied_status_labels": lambda f: views.status_labels(varied.readings(f.spark, f.sf_dir), live=True),
+    "d13_varied_rate_labels": lambda f: varied.readings(f.spark, f.sf_dir).select(
+        "device_id", labels.rate_label(F.col("depth_change_rate_metres_per_hour")).alias("rate_label")),
+    "l9_varied_units": lambda f: welllog.resolve(varied.headers(f.spark, f.sf_dir)).select("path", "curve_reason"),
+    "l11_varied_numbers": lambda f: varied.fields(f.spark, f.sf_dir).select(
+        "event_id", welltext.parse_number(F.col("number")).alias("number")),
+    "l14_varied_times": lambda f: varied.fields(f.spark, f.sf_dir).select(
+        "event_id", welltext.parse_time(F.col("time")).alias("time")),
 }
 
 
