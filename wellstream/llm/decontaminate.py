@@ -23,6 +23,8 @@ from wellstream.llm.common import ALNUM_BYTES, map_batches, words_of, written
 WINDOW_WORDS = 10
 #: Text of benchmark items that is broadcast at once.
 BLOCK_BYTES = 8 << 20
+#: Text of a shard; its suffix array and the arrays that sort it take many times as much.
+SHARD_BYTES = 2 << 20
 
 
 class SuffixArray:
@@ -214,7 +216,7 @@ def _matched(documents: DataFrame, block, text: str, schema: str, first: bool) -
             [*(part.schema.names if first else part.schema.names[:-3]), *added.fieldNames()],
         )
 
-    return map_batches(kept, run, T.StructType([*kept.schema.fields, *added.fields]) if first else kept.schema, text)
+    return map_batches(kept, run, T.StructType([*kept.schema.fields, *added.fields]) if first else kept.schema, text, SHARD_BYTES)
 
 
 def _merged(a: np.ndarray, b: list[int]) -> np.ndarray:
