@@ -11,7 +11,7 @@ from wellstream.functions import predicates
 from wellstream.operators import history, ingest, metrics, ordering, sessions, views
 from wellstream.schemas import READING_SCHEMA
 from wellstream.session import shared_folder, written
-from wellstream.sources import derived
+from wellstream.sources import derived, welllogs
 
 
 @pytest.fixture
@@ -125,3 +125,34 @@ def test_every_user_keeps_a_device_of_its_own(spark):
     events = derived.read_events(spark, "/root/testdata/sf0.1")
     devices = events.select(derived.device_of(F.col("user_id")).alias("device_id")).distinct().count()
     assert devices == events.select("user_id").distinct().count()
+
+
+def test_log_texts_are_derived_and_shuffled_once(spark, no_broadcast, tmp_path):
+    rows = [("a.xml", b, i, t) for b, i, t in [
+        (-1, 0, "<logs><logData>"), (0, 1, "<data>1</data>\n"), (0, 2, "<!-- <"), (1, 3, "<data>2</data>\n-->"),
+        (1, 4, "<data>2</data>"), (1, 5, "<!-- x -->"), (1, 6, "<data>a &lt; b</data> <w:data>4</w:data><data>5]]></data>"),
+        (2, 0, "</logData></logs>")]]
+    spark.createDataFrame([(None, 0, 0, "<data>0</data>"), *rows], "path string, block bigint, at bigint, text string").write.parquet(str(tmp_path / "texts"))
+    found = welllogs.tokens(welllogs.split_pieces(spark.read.parquet(str(tmp_path / "texts"))))
+    rows = found.orderBy("block", "at").collect()
+    assert "ReusedExchange" in plan_after(found)
+    assert [(r.name, r.line) for r in rows if r.name] == [("data", "1"), ("data", "2"), ("data", "a < b"), ("w:data", "4")]
+    assert all((r.text is None) == (r.line is not None) for r in rows) and len({(r.block, r.run) for r in rows if r.name}) == 3
+    header = welllogs.header_texts(found).first().header
+    assert header == ('<logs><logData><data wellstream-run="0:0:1:1"/><data wellstream-run="1:0:1:2"/><w:data wellstream-run="1:1:3:1"/>'
+                      '<data>5]]></data></logData></logs>')
+
+
+def plan_after(df):
+    """The plan as it was run."""
+    df.collect()
+    return plan(df)
+
+
+def test_only_large_keys_are_cut_when_events_are_numbered(spark, no_broadcast):
+    table = "/root/testdata/sf0.001"
+    whole = derived.numbered_events(spark, table, ["device_id"])
+    cut = derived.numbered_events(spark, table, ["device_id"], rows_per_slice=1)
+    rows = sorted(cut.select("event_id", "rn").collect())
+    assert rows == sorted(whole.select("event_id", "rn").collect()) and len(rows) == 1000
+    assert max(r.rn for r in rows) > 1

@@ -9,13 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wellstream.operators.slices import SLICE, slice_start, slice_window, with_carried
+from wellstream.operators.slices import SLICE, carried, slice_start, slice_window
 from wellstream.schemas import ARRIVAL_COLUMNS, EMPTY_SESSION, READING_COLUMNS, READING_FIELDS, STREAM_KEY
 
 SESSION_A = "11111111-1111-4111-8111-111111111111"
 SESSION_B = "22222222-2222-4222-8222-222222222222"
 
 MICROS_PER_HOUR = 3_600_000_000
+ROWS_PER_SLICE = 1 << 17
 
 
 def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,16 +32,24 @@ def device_of(user_id: Column) -> Column:
 
 
 def numbered_events(
-    spark: SparkSession, sf_dir: str, keys: list[str] = STREAM_KEY, slice_micros: int = 6 * MICROS_PER_HOUR
+    spark: SparkSession, sf_dir: str, keys: list[str] = STREAM_KEY, slice_micros: int = 6 * MICROS_PER_HOUR,
+    rows_per_slice: int = ROWS_PER_SLICE,
 ) -> DataFrame:
-    """Events with their stream and ``rn``, the position inside ``keys`` by (ts, event_id)."""
+    """Events with their stream and ``rn``, the position inside ``keys`` by (ts, event_id).
+
+    Only keys of more than ROWS_PER_SLICE events are cut into slices, by time. These are few; others are one slice.
+    """
     events = read_events(spark, sf_dir).select(
         "*",
         device_of(F.col("user_id")).alias("device_id"),
         F.when(F.col("event_id") % 5 < 3, SESSION_A).otherwise(SESSION_B).alias("acquisition_session_id"),
-        slice_start(F.unix_micros("ts"), slice_micros).alias(SLICE),
-    )
-    counted = with_carried(events, keys, {"_before": (F.count(F.lit(1)), "sum")})
+    ).where(F.col("ts").isNotNull() & F.col("device_id").isNotNull())
+    large = events.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > rows_per_slice).select(*keys, F.lit(True).alias("_large"))
+    sliced = events.join(F.broadcast(large), keys, "left").withColumn(
+        SLICE, F.when(F.col("_large"), slice_start(F.unix_micros("ts"), slice_micros)).otherwise(F.lit(0).cast("bigint"))).drop("_large")
+    cut = events.join(F.broadcast(large), keys).withColumn(SLICE, slice_start(F.unix_micros("ts"), slice_micros))
+    before = carried(cut, keys, {"_before": (F.count(F.lit(1)), "sum")})
+    counted = sliced.join(before, [*keys, SLICE], "left")
     local = F.row_number().over(slice_window(keys, "ts", "event_id"))
     return counted.withColumn("rn", (F.coalesce("_before", F.lit(0)) + local).cast("bigint")).drop("_before", SLICE)
 

@@ -26,9 +26,12 @@ from wellstream.session import written
 RUN_ATTRIBUTE = "wellstream-run"
 DATA_OPEN = r"^((?:[A-Za-z_][\w.\-]*:)?data)>"
 #: What the text of a plain element doesn't have once its entities are gone.
+#: Most texts are of USUAL characters only, which takes one quick pass to tell.
+USUAL = r"\A[\t\n\r -%'-\\^-~]*+\z"
 PREDEFINED, FORBIDDEN = r"&(?:lt|gt|amp|quot|apos);", r"[&\x00-\x08\x0B\x0C\x0E-\x1F\uFFFE\uFFFF]|\]\]>"
 ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")]
-IN_COMMENT, OUTSIDE = "comment", "outside"
+IN_COMMENT, OUTSIDE = 1, 0
+WHITE_SPACE = " \t\n\x0b\f\r"
 
 
 def read_pieces(spark: SparkSession, directory: str) -> DataFrame:
@@ -45,8 +48,12 @@ def read_pieces(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def split_pieces(fragments: DataFrame) -> DataFrame:
-    """The same from rows (path, block, at, text) that each begin with a tag; ``at`` may have 2^31 values."""
-    found = fragments.select("path", "block", "at", F.posexplode(F.split("text", "<")).alias("_i", "piece")).where("_i > 0")
+    """The same from rows (path, block, at, text) that each begin with a tag; ``at`` may have 2^31 values.
+
+    Whatever reads the pieces wants them by block, so the texts are shuffled once, before they are split, and derived once.
+    """
+    placed = fragments.select("path", "block", "at", "text").where("path is not null and block is not null").repartition("path", "block")
+    found = placed.select("path", "block", "at", F.posexplode(F.split("text", "<")).alias("_i", "piece")).where("_i > 0")
     return found.select("path", "block", (F.col("at") * (1 << 20) + F.col("_i")).alias("at"), "piece", F.lit(True).alias("opens"))
 
 
@@ -57,12 +64,13 @@ def _without_comments(pieces: DataFrame) -> DataFrame:
     end = F.instr(rest, F.lit("-->"))
     event = F.when(end > 0, OUTSIDE).when(starts, IN_COMMENT)
     marked = pieces.select("*", event.alias("_event"), starts.alias("_starts"), F.when(end > 0, F.substr(rest, end + 3)).alias("_rest"))
+    # numbers, so that this is a hash aggregate; only blocks that begin within a comment are joined to their pieces
     blocks = marked.groupBy("path", "block").agg(F.max_by("_event", F.when(F.col("_event").isNotNull(), F.col("at"))).alias("_last"))
     earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = blocks.select("path", "block", F.last("_last", ignorenulls=True).over(earlier).alias("_carried"))
+    carried = blocks.select("path", "block", F.last("_last", ignorenulls=True).over(earlier).alias("_carried")).where(F.col("_carried") == IN_COMMENT)
     before = Window.partitionBy("path", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     state = F.coalesce(F.last("_event", ignorenulls=True).over(before), F.col("_carried"), F.lit(OUTSIDE))
-    placed = marked.join(carried, ["path", "block"]).withColumn("_state", state)
+    placed = marked.where("path is not null and block is not null").join(carried, ["path", "block"], "left").withColumn("_state", state)
     inside = F.col("_starts") | (F.col("_state") == IN_COMMENT)
     text = F.when(inside, F.col("_rest")).otherwise(F.concat(F.when(F.col("opens"), "<").otherwise(""), F.col("piece")))
     # a blank between a comment and the next tag would part lines that belong to one run
@@ -70,40 +78,53 @@ def _without_comments(pieces: DataFrame) -> DataFrame:
 
 
 def tokens(pieces: DataFrame) -> DataFrame:
-    """(path, block, at, text, run, nth, name, line): ``line`` is the value of a plain data element, else null.
+    """(path, block, at, text, run, nth, name, line): ``line`` is the value of a plain data element, ``text`` that of any other token.
 
     ``run`` grows with every token that is no plain data element, and where the name of these changes; ``nth`` counts the plain ones of the block.
     """
     order = Window.partitionBy("path", "block").orderBy("at")
     tag = F.expr("substring(text, 2)")
-    found = _without_comments(pieces).withColumn("_name", F.when(F.startswith("text", F.lit("<")), F.regexp_extract(tag, DATA_OPEN, 1)))
+    is_end = F.startswith("text", F.lit("</"))
+    found = _without_comments(pieces).select(
+        "*", F.when(F.startswith("text", F.lit("<data>")), "data")
+        .when(F.startswith("text", F.lit("<")) & ~is_end, F.regexp_extract(tag, DATA_OPEN, 1)).alias("_name"),
+        F.when(is_end, F.rtrim("text", F.lit(WHITE_SPACE))).alias("_end"))
     value = F.substr("text", F.length("_name") + 3)
-    closing = F.regexp_replace(F.lead("text").over(order), r"\s+$", "")
-    closed = (closing == F.concat(F.lit("</"), F.col("_name"), F.lit(">"))) & (F.col("_name") != "")
     entities = F.contains(value, F.lit("&"))
-    plain = closed & F.is_valid_utf8(value) & ~F.when(entities, F.regexp_replace(value, PREDEFINED, "")).otherwise(value).rlike(FORBIDDEN)
+    may_be_plain = F.is_valid_utf8(value) & (value.rlike(USUAL) | ~F.when(entities, F.regexp_replace(value, PREDEFINED, "")).otherwise(value).rlike(FORBIDDEN))
     line = value
     for entity, character in ENTITIES:
         line = F.when(entities, F.replace(line, F.lit(entity), F.lit(character))).otherwise(value)
-    marked = found.select("*", F.coalesce(plain, F.lit(False)).alias("_plain"), line.alias("_line"))
-    marked = marked.withColumn("_closes", F.coalesce(F.lag("_plain").over(order), F.lit(False))).where("not _closes")
-    other_name = F.coalesce(F.lag("_name").over(order) != F.col("_name"), F.lit(False)) & F.coalesce(F.lag("_plain").over(order), F.lit(False))
+    # names of elements that are plain if the next token ends them; one window looks at both neighbours
+    marked = found.select("path", "block", "at", "text", "_end", F.when((F.col("_name") != "") & may_be_plain, F.col("_name")).alias("_name"))
+
+    def ends(end: Column, name: Column) -> Column:
+        return F.coalesce(end == F.concat(F.lit("</"), name, F.lit(">")), F.lit(False))
+
+    one, two = F.lag("_name").over(order), F.lag("_name", 2).over(order)
+    seen = marked.select("*", one.alias("_one"), two.alias("_two"), F.lag("_end").over(order).alias("_end_before"), F.lead("_end").over(order).alias("_next_end"))
+    told = seen.where(~ends(F.col("_end"), F.col("_one"))).select(
+        "path", "block", "at", "text", "_name", ends(F.col("_next_end"), F.col("_name")).alias("_plain"),
+        # the token before is the end of a plain element of another name
+        (ends(F.col("_end_before"), F.col("_two")) & F.coalesce(F.col("_two") != F.col("_name"), F.lit(False))).alias("_other_name"))
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
-    return marked.withColumn("_breaks", ~F.col("_plain") | other_name).select(
-        "path", "block", "at", "text", F.count_if("_breaks").over(so_far).alias("run"), F.count_if("_plain").over(so_far).alias("nth"),
-        F.when(F.col("_plain"), F.col("_name")).alias("name"), F.when(F.col("_plain"), F.col("_line")).alias("line"))
+    breaks = ~F.col("_plain") | F.col("_other_name")
+    return told.select(
+        "path", "block", "at", F.when(~F.col("_plain"), F.col("text")).alias("text"),
+        F.count_if(breaks).over(so_far).alias("run"), F.count_if("_plain").over(so_far).alias("nth"),
+        F.when(F.col("_plain"), F.col("_name")).alias("name"), F.when(F.col("_plain"), line).alias("line"))
 
 
 def header_texts(found: DataFrame) -> DataFrame:
     """(path, header): each document without its plain data lines; runs of them are named."""
-    # a run is the token that opens it and the plain lines after that
-    runs = found.groupBy("path", "block", "run").agg(
-        F.min("at").alias("at"), F.max(F.when(F.col("line").isNull(), F.col("text"))).alias("text"), F.max("name").alias("name"),
-        F.min(F.when(F.col("line").isNotNull(), F.col("nth"))).alias("first"), F.count("line").alias("n"))
+    # a run is the token that opens it and the plain lines after that, of which numbers are enough
+    plain = found.where("name is not null").groupBy("path", "block", "run", "name").agg(
+        F.min("at").alias("at"), F.min("nth").alias("first"), F.count(F.lit(1)).alias("n"))
     marker = F.concat(F.lit("<"), F.col("name"), F.lit(f' {RUN_ATTRIBUTE}="'), F.concat_ws(":", "block", "run", "first", "n"), F.lit('"/>'))
-    text = F.concat(F.coalesce("text", F.lit("")), F.when(F.col("n") > 0, marker).otherwise(""))
-    parts = F.sort_array(F.collect_list(F.struct("block", "at", text.alias("text"))))
-    return runs.groupBy("path").agg(F.array_join(F.transform(parts, lambda p: p["text"]), "").alias("header"))
+    others = found.where("name is null").select("path", "block", "at", "text")
+    parts = F.sort_array(F.collect_list(F.struct("block", "at", "text")))
+    return others.unionByName(plain.select("path", "block", "at", marker.alias("text"))).groupBy("path").agg(
+        F.array_join(F.transform(parts, lambda p: p["text"]), "").alias("header"))
 
 
 def _tag(name: str) -> str:
