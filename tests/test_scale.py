@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tests.helpers import T0, frame, model, random_trace, reading
 from wellstream.functions import predicates
-from wellstream.operators import history, ingest, metrics, ordering, sessions, views
+from wellstream.operators import history, ingest, metrics, ordering, sessions, views, welllog
 from wellstream.schemas import READING_SCHEMA
 from wellstream.session import shared_folder, written
 from wellstream.sources import derived, welllogs
@@ -156,3 +156,18 @@ def test_only_large_keys_are_cut_when_events_are_numbered(spark, no_broadcast):
     rows = sorted(cut.select("event_id", "rn").collect())
     assert rows == sorted(whole.select("event_id", "rn").collect()) and len(rows) == 1000
     assert max(r.rn for r in rows) > 1
+
+
+def test_texts_of_lines_stay_out_of_the_shuffle(no_broadcast, spark):
+    names = ("depth", "dtim", "gr", "spp", "temp")
+    header = {c: "x" for c in ("path", "device_id", "uid_well", "name_well", "uid_wellbore", "name_wellbore", "index_curve")}
+    row = header | {"depth_unit": "m", "columns": 5, "curve_reason": None} | {f"{n}_at": i for i, n in enumerate(names, 1)} | {f"{n}_null": "n" for n in names}
+    texts = ["1.5,2024-01-01T00:00Z,1,2,3", "2,2024-01-01T00:00:00Z,1,2,3", "3,2024-01-01T00:00:01Z,1,2", "n,2024,1,2,3"]
+    schema = ", ".join(f"{c} {'int' if c == 'columns' or c.endswith('_at') else 'string'}" for c in row) + ", line_no bigint, line string"
+    mapped = welllog.map_lines(spark.createDataFrame([(*row.values(), i, t) for i, t in enumerate(texts, 1)], schema))
+    steps = plan(mapped).splitlines()
+    shuffled = steps[next(i for i, step in enumerate(steps) if "Exchange hashpartitioning(path" in step) + 1]
+    assert "_reason" in shuffled and "dtim_text" not in shuffled and "depth_null" not in shuffled
+    assert [(r.stage, r.reason, r.rate) for r in mapped.orderBy("line_no").collect()] == [
+        (None, None, 0.0), (welllog.VALUES, "time is not later than that of the previous line", 0.0),
+        (welllog.FIELD_COUNT, "4 fields but 5 columns", 3600.0), (welllog.VALUES, "x uses the null value 'n'", 0.0)]

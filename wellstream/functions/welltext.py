@@ -43,7 +43,7 @@ def parse_number(text: Column) -> Column:
 
 def parse_time(text: Column) -> Column:
     """ISO 8601 with offset to a UTC instant, or null. Seconds may be left out."""
-    whole = F.regexp_replace(text, r"^(.{16})(Z|[+-])", "$1:00$2")
+    whole = F.when(F.substring(text, 17, 1) == ":", text).otherwise(F.regexp_replace(text, r"^(.{16})(Z|[+-])", "$1:00$2"))
     return F.when(text.rlike(TIME_WITH_OFFSET), F.try_to_timestamp(whole))
 
 

@@ -165,12 +165,27 @@ def map_lines(lines: DataFrame, lines_per_slice: int = LINES_PER_SLICE) -> DataF
     names = ("depth", "dtim", "gr", "spp", "temp")
     fields = lines.select("*", F.split("line", ",", -1).alias("fields"))
     texts = fields.select("*", *[_field(n).alias(f"{n}_text") for n in names])
-    depth = W.parse_number(F.col("depth_text"))
     values = texts.select(
         "*",
         *[W.parse_number(F.col(f"{n}_text")).alias(n) for n in ("depth", "gr", "spp", "temp")],
         W.parse_time(F.col("dtim_text")).alias("dtim"),
-        W.to_metres(depth, F.col("depth_unit")).alias("depth_metres"),
+    )
+    # What a line says by itself is judged here, so that texts and header don't go through the shuffle below.
+    labels = {
+        "depth": F.col("index_curve"), "dtim": F.lit(TIME_CURVE), "gr": F.lit(GAMMA_CURVE),
+        "spp": F.lit(PRESSURE_CURVE), "temp": F.lit(TEMPERATURE_CURVE),
+    }
+    columns_found = F.size("fields") != F.col("columns")
+    count_reason = F.concat(
+        F.size("fields").cast("string"), F.lit(" fields but "), F.col("columns").cast("string"), F.lit(" columns")
+    )
+    own_reason = F.coalesce(F.col("curve_reason"), *[_first(*_value_rules(name, label)) for name, label in labels.items()])
+    judged = values.select(
+        "path", "device_id", "line_no", "uid_well", "name_well", "uid_wellbore", "name_wellbore",
+        W.to_metres(F.col("depth"), F.col("depth_unit")).alias("depth_metres"), "dtim", "gr", "spp", "temp",
+        F.when(columns_found, FIELD_COUNT).when(F.col("curve_reason").isNotNull(), CURVES).otherwise(VALUES).alias("_stage"),
+        F.when(columns_found, count_reason).otherwise(own_reason).alias("_reason"),
+        F.size("fields").alias("fields"), "columns",
     )
 
     start = slice_start(F.col("line_no"), lines_per_slice)
@@ -179,33 +194,19 @@ def map_lines(lines: DataFrame, lines_per_slice: int = LINES_PER_SLICE) -> DataF
         F.struct(start.alias("at"), F.lit(False).alias("again")),
         F.when(is_last, F.struct((start + lines_per_slice).alias("at"), F.lit(True).alias("again"))),
     ))
-    placed = values.select("*", F.inline(shown)).withColumnRenamed("at", SLICE)
+    placed = judged.select("*", F.inline(shown)).withColumnRenamed("at", SLICE)
     by_line = Window.partitionBy("path", SLICE).orderBy("line_no")
     previous = F.lag(F.struct("depth_metres", "dtim")).over(by_line)
     chained = placed.select("*", previous.alias("_previous")).where(~F.col("again"))
 
-    labels = {
-        "depth": F.col("index_curve"), "dtim": F.lit(TIME_CURVE), "gr": F.lit(GAMMA_CURVE),
-        "spp": F.lit(PRESSURE_CURVE), "temp": F.lit(TEMPERATURE_CURVE),
-    }
-    rules = [rule for name, label in labels.items() for rule in _value_rules(name, label)]
-    rules.append((F.col("dtim") <= F.col("_previous.dtim"), F.lit("time is not later than that of the previous line")))
-    value_reason = _first(*rules)
-    columns_found = F.size("fields") != F.col("columns")
-    count_reason = F.concat(
-        F.size("fields").cast("string"), F.lit(" fields but "), F.col("columns").cast("string"), F.lit(" columns")
-    )
+    reason = F.coalesce("_reason", _first(
+        (F.col("dtim") <= F.col("_previous.dtim"), F.lit("time is not later than that of the previous line"))))
     hours = (F.unix_micros("dtim") - F.unix_micros("_previous.dtim")) / 3.6e9
     rate = F.coalesce(F.try_divide(F.col("depth_metres") - F.col("_previous.depth_metres"), hours), F.lit(0.0))
     return chained.select(
         "path", "device_id", "line_no", "uid_well", "name_well", "uid_wellbore", "name_wellbore",
         "depth_metres", "dtim", "gr", "spp", "temp", rate.alias("rate"),
-        F.when(columns_found, FIELD_COUNT)
-        .when(F.col("curve_reason").isNotNull(), CURVES)
-        .when(value_reason.isNotNull(), VALUES)
-        .alias("stage"),
-        F.when(columns_found, count_reason).otherwise(F.coalesce(F.col("curve_reason"), value_reason)).alias("reason"),
-        F.size("fields").alias("fields"), "columns",
+        F.when(reason.isNotNull(), F.col("_stage")).alias("stage"), reason.alias("reason"), "fields", "columns",
     )
 
 
