@@ -97,3 +97,16 @@ def test_rejects_keep_the_raw_message(spark):
         "received_at_utc", F.lit("2024-01-01").cast("timestamp"))
     row = ingest.rejects(ingest.validate(ingest.parse_messages(df))).first()
     assert (row.value, row.reject_reason) == ("{broken", P.BAD_JSON)
+
+
+@pytest.mark.parametrize("text, ordinary", [
+    ('{"DeviceId":"a } b","SequenceNumber":12, "GammaRayApi": -1.5e-3}', True),
+    ('{"DeviceId":7}', False), ('{"DeviceId":"a"}{}', False), ('{"DeviceId":"a"} 1', False), ('{"DeviceId":"a",}', False),
+    ('{"DeviceId":"a" "WellId":"b"}', False), ('{"DeviceId":"\\u0061"}', False), ('{"SequenceNumber":1.0}', False),
+    ('{"SequenceNumber":01}', False), ('{"Other":"a"}', False), ('{"DeviceId":"a\nb"}', False), ("{}", False), (None, False),
+    ("{" + ",".join(['"DeviceId":"a"'] * 40_000) + "}", False),
+])
+def test_ordinary_messages_pass_the_exact_checks_too(spark, text, ordinary):
+    row = spark.createDataFrame([(text,)], "value string").select(
+        ingest._ordinary().alias("quick"), (~ingest._wrong_type() & ingest._one_value()).alias("exact")).first()
+    assert row.quick == ordinary and (row.exact or not ordinary)

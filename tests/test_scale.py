@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from tests.helpers import T0, frame, model, random_trace, reading
 from wellstream.functions import predicates
-from wellstream.operators import history, ingest, metrics, ordering, sessions, views, welllog
+from wellstream.operators import history, ingest, metrics, ordering, sessions, slices, views, welllog
+from wellstream.plans.feed import DerivedFeed
 from wellstream.schemas import READING_SCHEMA
 from wellstream.session import shared_folder, written
 from wellstream.sources import derived, welllogs
@@ -171,3 +172,24 @@ def test_texts_of_lines_stay_out_of_the_shuffle(no_broadcast, spark):
     assert [(r.stage, r.reason, r.rate) for r in mapped.orderBy("line_no").collect()] == [
         (None, None, 0.0), (welllog.VALUES, "time is not later than that of the previous line", 0.0),
         (welllog.FIELD_COUNT, "4 fields but 5 columns", 3600.0), (welllog.VALUES, "x uses the null value 'n'", 0.0)]
+
+
+@pytest.mark.parametrize("values", [[7], [-5, 5, 5, 5, None], [i * i * 7919 % 100_003 - 50_000 for i in range(5000)], [0, 1 << 62]])
+def test_shares_of_the_order_are_exact(spark, values):
+    rows = spark.createDataFrame([(v,) for v in values], "at bigint")
+    shares = [0.0, 1 / 3, 0.5, 2 / 3, 1.0]
+    known = sorted(v for v in values if v is not None)
+    assert slices.at_shares(rows, "at", shares) == [known[int((len(known) - 1) * s)] for s in shares]
+
+
+def test_batches_need_no_percentile_in_one_task(spark, tmp_path, monkeypatch):
+    def refused(*_):
+        raise AssertionError("all arrival numbers in one task")
+
+    monkeypatch.setattr(F, "percentile", refused)
+    spark.range(300).select(F.col("id").alias("event_id"), F.timestamp_seconds(F.col("id") + 1_704_067_200).cast("timestamp_ntz").alias("ts"),
+                            (F.col("id") % 7).alias("user_id"), F.lit(1.5).alias("value")).write.parquet(str(tmp_path / "events.parquet"))
+    feed = DerivedFeed(spark, str(tmp_path))
+    processed = feed.micro_batches
+    assert sorted(r[0] for r in processed.groupBy("batch_id").count().select("batch_id").collect()) == [0, 1, 2]
+    assert sorted(processed.select("arrival_no", "outcome").collect()) == sorted(feed.processed.select("arrival_no", "outcome").collect())

@@ -26,8 +26,9 @@ INFINITY = float("inf")
 
 
 def is_blank(c: Column) -> Column:
-    """Null, empty or only white space, that of Unicode included."""
-    return ~F.coalesce(c, F.lit("")).rlike(r"(?U)\S")
+    """Null, empty or only white space, that of Unicode included. Most texts begin with an ASCII character that is none."""
+    text = F.coalesce(c, F.lit(""))
+    return ~(F.substring(text, 1, 1).between("!", "~") | text.rlike(r"(?U)\S"))
 
 
 def is_finite(c: Column) -> Column:

@@ -83,3 +83,37 @@ def balanced(rows: DataFrame, keys: Sequence[str], position: str, tie: str, rows
     part = F.when(crowded, slice_start(F.col(tie), rows_per_slice)).otherwise(F.lit(-1).cast("bigint"))
     # crowded rows come before the others behind their border
     return numbered.withColumn(SLICE, F.struct(F.col("_at").alias("at"), (~crowded).alias("rest"), part.alias("part"))).drop("_borders", "_at")
+
+
+BINS = 1 << 12
+
+
+def at_shares(rows: DataFrame, position: str, shares: Sequence[float]) -> list[int]:
+    """The value of an integer position at each share of its order: exact, of every row, nulls left out.
+
+    An exact percentile holds all different values in one task. Here a histogram of BINS bins combines on the map side and
+    the bins that hold the wanted ranks are cut again, until a bin is one value: a few passes over one column.
+    """
+    at = F.col(position)
+    ends = rows.agg(F.min(at).alias("low"), F.max(at).alias("high"), F.count(at).alias("n")).first()
+    if ends.n == 0:
+        raise ValueError(f"no row has a {position}")
+    # (first value of the range, its number of values, rank within it) of each share
+    found = [(ends.low, ends.high - ends.low + 1, int((ends.n - 1) * share)) for share in shares]
+    while any(size > 1 for _, size, _ in found):
+        counted = {}
+        for low, size in {(low, size) for low, size, _ in found if size > 1}:
+            width = -(-size // BINS)
+            inside = rows.where(at.between(F.lit(low), F.lit(low + size - 1)))
+            bins = inside.groupBy(F.expr(f"(`{position}` - {low}L) div {width}L").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+            counted[low, size] = width, sorted((r["bin"], r["n"]) for r in bins.collect())
+        found = [_bin_of_rank(low, rank, *counted[low, size]) if size > 1 else (low, size, rank) for low, size, rank in found]
+    return [low for low, _, _ in found]
+
+
+def _bin_of_rank(low: int, rank: int, width: int, bins: list[tuple[int, int]]) -> tuple[int, int, int]:
+    for number, n in bins:
+        if rank < n:
+            return low + number * width, width, rank
+        rank -= n
+    raise ValueError("the rows changed between two passes")

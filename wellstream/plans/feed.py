@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wellstream.operators import backfill, events, ingest, metrics, ordering, sessions, views, welllog
-
+from wellstream.operators.slices import at_shares
 from wellstream.session import configure, shared_folder, written
 from wellstream.sources import derived, welllogs
 from wellstream.streaming import microbatch, upgrade
@@ -99,7 +99,7 @@ class DerivedFeed(Feed):
         """What a streaming job over the arrivals as messages, in three batches by order of arrival, leaves in its table."""
         messages = written(derived.messages(self.arrivals))
         root = f"{shared_folder(self.spark)}/jobs/{uuid.uuid4().hex}"
-        ends = messages.select(F.percentile("arrival_no", [1 / 3, 2 / 3])).first()[0]
+        ends = at_shares(messages, "arrival_no", [1 / 3, 2 / 3])
         batch = F.when(F.col("arrival_no") <= ends[0], 0).when(F.col("arrival_no") <= ends[1], 1).otherwise(2)
         tables = microbatch.ReadingTables(self.spark, root)
         for number in range(3):
