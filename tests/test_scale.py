@@ -150,13 +150,16 @@ def plan_after(df):
     return plan(df)
 
 
-def test_only_large_keys_are_cut_when_events_are_numbered(spark, no_broadcast):
-    table = "/root/testdata/sf0.001"
-    whole = derived.numbered_events(spark, table, ["device_id"])
-    cut = derived.numbered_events(spark, table, ["device_id"], rows_per_slice=1)
-    rows = sorted(cut.select("event_id", "rn").collect())
-    assert rows == sorted(whole.select("event_id", "rn").collect()) and len(rows) == 1000
-    assert max(r.rn for r in rows) > 1
+@pytest.mark.parametrize("rows_per_slice", [1, 10_000])
+def test_only_large_keys_are_cut_when_events_are_numbered(spark, no_broadcast, tmp_path, rows_per_slice):
+    events = [(i, None if i % 11 == 0 else T0 + timedelta(hours=i * 5 % 97), None if i % 13 == 0 else i % 3, 1.0) for i in range(200)]
+    spark.createDataFrame(events, "event_id bigint, ts timestamp, user_id bigint, value double").write.parquet(str(tmp_path / "events.parquet"))
+    found = derived.numbered_events(spark, str(tmp_path), ["device_id"], rows_per_slice=rows_per_slice)
+    known = []
+    for user in range(3):
+        own = sorted((e for e in events if e[2] == user), key=lambda e: (e[1] is not None, e[1] or T0, e[0]))
+        known += [(e[0], n) for n, e in enumerate(own, 1) if e[1] is not None]  # those without a time count but are left out
+    assert sorted((r.event_id, r.rn) for r in found.collect()) == sorted(known)
 
 
 def test_texts_of_lines_stay_out_of_the_shuffle(no_broadcast, spark):

@@ -38,12 +38,13 @@ def numbered_events(
     """Events with their stream and ``rn``, the position inside ``keys`` by (ts, event_id).
 
     Only keys of more than ROWS_PER_SLICE events are cut into slices, by time. These are few; others are one slice.
+    Events without a time count as the first ones of their key but are left out.
     """
     events = read_events(spark, sf_dir).select(
         "*",
         device_of(F.col("user_id")).alias("device_id"),
         F.when(F.col("event_id") % 5 < 3, SESSION_A).otherwise(SESSION_B).alias("acquisition_session_id"),
-    ).where(F.col("ts").isNotNull() & F.col("device_id").isNotNull())
+    ).where(F.col("device_id").isNotNull())
     large = events.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > rows_per_slice).select(*keys, F.lit(True).alias("_large"))
     sliced = events.join(F.broadcast(large), keys, "left").withColumn(
         SLICE, F.when(F.col("_large"), slice_start(F.unix_micros("ts"), slice_micros)).otherwise(F.lit(0).cast("bigint"))).drop("_large")
@@ -51,7 +52,7 @@ def numbered_events(
     before = carried(cut, keys, {"_before": (F.count(F.lit(1)), "sum")})
     counted = sliced.join(before, [*keys, SLICE], "left")
     local = F.row_number().over(slice_window(keys, "ts", "event_id"))
-    return counted.withColumn("rn", (F.coalesce("_before", F.lit(0)) + local).cast("bigint")).drop("_before", SLICE)
+    return counted.withColumn("rn", (F.coalesce("_before", F.lit(0)) + local).cast("bigint")).drop("_before", SLICE).where("ts is not null")
 
 
 def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
