@@ -134,3 +134,35 @@ def test_runs_are_equal_where_words_are(spark):
     shingles, before = shingles_of(words, first, 5)
     runs = passages.runs_of(shingles, 46)
     assert runs[0] == runs[before[1] + 1] and runs[0] != runs[before[1]]
+
+
+@pytest.mark.parametrize("slice_bytes", [5_000, 200_000])
+def test_edited_passages_of_texts_that_many_documents_share_in_part(spark, monkeypatch, slice_bytes):
+    monkeypatch.setattr(passages, "SLICE_BYTES", slice_bytes)
+    rng = random.Random(11)
+    new = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    phrase, before, after = new(25), [new(6) for _ in range(12)], [new(19) for _ in range(12)]
+    documents = []
+    for a in range(12):
+        for b in range(12):
+            # the phrase and what stands before it, or the phrase and what comes after, is too little; only all three are a passage
+            documents += [(2 * (12 * a + b) + i, " ".join(new(60) + before[a] + phrase + new(1) + after[b] + new(60))) for i in range(2)]
+    ends = {i: ((i // 2) // 12, (i // 2) % 12) for i, _ in documents}
+    rng.shuffle(documents)
+    frame = spark.createDataFrame(documents, "doc_id long, text string").repartition(4)
+    pairs = passages.repeated_passages(frame).select("doc_id", "other_id").distinct().collect()
+    assert all(ends[r.doc_id] == ends[r.other_id] for r in pairs)
+    assert {r.doc_id // 2 for r in pairs} == set(range(144))
+
+
+def test_rows_of_a_minimum_are_all_compared_across_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        rng = random.Random(12)
+        new = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+        phrase, before, after = new(25), [new(6) for _ in range(5)], [new(19) for _ in range(5)]
+        documents = [(2 * (5 * a + b) + i, " ".join(new(30) + before[a] + phrase + new(1) + after[b] + new(30))) for a in range(5) for b in range(5) for i in range(2)]
+        pairs = passages.repeated_passages(spark.createDataFrame(documents, "doc_id long, text string").repartition(3)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {(min(r.doc_id, r.other_id), max(r.doc_id, r.other_id)) for r in pairs} == {(2 * i, 2 * i + 1) for i in range(25)}
